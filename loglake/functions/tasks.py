@@ -153,50 +153,66 @@ def fold_sessions(
         yield emit([open_run], last_is_edge=True)
 
 
+RUNS_SCHEMA = "source_file string, block bigint, pos bigint, bytes array<int>"
 PARTS_SCHEMA = "source_file string, block bigint, pos bigint, part bigint"
+_RUN_LINES = 2048
+
+
+def pack_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line lengths of consecutive positions of a block as one array under the first position."""
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        pos = batch.column("pos").to_numpy(zero_copy_only=False)
+        block = batch.column("block").to_numpy(zero_copy_only=False)
+        code = _codes(batch.column("source_file"))
+        new_run = np.arange(n) % _RUN_LINES == 0
+        new_run[1:] |= (np.diff(pos) != 1) | (np.diff(block) != 0) | (np.diff(code) != 0)
+        starts = np.flatnonzero(new_run)
+        offsets = pa.array(np.append(starts, n), pa.int32())
+        take = pa.array(starts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("source_file").take(take),
+                batch.column("block").take(take),
+                batch.column("pos").take(take),
+                pa.ListArray.from_arrays(offsets, batch.column("bytes")),
+            ],
+            names=["source_file", "block", "pos", "bytes"],
+        )
 
 
 def next_fit_parts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """First line of every part, for lines sorted by ``(source_file, block, pos)``.
+    """First line of every part, for runs of line lengths in ``(source_file, block, pos)`` order.
 
-    A part takes lines while their ``bytes`` sum to at most ``limit``; a longer line gets
-    a part of its own. Holds one batch at a time and jumps from part to part.
+    A part takes lines while their bytes sum to at most ``limit``; a longer line gets a
+    part of its own. Holds one batch at a time and jumps from part to part.
     """
     file, used, part = None, 0, 0
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        files = batch.column("source_file")
-        size = batch.column("bytes").to_numpy(zero_copy_only=False).astype(np.int64)
-        code = _codes(files)
-        until = np.cumsum(size)
-        new_file = np.ones(len(size), bool)
-        new_file[1:] = code[1:] != code[:-1]
-        firsts = np.flatnonzero(new_file)
-        begins, numbers = [], []
-        for a, b in zip(firsts, np.append(firsts[1:], len(size))):
-            name = files[int(a)].as_py()
+        rows, begins, numbers = [], [], []
+        columns = [batch.column(c) for c in ("source_file", "block", "pos", "bytes")]
+        for row in range(batch.num_rows):
+            name = columns[0][row].as_py()
             if name != file:
                 file, used, part = name, 0, 0
-            at, done = int(a), int(until[a - 1]) if a else 0
-            while at < b:
-                # Lines that still fit into the open part, if there is one.
-                fit = int(np.searchsorted(until[at:b], done + limit - used, side="right")) if used else 0
+            first = columns[2][row].as_py()
+            until = np.cumsum(columns[3][row].values.to_numpy(zero_copy_only=False), dtype=np.int64)
+            at, done = 0, 0
+            while at < len(until):
+                fit = int(np.searchsorted(until[at:], done + limit - used, side="right")) if used else 0
                 if fit == 0:
                     part, used = part + 1, 0
-                    begins.append(at)
+                    rows.append(row)
+                    begins.append(first + at)
                     numbers.append(part)
-                    fit = max(1, int(np.searchsorted(until[at:b], done + limit, side="right")))
-                used += int(until[at + fit - 1]) - done
-                done = int(until[at + fit - 1])
+                    fit = max(1, int(np.searchsorted(until[at:], done + limit, side="right")))
                 at += fit
-        take = pa.array(begins, pa.int64())
+                used += int(until[at - 1]) - done
+                done = int(until[at - 1])
+        take = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [
-                files.take(take),
-                batch.column("block").take(take),
-                batch.column("pos").take(take),
-                pa.array(numbers, pa.int64()),
-            ],
+            [columns[0].take(take), columns[1].take(take), pa.array(begins, pa.int64()), pa.array(numbers, pa.int64())],
             names=["source_file", "block", "pos", "part"],
         )

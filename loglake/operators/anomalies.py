@@ -28,7 +28,8 @@ CRITICAL = "CRITICO"
 ALERT = "ALERTA"
 
 _MINUTE_US = 60_000_000
-_EVERYTHING = Window.partitionBy()
+def _everything():
+    return Window.partitionBy()
 
 
 def _templates(df: DataFrame, min_severity: int, *columns: str | Column) -> DataFrame:
@@ -79,8 +80,8 @@ def error_spikes_of_rollup(
     stats = counts.select(
         "at",
         "n",
-        F.sum("n").over(_EVERYTHING).alias("errors"),
-        F.count("*").over(_EVERYTHING).alias("buckets"),
+        F.sum("n").over(_everything()).alias("errors"),
+        F.count("*").over(_everything()).alias("buckets"),
     ).withColumn("baseline", F.expr("errors div buckets"))
     enough = (F.col("errors") >= SPIKE_MIN_ERRORS) & (F.col("buckets") >= SPIKE_MIN_BUCKETS)
     high = (F.col("n") > F.col("baseline") * factor) & (F.col("n") > min_count)
@@ -163,11 +164,11 @@ def log_gaps_of_rollup(
             F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
         )
     )
-    spread = (F.max("last_us").over(_EVERYTHING) - F.min("first_us").over(_EVERYTHING)) / _MINUTE_US
+    spread = (F.max("last_us").over(_everything()) - F.min("first_us").over(_everything())) / _MINUTE_US
     spaced = minutes.select(
         F.lag("last_us").over(Window.orderBy("slot")).alias("before_us"),
         "first_us",
-        F.sum("n").over(_EVERYTHING).alias("entries"),
+        F.sum("n").over(_everything()).alias("entries"),
         F.floor(spread).alias("minutes"),
     ).withColumn("gap_minutes", F.floor((F.col("first_us") - F.col("before_us")) / _MINUTE_US))
     threshold = F.col("minutes") / F.col("entries") * factor

@@ -22,7 +22,8 @@ HEATMAP_LEVEL = "ERROR+"
 # Where the shares of the peak begin that count as intensity 2, 3 and 4.
 HEATMAP_STEPS = [0.25, 0.5, 0.75]
 
-_EVERYTHING = Window.partitionBy()
+def _everything():
+    return Window.partitionBy()
 
 
 # --- roll-up --------------------------------------------------------------------
@@ -72,7 +73,7 @@ def summary_of_rollup(rollup: DataFrame) -> DataFrame:
 
 
 def _level_shares(counts: DataFrame) -> DataFrame:
-    shares = counts.withColumn("total", F.sum("n").over(_EVERYTHING))
+    shares = counts.withColumn("total", F.sum("n").over(_everything()))
     return shares.select(
         level_of(F.col("severity")).alias("level"),
         "severity",
@@ -117,7 +118,7 @@ def timeline_of_rollup(
         .groupBy((F.col("slot") * slot).alias("at"))
         .agg(F.sum("n").alias("n"))
     )
-    anchored = slots.withColumn("start", F.floor(F.min("at").over(_EVERYTHING) / 3600) * 3600)
+    anchored = slots.withColumn("start", F.floor(F.min("at").over(_everything()) / 3600) * 3600)
     buckets = anchored.groupBy(
         F.expr(f"(at - start) div {step} * {step} + start").alias("bucket")
     ).agg(F.sum("n").alias("n"))
@@ -125,7 +126,7 @@ def timeline_of_rollup(
     filled = buckets.select(
         "bucket",
         "n",
-        (F.col("n") == F.max("n").over(_EVERYTHING)).alias("is_peak"),
+        (F.col("n") == F.max("n").over(_everything())).alias("is_peak"),
         F.coalesce(F.lead("bucket").over(in_order), F.col("bucket") + step).alias("next"),
     ).withColumn("at", F.explode(F.expr(f"sequence(bucket, next - {step}, {step})")))
     counted = F.col("at") == F.col("bucket")
@@ -162,7 +163,7 @@ def heatmap_of_rollup(rollup: DataFrame, level: str | None = HEATMAP_LEVEL) -> D
     cells = grid.join(_heat_cells(rollup, level), ["dow", "hour"], "left").select(
         "dow", "hour", F.coalesce("n", F.lit(0)).alias("n")
     )
-    ratio = F.col("n") / F.max("n").over(_EVERYTHING)
+    ratio = F.col("n") / F.max("n").over(_everything())
     intensity = F.when(F.col("n") == 0, 0)
     for value, bound in enumerate(HEATMAP_STEPS, start=1):
         intensity = intensity.when(ratio < bound, value)

@@ -7,12 +7,13 @@ log becomes several files in sequence instead of one task. File names sort in lo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loglake.functions.arguments import size_bytes
 from loglake.functions.expressions import has_stack_trace
-from loglake.functions.tasks import PARTS_SCHEMA, next_fit_parts
+from loglake.functions.tasks import PARTS_SCHEMA, RUNS_SCHEMA, next_fit_parts, pack_runs
 from loglake.model import LOAD_ORDER
 from loglake.sources.text import BLOCK, list_files, read_lines, read_logs
 
@@ -53,7 +54,7 @@ def split_by_level(df: DataFrame, path: str, header_only: bool = False) -> str:
 
 
 def _line_bytes() -> Column:
-    return F.octet_length("value") + 1
+    return (F.octet_length("value") + 1).cast("int")
 
 
 def assign_parts(lines: DataFrame, size: str | int, exact: bool = True) -> DataFrame:
@@ -61,7 +62,8 @@ def assign_parts(lines: DataFrame, size: str | int, exact: bool = True) -> DataF
 
     Exact packing closes a part before the line that would overflow it, so where a part
     begins depends on all parts before it. That chain is followed in one streaming pass
-    per file over line lengths only; the text meets the part starts again block by block.
+    per file over line lengths alone, packed to a few bytes per line where they are read;
+    the text meets the part starts again block by block.
     ``exact=False`` cuts at multiples of the size instead: a plain prefix sum, where a part
     may exceed the size by less than one line.
     """
@@ -86,9 +88,10 @@ def assign_parts(lines: DataFrame, size: str | int, exact: bool = True) -> DataF
 def _next_fit(lines: DataFrame, limit: int) -> DataFrame:
     sizes = lines.select(*BLOCK, "pos", _line_bytes().alias("bytes"))
     starts = (
-        sizes.repartition("source_file")
+        sizes.mapInArrow(pack_runs, RUNS_SCHEMA)
+        .repartition("source_file")
         .sortWithinPartitions("source_file", "block", "pos")
-        .mapInArrow(lambda batches: next_fit_parts(batches, limit), PARTS_SCHEMA)
+        .mapInArrow(partial(next_fit_parts, limit=limit), PARTS_SCHEMA)
     )
     in_file = Window.partitionBy("source_file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1

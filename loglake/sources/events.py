@@ -23,10 +23,20 @@ CUSTOM_TEMPLATE = "{data} [{thread}] {nivel} {classe} - {mensagem}"
 
 
 def events_as_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored events as a log."""
+    return as_logs(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored events as a stream of log entries."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return as_logs(reader.parquet(sf_dir))
+
+
+def as_logs(events: DataFrame) -> DataFrame:
     """One log entry per event; the fields follow from the event's own columns."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int")
-    )
+    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     kind, k, event_id = F.col("event_type"), F.col("k"), F.col("event_id")
     is_error = kind == "error"
     odd = is_error & (F.col("value") > 150)
