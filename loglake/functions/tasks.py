@@ -5,6 +5,7 @@ They are shipped with the job by value, so workers need no copy of this package.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ def first_lines(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Re
 
     for batch in batches:
         for path in batch.column("path").to_pylist():
-            filesystem, inner = fs.FileSystem.from_uri(path)
+            uri = re.sub(r"^([\w+.-]+):/(?!/)", r"\1:///", path)
+            filesystem, inner = fs.FileSystem.from_uri(uri)
             with filesystem.open_input_stream(inner) as stream:
                 data = b""
                 while len(data.splitlines()) <= limit and (chunk := stream.read(1 << 16)):

@@ -89,7 +89,7 @@ def digest(df: DataFrame) -> DataFrame:
             F.lit(2), F.lit("errors"), F.col("errors"),
             F.lit(3), F.lit("warnings"), F.col("warnings"),
         ).alias("ord", "text", "n"),
-    )
+    ).withColumn("ord", F.col("ord").cast("bigint"))
     top = (
         df.where(F.col("severity") >= ERROR)
         .groupBy(F.coalesce("message", F.lit("")).alias("text"))
@@ -113,7 +113,7 @@ def digest(df: DataFrame) -> DataFrame:
 def _numbered(rows: DataFrame, order: list, section: str) -> DataFrame:
     return rows.select(
         F.lit(section).alias("section"),
-        F.row_number().over(Window.orderBy(*order)).alias("ord"),
+        F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("ord"),
         "text",
         "n",
     )

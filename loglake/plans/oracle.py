@@ -273,8 +273,8 @@ def _report() -> str:
 def oracles() -> dict[str, str]:
     web = f"{_SECONDS} AS ts, {_WEB_LEVEL} AS level, {_WEB_SEVERITY} AS severity"
     mixed = "SELECT '{0}' AS folder, {1} AS level, count(*) AS n, {2} AS stacks, count(*) AS times FROM logs GROUP BY ALL"
-    call = "(SELECT ts AS at, thread AS th FROM logs WHERE line_number = 500) a"
-    in_call = "thread = th AND abs(epoch_us(ts) - epoch_us(at)) // 1000 <= 21600000"
+    call = "(SELECT ts AS t0, thread AS th FROM logs WHERE line_number = 500) a"
+    in_call = "thread = th AND abs(epoch_us(ts) - epoch_us(t0)) // 1000 <= 21600000"
     hit = "(contains(lower(message), 'already committed') OR coalesce(contains(lower(stack_trace), 'already committed'), false))"
     return {
         "summary": _q("SELECT count(*) AS total, min(ts) AS start_ts, max(ts) AS end_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS duration_s FROM logs"),

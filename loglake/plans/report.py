@@ -55,7 +55,7 @@ def executive_report(df: DataFrame, generated_at: datetime | None = None, **dete
     def section(name: str, rows: DataFrame, ord: Column, key: Column, value: Column) -> DataFrame:
         return rows.select(
             F.lit(name).alias("section"),
-            ord.cast("int").alias("ord"),
+            ord.cast("bigint").alias("ord"),
             key.cast("string").alias("key"),
             value.cast("string").alias("value"),
         )
@@ -163,7 +163,7 @@ def write_report(report: DataFrame, path: str, format: str = "markdown") -> str:
     for i, (name, *_) in enumerate(SECTIONS):
         place = (place.when if place is not None else F.when)(F.col("section") == name, i)
     rows = report.select(place.alias("zone"), "ord", line.alias("value")).unionByName(
-        spark.createDataFrame(frame, "zone int, ord int, value string")
+        spark.createDataFrame(frame, "zone int, ord bigint, value string")
     )
     rows.orderBy("zone", "ord").select("value").write.text(path)
     return path

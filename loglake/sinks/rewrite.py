@@ -15,7 +15,7 @@ from loglake.functions.arguments import size_bytes
 from loglake.functions.expressions import has_stack_trace
 from loglake.functions.tasks import PARTS_SCHEMA, RUNS_SCHEMA, next_fit_parts, pack_runs
 from loglake.model import LOAD_ORDER
-from loglake.sources.text import BLOCK, list_files, read_lines, read_logs
+from loglake.sources.text import BLOCK, exact_path, list_files, read_lines, read_logs
 
 
 def entry_lines(header_only: bool = False) -> Column:
@@ -158,7 +158,7 @@ def merge_files(
     if order != "file":
         raise ValueError(f"unknown order: {order!r}")
     ranks = spark.createDataFrame(
-        [(uri, i) for i, name in enumerate(present) for uri in spark.read.text(name).inputFiles()],
+        [(file, rank) for rank, name in enumerate(present) for file in list_files(spark, name)],
         "source_file string, rank int",
     )
     rows = lines.join(F.broadcast(ranks), "source_file")
@@ -168,4 +168,5 @@ def merge_files(
 
 def merge_folder(spark: SparkSession, folder: str, path: str, order: str = "file") -> str:
     """The ``*.log`` files directly in a folder, merged in name order."""
-    return merge_files(spark, list_files(spark, folder, pathGlobFilter="*.log"), path, order)
+    files = [exact_path(file) for file in list_files(spark, folder, pathGlobFilter="*.log")]
+    return merge_files(spark, files, path, order)

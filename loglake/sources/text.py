@@ -7,6 +7,7 @@ below: no step needs a whole file in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import partial
 from urllib.parse import unquote
@@ -61,14 +62,18 @@ def lines_of(numbered: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str], **options: str) -> list[str]:
-    """Files behind paths and globs, in path order (the listing the driver plans scans from)."""
+    """Files behind paths and globs, in path order (the listing the driver plans scans from).
+
+    Named as in ``source_file``: URIs with special characters encoded.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return sorted(unquote(uri) for uri in spark.read.options(**options).text(paths).inputFiles())
+    uris = spark.read.options(**options).text(paths).inputFiles()
+    return sorted(re.sub(r"^([\w+.-]+):///", r"\1:/", uri) for uri in uris)
 
 
-def _escaped(path: str) -> str:
-    """A file path as a glob that matches just this file."""
-    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in path)
+def exact_path(source_file: str) -> str:
+    """A listed file as a reader argument that matches just this file."""
+    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in unquote(source_file))
 
 
 # --- line numbers -------------------------------------------------------------
@@ -257,7 +262,7 @@ def read_logs(
     formats = formats_of_files(spark, files)
     parts = []
     for name in sorted(set(formats.values())):
-        members = [_escaped(path) for path in files if formats[path] == name]
+        members = [exact_path(path) for path in files if formats[path] == name]
         lines = read_lines(spark, members)
         parts.append(parse_lines(lines, name, stacks=stacks, few_blocks=blocks_are_few(lines)))
     entries = parts[0]

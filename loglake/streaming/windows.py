@@ -5,32 +5,40 @@ State is bounded by the watermark: one counter per open bucket, or one row per o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loglake.functions.arguments import duration_millis, interval_seconds
 from loglake.model import ERROR
 from loglake.operators.filters import filter_level_expression
 
 
+def _event_time(entries: DataFrame, delay: str) -> DataFrame:
+    """Watermarks need a zoned time; the session zone is UTC, so the wall clock is kept."""
+    return entries.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
+def _local(ts: Column) -> Column:
+    return ts.cast("timestamp_ntz")
+
+
 def timeline_stream(
     entries: DataFrame, interval: str | int = "1h", level: str | None = None, delay: str = "10 minutes"
 ) -> DataFrame:
     """Entries per clock bucket, each emitted once the watermark has passed it; no zero rows."""
     buckets = F.window("ts", f"{interval_seconds(interval)} seconds")
     counted = (
-        filter_level_expression(entries, level)
-        .withWatermark("ts", delay)
+        _event_time(filter_level_expression(entries, level), delay)
         .groupBy(buckets.alias("w"))
         .agg(F.count("*").alias("n"))
     )
-    return counted.select(F.col("w.start").alias("bucket"), "n")
+    return counted.select(_local(F.col("w.start")).alias("bucket"), "n")
 
 
 def flow_sessions_stream(entries: DataFrame, window: str | int = "2s", delay: str = "10 minutes") -> DataFrame:
     """Sessions per thread: start, end, size and whether an error occurred."""
     gap = f"{duration_millis(window)} milliseconds"
     runs = (
-        entries.withWatermark("ts", delay)
+        _event_time(entries, delay)
         .groupBy("thread", F.session_window("ts", gap).alias("w"))
         .agg(
             F.min("ts").alias("start_ts"),
@@ -39,4 +47,10 @@ def flow_sessions_stream(entries: DataFrame, window: str | int = "2s", delay: st
             F.max((F.col("severity") >= ERROR).cast("int")).alias("bad"),
         )
     )
-    return runs.select("thread", "start_ts", "end_ts", "n_entries", (F.col("bad") == 1).alias("has_error"))
+    return runs.select(
+        "thread",
+        _local(F.col("start_ts")).alias("start_ts"),
+        _local(F.col("end_ts")).alias("end_ts"),
+        "n_entries",
+        (F.col("bad") == 1).alias("has_error"),
+    )
