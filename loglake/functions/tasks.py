@@ -45,6 +45,7 @@ FRAGMENT_SCHEMA = (
     "thread string, start bigint, finish bigint, entries bigint, has_error boolean, "
     "names array<string>, task int, seq bigint, edge boolean"
 )
+FRAGMENT_COLUMNS = [part.split()[0] for part in FRAGMENT_SCHEMA.split(", ")]
 
 
 class _Fragment:
@@ -85,30 +86,31 @@ def fold_sessions(
     open_run: _Fragment | None = None
     seq = 0
 
-    def emit(runs: list[_Fragment], last_is_edge: bool) -> pa.RecordBatch:
+    def emit(thread, start, finish, entries, has_error, names, last: bool = False) -> pa.RecordBatch:
         nonlocal seq
-        numbers = range(seq, seq + len(runs))
-        seq += len(runs)
-        edge = [n == 0 for n in numbers]
-        if last_is_edge:
-            edge[-1] = True
+        n = len(start)
+        number = np.arange(seq, seq + n)
+        seq += n
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([r.thread for r in runs], pa.string()),
-                pa.array([r.start for r in runs], pa.int64()),
-                pa.array([r.finish for r in runs], pa.int64()),
-                pa.array([r.entries for r in runs], pa.int64()),
-                pa.array([r.has_error for r in runs], pa.bool_()),
-                pa.array([r.names for r in runs], pa.list_(pa.string())),
-                pa.array([task] * len(runs), pa.int32()),
-                pa.array(list(numbers), pa.int64()),
-                pa.array(edge, pa.bool_()),
-            ],
-            names=[
-                "thread", "start", "finish", "entries", "has_error", "names", "task", "seq", "edge",
+                thread,
+                pa.array(start, pa.int64()),
+                pa.array(finish, pa.int64()),
+                pa.array(entries, pa.int64()),
+                pa.array(has_error, pa.bool_()),
+                names,
+                pa.array(np.full(n, task), pa.int32()),
+                pa.array(number, pa.int64()),
+                pa.array((number == 0) | last, pa.bool_()),
             ],
+            names=FRAGMENT_COLUMNS,
         )
 
+    def emit_one(run: _Fragment, last: bool = False) -> pa.RecordBatch:
+        names = pa.array([run.names], pa.list_(pa.string()))
+        thread = pa.array([run.thread], pa.string())
+        return emit(thread, [run.start], [run.finish], [run.entries], [run.has_error], names, last)
+
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -124,35 +126,49 @@ def fold_sessions(
 
         starts = np.flatnonzero(new_run)
         ends = np.append(starts[1:], len(t))
+        has_error = np.logical_or.reduceat(error, starts)
+        # Rows that bring a new name, as far as their run still shows names.
         changes = np.flatnonzero(new_name)
-        first_change = np.searchsorted(changes, starts)
-        kept_until = np.minimum(np.append(first_change[1:], len(changes)), first_change + keep)
-        has_error = np.maximum.reduceat(error, starts)
-
-        changed_names = name.take(pa.array(changes)).to_pylist()
-        threads = thread.take(pa.array(starts)).to_pylist()
-        lasts = name.take(pa.array(ends - 1)).to_pylist()
-        runs = [
-            _Fragment(th, int(t[s]), int(t[e - 1]), int(e - s), bool(bad), changed_names[a:b], last)
-            for th, s, e, bad, a, b, last in zip(
-                threads, starts, ends, has_error, first_change, kept_until, lasts
+        run_of_change = np.searchsorted(starts, changes, side="right") - 1
+        rank = np.arange(len(changes)) - np.searchsorted(changes, starts)[run_of_change]
+        changes, run_of_change = changes[rank < keep], run_of_change[rank < keep]
+        names_until = np.searchsorted(run_of_change, np.arange(len(starts) + 1))
+
+        def single(i: int) -> _Fragment:
+            shown = changes[names_until[i] : names_until[i + 1]]
+            return _Fragment(
+                thread[int(starts[i])].as_py(),
+                int(t[starts[i]]),
+                int(t[ends[i] - 1]),
+                int(ends[i] - starts[i]),
+                bool(has_error[i]),
+                name.take(pa.array(shown)).to_pylist(),
+                name[int(ends[i]) - 1].as_py(),
             )
-        ]
+
+        lo, hi = 0, len(starts) - 1
         if open_run is not None:
-            goes_on = (
-                open_run.thread == runs[0].thread
-                and (runs[0].start - open_run.finish) // 1000 <= window_millis
+            first = single(0)
+            if open_run.thread == first.thread and (first.start - open_run.finish) // 1000 <= window_millis:
+                open_run.extend(first, keep)
+                lo = 1
+                if hi == 0:
+                    continue
+            yield emit_one(open_run)
+        if lo < hi:
+            inner = changes[names_until[lo] : names_until[hi]]
+            offsets = pa.array(names_until[lo : hi + 1] - names_until[lo], pa.int32())
+            yield emit(
+                thread.take(pa.array(starts[lo:hi])),
+                t[starts[lo:hi]],
+                t[ends[lo:hi] - 1],
+                ends[lo:hi] - starts[lo:hi],
+                has_error[lo:hi],
+                pa.ListArray.from_arrays(offsets, name.take(pa.array(inner))),
             )
-            if goes_on:
-                open_run.extend(runs[0], keep)
-                runs[0] = open_run
-            else:
-                runs.insert(0, open_run)
-        open_run = runs.pop()
-        if runs:
-            yield emit(runs, last_is_edge=False)
+        open_run = single(hi)
     if open_run is not None:
-        yield emit([open_run], last_is_edge=True)
+        yield emit_one(open_run, last=True)
 
 
 RUNS_SCHEMA = "source_file string, block bigint, pos bigint, bytes array<int>"

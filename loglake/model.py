@@ -43,23 +43,23 @@ def level_name(word: str) -> str:
     return name
 
 
+def _lookup(values: dict, key: Column) -> Column:
+    """The value of a small fixed table at a key, null for other keys."""
+    pairs = ", ".join(f"{k!r}, {v!r}" for k, v in values.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
 def normalize_level(text: Column) -> Column:
     """Level named by a column of free text; unknown or missing text reads as INFO."""
-    upper = F.upper(F.btrim(text))
-    chain = None
-    for alias, name in LEVEL_ALIASES.items():
-        chain = (chain.when if chain is not None else F.when)(upper == alias, name)
-    return F.coalesce(chain.when(upper.isin(LEVELS), upper), F.lit(DEFAULT_LEVEL))
+    words = {**{name: name for name in LEVELS}, **LEVEL_ALIASES}
+    return F.coalesce(_lookup(words, F.upper(F.btrim(text))), F.lit(DEFAULT_LEVEL))
 
 
 def severity_of(level: Column) -> Column:
     """Rank 0..5 of a normalised level."""
-    chain = None
-    for name, rank in SEVERITY.items():
-        chain = (chain.when if chain is not None else F.when)(level == name, rank)
-    return F.coalesce(chain, F.lit(SEVERITY[DEFAULT_LEVEL])).cast("int")
+    return F.coalesce(_lookup(SEVERITY, level), F.lit(SEVERITY[DEFAULT_LEVEL]))
 
 
 def level_of(severity: Column) -> Column:
     """Level name of a rank, the inverse of :func:`severity_of`."""
-    return F.element_at(F.array(*[F.lit(name) for name in LEVELS]), severity + 1)
+    return F.element_at(F.expr(f"array({', '.join(map(repr, LEVELS))})"), severity + 1)

@@ -6,10 +6,11 @@ This is the bridge from the given tables to log data: the queries of the catalog
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loglake.functions.expressions import has_stack_trace
 from loglake.model import LOG_COLUMNS, severity_of
+from loglake.sources.formats import MULTI_LINE
 
 # Which class logs which kind of event.
 EVENT_LOGGERS = {
@@ -34,83 +35,69 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_logs(reader.parquet(sf_dir))
 
 
+_LEVEL = """
+    CASE WHEN e AND user_id % 10 = 0 THEN 'FATAL' WHEN e THEN 'ERROR'
+         WHEN event_type = 'purchase' THEN 'WARN' WHEN event_type = 'signup' THEN 'DEBUG'
+         WHEN event_type = 'view' AND k % 10 = 0 THEN 'TRACE' ELSE 'INFO' END"""
+_LOGGER = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in EVENT_LOGGERS.items()) + " END"
+_MESSAGE = """
+    CASE WHEN e AND value > 150 THEN
+           concat('Unclassified failure ', translate(md5(cast(event_id AS string)), '0123456789', 'ghijklmnop'))
+         WHEN e AND k % 4 = 0 THEN concat('NullPointerException: order ', event_id, ' is null')
+         WHEN e AND k % 4 = 1 THEN concat('Connection timeout after ', k, ' ms')
+         WHEN e AND k % 4 = 2 THEN concat('IllegalStateException: tx ', event_id, ' already committed')
+         WHEN e THEN concat('Failed to process payment for order #', event_id)
+         WHEN event_type = 'purchase' THEN concat('Payment gateway slow (', k, 'ms)')
+         ELSE concat(event_type, ' by user_', user_id, ' k=', k) END"""
+_STACK = r"""
+    CASE WHEN e AND value <= 150 AND k % 4 = 0 THEN
+           concat('java.lang.NullPointerException: null\n\tat com.example.OrderService.load(OrderService.java:',
+                  k % 20, ')\n\tat com.example.Web.call(Web.java:7)')
+         WHEN e AND value <= 150 AND k % 4 = 2 THEN
+           concat('java.lang.IllegalStateException: tx\n\tat com.example.Tx.commit(Tx.java:', k % 10, ')') END"""
+
+
 def as_logs(events: DataFrame) -> DataFrame:
     """One log entry per event; the fields follow from the event's own columns."""
-    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    kind, k, event_id = F.col("event_type"), F.col("k"), F.col("event_id")
-    is_error = kind == "error"
-    odd = is_error & (F.col("value") > 150)
-    level = (
-        F.when(is_error & (F.col("user_id") % 10 == 0), "FATAL")
-        .when(is_error, "ERROR")
-        .when(kind == "purchase", "WARN")
-        .when(kind == "signup", "DEBUG")
-        .when((kind == "view") & (k % 10 == 0), "TRACE")
-        .otherwise("INFO")
-    )
-    logger = None
-    for name, cls in EVENT_LOGGERS.items():
-        logger = (logger.when if logger is not None else F.when)(kind == name, cls)
-    letters = F.translate(F.md5(event_id.cast("string")), "0123456789", "ghijklmnop")
-    message = (
-        F.when(odd, F.concat(F.lit("Unclassified failure "), letters))
-        .when(is_error & (k % 4 == 0), F.format_string("NullPointerException: order %d is null", event_id))
-        .when(is_error & (k % 4 == 1), F.format_string("Connection timeout after %d ms", k))
-        .when(
-            is_error & (k % 4 == 2),
-            F.format_string("IllegalStateException: tx %d already committed", event_id),
-        )
-        .when(is_error, F.format_string("Failed to process payment for order #%d", event_id))
-        .when(kind == "purchase", F.format_string("Payment gateway slow (%dms)", k))
-        .otherwise(F.format_string("%s by user_%d k=%d", kind, F.col("user_id"), k))
-    )
-    stack = F.when(
-        is_error & ~odd & (k % 4 == 0),
-        F.format_string(
-            "java.lang.NullPointerException: null\n"
-            "\tat com.example.OrderService.load(OrderService.java:%d)\n"
-            "\tat com.example.Web.call(Web.java:7)",
-            k % 20,
-        ),
-    ).when(
-        is_error & ~odd & (k % 4 == 2),
-        F.format_string(
-            "java.lang.IllegalStateException: tx\n\tat com.example.Tx.commit(Tx.java:%d)", k % 10
-        ),
-    )
-    entries = events.select(
-        F.lit("events").alias("source_file"),
-        (event_id + 1).alias("line_number"),
+    entries = events.selectExpr(
+        "*", "cast(get_json_object(props, '$.k') AS int) AS k", "event_type = 'error' AS e"
+    ).selectExpr(
+        "'events' AS source_file",
+        "event_id + 1 AS line_number",
         "ts",
-        level.alias("level"),
-        logger.alias("logger"),
-        F.concat(F.lit("exec-"), (F.col("user_id") % 16).cast("string")).alias("thread"),
-        message.alias("message"),
-        stack.alias("stack_trace"),
+        f"{_LEVEL} AS level",
+        f"{_LOGGER} AS logger",
+        "concat('exec-', user_id % 16) AS thread",
+        f"{_MESSAGE} AS message",
+        f"{_STACK} AS stack_trace",
     )
-    raw = _logback_header()
     return entries.select(
-        "*", severity_of(F.col("level")).alias("severity"), raw.alias("raw")
+        "*", severity_of(F.col("level")).alias("severity"), F.expr(_LOGBACK).alias("raw")
     ).select(*LOG_COLUMNS)
 
 
-def _logback_header() -> Column:
-    return F.format_string(
-        "%s [%s] %s %s - %s",
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), "thread", "level", "logger", "message",
-    )
-
-
-def _status() -> Column:
-    return F.when(F.col("severity") >= 4, 500).when(F.col("severity") == 3, 404).otherwise(200)
-
-
-def _web_time() -> Column:
-    return F.concat(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" -0300"))
-
-
-def _request() -> Column:
-    return F.format_string("GET /orders/%d HTTP/1.1", F.col("line_number"))
+_LOGBACK = (
+    "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS'), ' [', thread, '] ', level, ' ', logger, ' - ', message)"
+)
+_LOG4J = (
+    "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss,SSS'), ' ', level, ' [', thread, '] ', logger, ' - ', message)"
+)
+_JSON = """to_json(named_struct(
+    '@timestamp', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), 'level', level, 'logger', logger,
+    'thread', thread, 'message', message, 'stack_trace', stack_trace))"""
+_WEB = """concat(thread, ' - - [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' -0300] "GET /orders/', line_number,
+    ' HTTP/1.1" ', CASE WHEN severity >= 4 THEN 500 WHEN severity = 3 THEN 404 ELSE 200 END, ' ', length(message))"""
+_APACHE_ERROR = """concat('[', date_format(ts, 'EEE MMM dd HH:mm:ss.SSSSSS yyyy'), '] [', lower(level), '] [pid ',
+    line_number, '] ', message)"""
+_RENDERINGS = {
+    "logback": _LOGBACK,
+    "custom": _LOGBACK,
+    "log4j": _LOG4J,
+    "json": _JSON,
+    "nginx": f"""concat({_WEB}, ' "-" "agent/', level, '"')""",
+    "apache": _WEB,
+    "apache-error": _APACHE_ERROR,
+}
 
 
 def render_lines(entries: DataFrame, format: str) -> DataFrame:
@@ -118,46 +105,13 @@ def render_lines(entries: DataFrame, format: str) -> DataFrame:
 
     ``apache-error`` renders the error-log shape of the apache format.
     """
-    ts, size = F.col("ts"), F.length("message")
-    if format == "logback":
-        header = _logback_header()
-    elif format == "custom":
-        header = _logback_header()
-    elif format == "log4j":
-        header = F.format_string(
-            "%s %s [%s] %s - %s",
-            F.date_format(ts, "yyyy-MM-dd HH:mm:ss,SSS"), "level", "thread", "logger", "message",
-        )
-    elif format == "json":
-        header = F.to_json(
-            F.struct(
-                F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("@timestamp"),
-                F.col("level"),
-                F.col("logger"),
-                F.col("thread"),
-                F.col("message"),
-                F.col("stack_trace"),
-            )
-        )
-    elif format == "nginx":
-        header = F.format_string(
-            '%s - - [%s] "%s" %d %d "-" "agent/%s"', "thread", _web_time(), _request(), _status(), size, "level"
-        )
-    elif format == "apache":
-        header = F.format_string(
-            '%s - - [%s] "%s" %d %d', "thread", _web_time(), _request(), _status(), size
-        )
-    elif format == "apache-error":
-        header = F.format_string(
-            "[%s] [%s] [pid %d] %s",
-            F.date_format(ts, "EEE MMM dd HH:mm:ss.SSSSSS yyyy"), F.lower("level"), "line_number", "message",
-        )
-    else:
+    if format not in _RENDERINGS:
         raise ValueError(f"cannot render {format!r}")
-    stack = F.col("stack_trace")
-    multi = format in ("logback", "log4j")
-    value = F.when(F.lit(multi) & has_stack_trace(stack), F.concat(header, F.lit("\n"), stack))
-    return entries.select("source_file", "line_number", value.otherwise(header).alias("value"))
+    value = F.expr(_RENDERINGS[format])
+    if format in MULTI_LINE:
+        stack = F.col("stack_trace")
+        value = F.when(has_stack_trace(stack), F.concat(value, F.lit("\n"), stack)).otherwise(value)
+    return entries.select("source_file", "line_number", value.alias("value"))
 
 
 def write_text_log(rendered: DataFrame, path: str) -> str:
