@@ -34,6 +34,8 @@ def build_session(app_name: str = "loglake", master: str | None = None, **option
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Call sites of column expressions are only for error messages; they slow planning.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
     }
     for key, value in {**defaults, **options}.items():
         builder = builder.config(key, value)

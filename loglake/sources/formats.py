@@ -264,29 +264,37 @@ def _json_object(line: Column) -> Column:
     return F.when(parsed["_bad"].isNull(), parsed)
 
 
-def _json_text(path: str) -> Column:
-    """Text of one field; an object or array has none and reads as ``''``."""
+def _json_text(path: str) -> str:
+    """SQL for the text of one field; an object or array has none and reads as ``''``.
+
+    Parsed fields show a container as its JSON text, which a string may look like too. Only
+    for text that starts like one is the line parsed again to tell the two apart.
+    """
     name, _, inner = path.partition(".")
-    value = F.col("_j")[name]
-    pointer = f"$['{name}']" + (f".{inner}" if inner else "")
+    value, pointer = f"_j.`{name}`", f"$[''{name}'']".replace("''", '"')
     if inner:
-        value = F.get_json_object(value, f"$.{inner}")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw"), pointer, "variant"))
-    nested = value.rlike(r"^\s*[{\[]") & kind.rlike("^(OBJECT|ARRAY)")
-    return F.when(F.coalesce(nested, F.lit(False)), F.lit("")).otherwise(value)
+        value, pointer = f"get_json_object({value}, '$.{inner}')", f"{pointer}.{inner}"
+    kind = f"schema_of_variant(try_variant_get(try_parse_json(raw), '{pointer}', 'variant'))"
+    return (
+        f"CASE WHEN {value} RLIKE '^\\\\s*[{{\\\\[]' THEN CASE WHEN {kind} RLIKE '^(OBJECT|ARRAY)' THEN '' ELSE {value} END"
+        f" ELSE {value} END"
+    )
+
+
+def _first_json_text(names: list[str], alias: str) -> str:
+    return f"coalesce({', '.join(map(_json_text, names))}) AS {alias}"
 
 
 def _json_fields(df: DataFrame) -> DataFrame:
-    first = lambda names: F.coalesce(*[_json_text(name) for name in names])
     found = df.withColumn("_j", _json_object(F.col("raw"))).where("_j IS NOT NULL")
-    texts = found.select(
+    texts = found.selectExpr(
         *[c for c in df.columns if not c.startswith("_")],
-        first(JSON_TIME_FIELDS).alias("_ts"),
-        first(JSON_LEVEL_FIELDS).alias("_level"),
-        first(JSON_LOGGER_FIELDS).alias("_logger"),
-        first(JSON_THREAD_FIELDS).alias("_thread"),
-        first(JSON_MESSAGE_FIELDS).alias("_message"),
-        first(JSON_STACK_FIELDS).alias("_stack"),
+        _first_json_text(JSON_TIME_FIELDS, "_ts"),
+        _first_json_text(JSON_LEVEL_FIELDS, "_level"),
+        _first_json_text(JSON_LOGGER_FIELDS, "_logger"),
+        _first_json_text(JSON_THREAD_FIELDS, "_thread"),
+        _first_json_text(JSON_MESSAGE_FIELDS, "_message"),
+        _first_json_text(JSON_STACK_FIELDS, "_stack"),
     )
     return _with_fields(
         texts, ts=json_time(F.col("_ts")), level=normalize_level(F.col("_level")),
