@@ -22,6 +22,7 @@ from loglake.sources.events import (
     stream_events,
     write_text_log,
 )
+from loglake.sources.stored import load_entries, save_entries
 from loglake.sources.text import (
     detect_formats,
     file_heads,
@@ -70,6 +71,13 @@ def _filtered(**conditions) -> Query:
     return _on_logs(run)
 
 
+def _filter_range_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    path = save_entries(events_as_logs(spark, sf_dir), scratch_dir(spark, "entries"))
+    kept = load_entries(spark, path, "2024-01-10", "2024-01-12 18:30")
+    return kept.select("line_number", "ts", "level", "logger", "thread", "message")
+
+
 def _as_text_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
     path = scratch_dir(spark, kind)
     return write_text_log(render_lines(events_as_logs(spark, sf_dir), kind), path)
@@ -265,6 +273,7 @@ def registered_queries() -> dict[str, Query]:
         "filter_today": _filtered(today=True),
         "filter_yesterday": _filtered(yesterday=True),
         "filter_range": _filtered(since="2024-01-10", until="2024-01-12 18:30"),
+        "filter_range_stored": _filter_range_stored,
         "filter_last": _filtered(last="36h"),
         "filter_text": _filtered(text="ILLEGALSTATE"),
         "filter_regex": _filtered(regex=r"order #?\d*7\b"),

@@ -291,7 +291,7 @@ def oracles() -> dict[str, str]:
         "filter_min_level": _q(_FILTERED + "severity >= 4"),
         "filter_today": _q(_FILTERED + "CAST(ts AS DATE) = DATE '2024-01-30'"),
         "filter_yesterday": _q(_FILTERED + "CAST(ts AS DATE) = DATE '2024-01-29'"),
-        "filter_range": _q(_FILTERED + "ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12 18:30:00'"),
+        **{name: _q(_FILTERED + "ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12 18:30:00'") for name in ("filter_range", "filter_range_stored")},
         "filter_last": _q(_FILTERED + "ts >= TIMESTAMP '2024-01-29 00:00:00'"),
         "filter_text": _q(_FILTERED + "contains(lower(message), 'illegalstate') OR contains(lower(stack_trace), 'illegalstate')"),
         "filter_regex": _q(_FILTERED + r"regexp_matches(message, '(?i)order #?\d*7\b') OR regexp_matches(stack_trace, '(?i)order #?\d*7\b')"),

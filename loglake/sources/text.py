@@ -260,6 +260,9 @@ def read_logs(
     if not files:
         raise ValueError(f"no log files found in {paths!r}")
     formats = formats_of_files(spark, files)
+    if len(set(formats.values())) == 1:
+        lines = read_lines(spark, paths, **options)
+        return parse_lines(lines, formats[files[0]], stacks=stacks, few_blocks=blocks_are_few(lines))
     parts = []
     for name in sorted(set(formats.values())):
         members = [exact_path(path) for path in files if formats[path] == name]

@@ -303,3 +303,14 @@ def test_stacks(entries):
     assert stacks.stack_at(df, 5).collect() == []
     with pytest.raises(ValueError):
         stacks.stack_at(df, 0)
+
+
+def test_stored_entries_are_pruned_by_day(spark, four, tmp_path):
+    from loglake.sources import load_entries, save_entries
+
+    path = save_entries(four, str(tmp_path / "stored"))
+    assert load_entries(spark, path).count() == 4
+    kept = load_entries(spark, path, "2025-03-05 06:00", "2025-03-05 11:40")
+    assert lines(kept) == [2, 3]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
