@@ -1,13 +1,14 @@
 """The log formats: how a header line looks and which fields it holds.
 
-Each format is a pair of column expressions over a line. Regex formats are matched
-once per line: the match is rewritten to its groups, one per line break (a line
-itself holds none), so no group costs a second pass over the text.
+A format knows which lines are headers and how to project header lines to fields. Regex
+formats are matched once per line for that: the match is rewritten to its groups, one per
+line break (a line itself holds none), so no group costs a second pass over the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -79,12 +80,26 @@ def format_name(name: str) -> str:
 # --- matching ---------------------------------------------------------------
 
 
-def _groups(line: Column, pattern: str, n: int) -> Column:
-    """Groups of a whole-line match as an array; null when the line does not match."""
-    rewritten = F.regexp_replace(
-        line, f"^(?:{pattern})\\z", "".join(f"\n${i}" for i in range(1, n + 1))
-    )
-    return F.when(rewritten.startswith("\n"), F.split(F.substr(rewritten, F.lit(2)), "\n", -1))
+def _rewritten(line: Column, pattern: str, groups: int, tag: str = "") -> Column:
+    """A matching line as a line break, the tag, and its groups after a break each; others as is."""
+    text = f"\n{tag}" + "".join(f"\n${i}" for i in range(1, groups + 1))
+    return F.regexp_replace(line, f"^(?:{pattern})\\z", text)
+
+
+def _with_groups(df: DataFrame, rewritten: Column, headers_only: bool) -> DataFrame:
+    """``_g``: the tag and the groups of each header line; other lines are dropped.
+
+    A generator drops them, because a filter would be pushed below the projection and
+    match every line a second time.
+    """
+    if not headers_only:
+        hit = F.filter(F.array(rewritten), lambda text: text.startswith("\n"))
+        df, rewritten = df.select("*", F.explode(hit).alias("_hit")), F.col("_hit")
+    return df.withColumn("_g", F.split(F.substr(rewritten, F.lit(2)), "\n", -1))
+
+
+def _group(i: int) -> Column:
+    return F.col("_g")[i]
 
 
 def _matches(line: Column, pattern: str) -> Column:
@@ -95,8 +110,6 @@ def _matches(line: Column, pattern: str) -> Column:
 
 _PLAIN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}([.,]\d{3})?\z"
 _PLAIN_DOT = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{3})?\z"
-_PLAIN_MILLIS = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}[.,]\d{3}\z"
-_T_DOT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?\z"
 _ISO = r"(?i)^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2}(:\d{2})?)?\z"
 _ISO_LOCAL = r"(?i)^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?\z"
 _WEB = rf"^\d{{2}}/({'|'.join(MONTHS)})/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}} [+-]\d{{4}}\z"
@@ -120,11 +133,16 @@ def _pattern_time(text: Column) -> Column:
 
 
 def logback_time(text: Column) -> Column:
-    return F.when(text.rlike(_PLAIN) | text.rlike(_T_DOT), _pattern_time(text))
+    """The line pattern vouches for the digits; left to check are the fraction and its mark."""
+    mark = F.substring(text, 20, 1)
+    millis = (F.length(text) == 23) & ((mark == ".") | ((mark == ",") & (F.substring(text, 11, 1) == " ")))
+    return F.when((F.length(text) == 19) | millis, _pattern_time(text))
 
 
 def log4j_time(text: Column) -> Column:
-    return F.when(text.rlike(_PLAIN_MILLIS), _pattern_time(text))
+    """The line pattern vouches for all but the blanks between date and time."""
+    plain = (F.length(text) == 23) & (F.substring(text, 11, 1) == " ")
+    return F.when(plain, _pattern_time(text))
 
 
 def json_time(text: Column) -> Column:
@@ -160,15 +178,15 @@ def web_time(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class LineFormat:
-    """``matches`` tells header lines; ``fields`` projects header lines to entry columns.
+    """``matches(line)`` tells header lines; ``fields(df, headers_only)`` projects them.
 
-    ``fields(df)`` expects ``df`` to hold ``raw`` (a line) and keeps its other columns;
-    lines that are no header are dropped by it.
+    ``df`` holds a line in ``raw``; its other columns are kept. Lines that are no header
+    are dropped, which costs nothing when the caller knows that all are.
     """
 
     name: str
-    matches: object
-    fields: object
+    matches: Callable[[Column], Column]
+    fields: Callable[[DataFrame, bool], DataFrame]
 
     @property
     def multi_line(self) -> bool:
@@ -187,16 +205,14 @@ def _with_fields(df: DataFrame, **columns: Column | None) -> DataFrame:
 
 
 def _pattern_format(name, pattern, n, ts, level, thread, logger, message, read_time) -> LineFormat:
-    def fields(df: DataFrame) -> DataFrame:
-        found = df.withColumn("_g", _groups(F.col("raw"), pattern, n)).where("_g IS NOT NULL")
-        g = lambda i: F.col("_g")[i - 1]
+    def fields(df: DataFrame, headers_only: bool = False) -> DataFrame:
         return _with_fields(
-            found,
-            ts=read_time(g(ts)),
-            level=normalize_level(g(level)),
-            logger=trimmed(g(logger)),
-            thread=trimmed(g(thread)),
-            message=trimmed(g(message)),
+            _with_groups(df, _rewritten(F.col("raw"), pattern, n), headers_only),
+            ts=read_time(_group(ts)),
+            level=normalize_level(_group(level)),
+            logger=trimmed(_group(logger)),
+            thread=trimmed(_group(thread)),
+            message=trimmed(_group(message)),
         )
 
     return LineFormat(name, lambda line: _matches(line, pattern), fields)
@@ -210,37 +226,35 @@ def _status_level(status: Column) -> Column:
     )
 
 
-def _nginx_fields(df: DataFrame) -> DataFrame:
-    found = df.withColumn("_g", _groups(F.col("raw"), NGINX_LINE, 8)).where("_g IS NOT NULL")
-    g = lambda i: F.col("_g")[i - 1]
-    status = g(5).cast("int")
+def _nginx_fields(df: DataFrame, headers_only: bool = False) -> DataFrame:
+    status = _group(5).cast("int")
     message = F.concat(
-        g(4), F.lit(" ["), status.cast("string"), F.lit("] "), g(6), F.lit(" bytes - "), g(8)
+        _group(4), F.lit(" ["), status.cast("string"), F.lit("] "), _group(6), F.lit(" bytes - "), _group(8)
     )
     return _with_fields(
-        found, ts=web_time(g(3)), level=_status_level(status), logger=F.lit("nginx"),
-        thread=g(1), message=message,
+        _with_groups(df, _rewritten(F.col("raw"), NGINX_LINE, 8), headers_only),
+        ts=web_time(_group(3)),
+        level=_status_level(status),
+        logger=F.lit("nginx"),
+        thread=_group(1),
+        message=message,
     )
 
 
-def _apache_fields(df: DataFrame) -> DataFrame:
-    line = F.col("raw")
-    found = (
-        df.withColumn("_a", _groups(line, APACHE_ACCESS_LINE, 8))
-        .withColumn("_e", F.when(F.col("_a").isNull(), _groups(line, APACHE_ERROR_LINE, 3)))
-        .where("_a IS NOT NULL OR _e IS NOT NULL")
-    )
-    a = lambda i: F.col("_a")[i - 1]
-    access = F.col("_a").isNotNull()
-    status = a(5).cast("int")
-    request = F.concat(a(4), F.lit(" ["), status.cast("string"), F.lit("] "), a(6))
+def _apache_fields(df: DataFrame, headers_only: bool = False) -> DataFrame:
+    # A rewritten access line starts with a break, so the error pattern leaves it alone.
+    access_first = _rewritten(F.col("raw"), APACHE_ACCESS_LINE, 8, tag="access")
+    either = _rewritten(access_first, APACHE_ERROR_LINE, 3, tag="error")
+    access = _group(0) == "access"
+    status = F.when(access, _group(5)).try_cast("int")
+    request = F.concat(_group(4), F.lit(" ["), status.cast("string"), F.lit("] "), F.get("_g", F.lit(6)))
     return _with_fields(
-        found,
-        ts=F.when(access, web_time(a(3))),
-        level=F.when(access, _status_level(status)).otherwise(normalize_level(F.col("_e")[1])),
+        _with_groups(df, either, headers_only),
+        ts=F.when(access, web_time(_group(3))),
+        level=F.when(access, _status_level(status)).otherwise(normalize_level(_group(2))),
         logger=F.when(access, F.lit("apache")).otherwise(F.lit("apache-error")),
-        thread=F.when(access, a(1)),
-        message=F.when(access, request).otherwise(F.col("_e")[2]),
+        thread=F.when(access, _group(1)),
+        message=F.when(access, request).otherwise(_group(3)),
     )
 
 
@@ -258,10 +272,10 @@ _JSON_SCHEMA = ", ".join(f"`{name}` STRING" for name in [*_JSON_NAMES, "_bad"])
 _MARKERS = [*JSON_TIME_FIELDS, *JSON_LEVEL_FIELDS, *JSON_MESSAGE_FIELDS]
 
 
-def _json_object(line: Column) -> Column:
-    """The line's known fields as text, read in one parse; null when it is no JSON object."""
+def _json_objects(line: Column) -> Column:
+    """The line's known fields as text, read in one parse; empty when it is no JSON object."""
     parsed = F.from_json(line, _JSON_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
-    return F.when(parsed["_bad"].isNull(), parsed)
+    return F.filter(F.array(parsed), lambda fields: fields.isNotNull() & fields["_bad"].isNull())
 
 
 def _json_text(path: str) -> str:
@@ -285,8 +299,8 @@ def _first_json_text(names: list[str], alias: str) -> str:
     return f"coalesce({', '.join(map(_json_text, names))}) AS {alias}"
 
 
-def _json_fields(df: DataFrame) -> DataFrame:
-    found = df.withColumn("_j", _json_object(F.col("raw"))).where("_j IS NOT NULL")
+def _json_fields(df: DataFrame, headers_only: bool = False) -> DataFrame:
+    found = df.select("*", F.explode(_json_objects(F.col("raw"))).alias("_j"))
     texts = found.selectExpr(
         *[c for c in df.columns if not c.startswith("_")],
         _first_json_text(JSON_TIME_FIELDS, "_ts"),
@@ -315,7 +329,7 @@ def custom_format(template: str | None) -> LineFormat:
     Text between the placeholders is literal. Without a template no line is an entry.
     """
     if not template:
-        return LineFormat("custom", lambda line: F.lit(False), lambda df: _with_fields(df.where("false")))
+        return LineFormat("custom", lambda line: F.lit(False), lambda df, headers_only=False: _with_fields(df.where("false")))
     names, pattern, at = [], "", 0
     for found in re.finditer(r"\{(\w+)\}", template):
         if found[1] not in CUSTOM_PLACEHOLDERS:
@@ -327,13 +341,10 @@ def custom_format(template: str | None) -> LineFormat:
         at = found.end()
     pattern += re.escape(template[at:])
 
-    def fields(df: DataFrame) -> DataFrame:
-        found = df.withColumn("_g", _groups(F.col("raw"), pattern, max(len(names), 1) if names else 0))
-        if not names:
-            return _with_fields(df.where(_matches(F.col("raw"), pattern)), level=F.lit("INFO"))
-        g = {name: F.col("_g")[i] for i, name in enumerate(names)}
+    def fields(df: DataFrame, headers_only: bool = False) -> DataFrame:
+        g = {name: _group(i) for i, name in enumerate(names, start=1)}
         return _with_fields(
-            found.where("_g IS NOT NULL"),
+            _with_groups(df, _rewritten(F.col("raw"), pattern, len(names)), headers_only),
             ts=custom_time(g["data"]) if "data" in g else None,
             level=normalize_level(g["nivel"]) if "nivel" in g else F.lit("INFO"),
             logger=g.get("logger", g.get("classe")),

@@ -139,7 +139,7 @@ def _as_entries(parsed: DataFrame) -> DataFrame:
 def single_line_entries(lines: DataFrame, fmt: LineFormat, few_blocks: bool = False) -> DataFrame:
     """Entries of the lines that match; all others are dropped. No line is shuffled."""
     numbered = with_line_numbers(lines, few_blocks)
-    return _as_entries(fmt.fields(numbered.withColumnRenamed("value", "raw")))
+    return _as_entries(fmt.fields(numbered.withColumnRenamed("value", "raw"), False))
 
 
 def multi_line_entries(lines: DataFrame, fmt: LineFormat, few_blocks: bool = False) -> DataFrame:
@@ -181,7 +181,7 @@ def multi_line_entries(lines: DataFrame, fmt: LineFormat, few_blocks: bool = Fal
         "raw",
         F.nullif(F.regexp_replace(joined, r"^\n+", ""), F.lit("")).alias("stack"),
     )
-    parsed = fmt.fields(entries).withColumn("stack_trace", F.col("stack"))
+    parsed = fmt.fields(entries, True).withColumn("stack_trace", F.col("stack"))
     return _as_entries(parsed)
 
 
