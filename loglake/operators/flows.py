@@ -78,7 +78,10 @@ def flow_sessions(df: DataFrame, window: str | int = FLOW_WINDOW) -> DataFrame:
         (F.col("start") - F.lag("finish").over(in_order)) / 1000
     )
     numbered = fragments.withColumn("_new", (gap > millis).cast("int")).withColumn(
-        "_run", F.sum(F.coalesce("_new", F.lit(0))).over(in_order)
+        "_run",
+        F.sum(F.coalesce("_new", F.lit(0))).over(
+            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ),
     )
     parts = F.sort_array(F.collect_list(F.struct("task", "seq", "names")))["names"]
     merged = numbered.groupBy("thread", "solo", "_run").agg(

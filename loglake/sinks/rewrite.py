@@ -101,7 +101,11 @@ def _next_fit(lines: DataFrame, limit: int) -> DataFrame:
         carried, BLOCK, "left"
     ).select(*BLOCK, F.max("_last").over(in_file).alias("_carried"))
     marks = starts.select(*BLOCK, "pos", "part", F.lit(None).cast("string").alias("value"))
-    in_block = Window.partitionBy(*BLOCK).orderBy("pos", F.col("value").isNotNull())
+    in_block = (
+        Window.partitionBy(*BLOCK)
+        .orderBy("pos", F.col("value").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     mixed = lines.withColumn("part", F.lit(None).cast("bigint")).unionByName(marks)
     return (
         mixed.withColumn("_part", F.max("part").over(in_block))

@@ -165,7 +165,11 @@ def multi_line_entries(lines: DataFrame, fmt: LineFormat, few_blocks: bool = Fal
         )
         .where("_home IS NOT NULL")
     )
-    in_order = Window.partitionBy("source_file", "_home").orderBy("line_number")
+    in_order = (
+        Window.partitionBy("source_file", "_home")
+        .orderBy("line_number")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     owned = routed.withColumn(
         "_entry", F.max(F.when(F.col("_head"), F.col("line_number"))).over(in_order)
     )
