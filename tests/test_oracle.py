@@ -6,11 +6,13 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import connect, differences
+from loglake.plans.catalog import registered_queries
+from loglake.plans.oracle import oracles
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = registered_queries()
+ORACLES = oracles()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
