@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, urls
+from loglake.llm import chat, pii, urls
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over whole tables."""
     return {
         "op2_chat_format": chat.op2_chat_format,
+        "op4_pii": pii.op4_pii,
         "op10_url_filter": urls.op10_url_filter,
     }
 
