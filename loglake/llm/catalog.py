@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, pii, urls
+from loglake.llm import chat, pii, tokens, urls
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over whole tables."""
     return {
+        "op1_token_counts": tokens.op1_token_counts,
         "op2_chat_format": chat.op2_chat_format,
         "op4_pii": pii.op4_pii,
+        "op7_packing": tokens.op7_packing,
         "op10_url_filter": urls.op10_url_filter,
     }
 
