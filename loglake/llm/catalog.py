@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, pii, tokens, urls
+from loglake.llm import chat, decontaminate, neardup, pii, tokens, urls
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": chat.op2_chat_format,
         "op4_pii": pii.op4_pii,
         "op7_packing": tokens.op7_packing,
+        "op8_decontamination": decontaminate.op8_decontamination,
+        "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_url_filter": urls.op10_url_filter,
     }
 
@@ -24,4 +26,6 @@ def llm_oracles() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
     return {
         "op2_chat_format": chat.OP2_SQL,
+        "op8_decontamination": decontaminate.OP8_SQL,
+        "op9_near_duplicates": neardup.OP9_SQL,
     }
