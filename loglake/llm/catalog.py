@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, decontaminate, neardup, pii, tokens, urls
+from loglake.llm import chat, decontaminate, neardup, pii, secrets, tokens, urls, vectors
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": tokens.op1_token_counts,
         "op2_chat_format": chat.op2_chat_format,
+        "op3_embedding_links": vectors.op3_embedding_links,
         "op4_pii": pii.op4_pii,
+        "op5_secrets": secrets.op5_secrets,
         "op7_packing": tokens.op7_packing,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_near_duplicates": neardup.op9_near_duplicates,
@@ -26,6 +28,7 @@ def llm_oracles() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
     return {
         "op2_chat_format": chat.OP2_SQL,
+        "op3_embedding_links": vectors.OP3_SQL,
         "op8_decontamination": decontaminate.OP8_SQL,
         "op9_near_duplicates": neardup.OP9_SQL,
     }
