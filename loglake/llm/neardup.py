@@ -5,9 +5,11 @@ evaluations make a signature of the same length. Bands of signature values propo
 that matters is confirmed on full shingle sets.
 
 Documents with equal shingle sets are one class, represented by their smallest id. Inside a band's bucket all
-members are compared with one pivot first; confirmed links join components, and only members still in
-different components are compared further, at last all of them with each other. So a bucket of very many
-copies costs one comparison each, and no link between components is given up.
+members are compared with one pivot first, and confirmed links join components. What is left of a bucket
+outside its largest component is then compared with all its members: pair by pair in small buckets, in a
+grid of blocks in large ones, where a task counts shared shingles through an inverted index and returns one link per
+component. So a bucket of very many copies costs one comparison each, no link between components is
+given up, and pairs of a large bucket are never rows.
 
 A document without words (also null text) has an empty set and is linked with nothing. Fewer words than a
 shingle: the whole sequence is the one shingle. Rows that repeat a ``doc_id`` are one node with several texts.
@@ -34,8 +36,10 @@ PERCENT = 80
 #: 96 permutations give 192 values: 32 bands of 6, which miss a pair at 0.8 once in 16,000.
 PERMUTATIONS = 96
 BAND_ROWS = 6
-#: Rounds in which each unsettled bucket is compared with one more pivot, before the round that compares all.
-PIVOT_ROUNDS = 3
+#: Buckets up to this size are compared pair by pair; larger ones in blocks of so many members and outsiders.
+SMALL_BUCKET = 48
+BLOCK_MEMBERS = 1024
+BLOCK_OUTSIDERS = 512
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -123,6 +127,60 @@ def confirm(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
+def _small_buckets(unsettled: DataFrame, checked: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
+    """Links of small buckets: pairs between an outsider and a member of another component, each once."""
+    small = unsettled.filter(F.col("size") <= SMALL_BUCKET)
+    outsiders = small.filter(F.col("root") != F.col("main")).select(
+        "key", F.col("doc_id").alias("o_id"), F.col("n").alias("o_n"), F.col("root").alias("o_root")
+    )
+    pairs = (
+        small.join(outsiders, "key")
+        .filter((F.col("root") != F.col("o_root")) & _fits("n", "o_n"))
+        .select(F.least("doc_id", "o_id").alias("a"), F.greatest("doc_id", "o_id").alias("b"))
+        .distinct()
+        .join(checked, ["a", "b"], "left_anti")
+    )
+    return confirm(pairs, bodies, k)
+
+
+def _large_buckets(unsettled: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
+    """Links of large buckets: blocks of outsiders against blocks of members, one link per component found."""
+    large = unsettled.filter(F.col("size") > SMALL_BUCKET)
+    down, across = F.ceil(F.col("out") / BLOCK_OUTSIDERS), F.ceil(F.col("size") / BLOCK_MEMBERS)
+    spot = F.xxhash64("doc_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    members = large.select("key", "doc_id", "root", F.pmod(spot, across).alias("col"), every(down).alias("row"), F.lit(False).alias("asks"))
+    outsiders = large.filter(F.col("root") != F.col("main")).select(
+        "key", "doc_id", "root", F.pmod(spot, down).alias("row"), every(across).alias("col"), F.lit(True).alias("asks")
+    )
+    cells = members.unionByName(outsiders).join(bodies, "doc_id")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        ids, roots = cell.column("doc_id").to_numpy(), cell.column("root").to_numpy()
+        asks = np.array(cell.column("asks").to_pylist(), bool)
+        sets = [shingle_set(t, k) for t in cell.column("text").to_pylist()]
+        data, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+        a, b = [], []
+        if len(data) and len(queries):
+            sizes = np.array([len(sets[i]) for i in data])
+            postings, owners = np.concatenate([sets[i] for i in data]), np.repeat(np.arange(len(data)), sizes)
+            order = np.argsort(postings, kind="stable")
+            postings, owners = postings[order], owners[order]
+            for q in queries:
+                first, last = np.searchsorted(postings, sets[q], "left"), np.searchsorted(postings, sets[q], "right")
+                lengths = last - first
+                at = np.arange(lengths.sum()) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
+                common = np.bincount(owners[at], minlength=len(data))
+                linked = (100 * common >= PERCENT * (sizes + len(sets[q]) - common)) & (roots[data] != roots[q])
+                _, one = np.unique(roots[data[linked]], return_index=True)
+                partners = ids[data[linked]][one].tolist()
+                a += [int(ids[q])] * len(partners)
+                b += partners
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("key", "row", "col").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``documents``."""
     signed = signatures(documents, k)
@@ -145,38 +203,18 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     )
     checked = stored(pairs, "pairs")
     groups = components(confirm(checked, bodies, k))
-    for turn in range(PIVOT_ROUNDS + 1):
-        named = buckets.select("key", "doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        named = named.select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = mixed.filter(F.col("low") != F.col("high"))
-        unsettled = stored(named.join(mixed, "key"), "unsettled")
-        pivots = unsettled.filter(F.col("root") != F.col("low"))
-        if turn < PIVOT_ROUNDS:
-            # One pivot outside the bucket's first component; the choice moves on from round to round.
-            order = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "root")
-            pivots = pivots.groupBy("key").agg(F.min(order).alias("p")).select(
-                "key", F.col("p.doc_id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.root").alias("p_root")
-            )
-        else:
-            pivots = pivots.select(
-                "key", F.col("doc_id").alias("p_id"), F.col("n").alias("p_n"), F.col("root").alias("p_root")
-            )
-        open_pairs = (
-            unsettled.join(pivots, "key")
-            .filter((F.col("root") != F.col("p_root")) & _fits("n", "p_n"))
-            .select(F.least("doc_id", "p_id").alias("a"), F.greatest("doc_id", "p_id").alias("b"))
-            .distinct()
-            .join(checked, ["a", "b"], "left_anti")
-        )
-        fresh = stored(open_pairs, "pairs")
-        if fresh.isEmpty():
-            if turn == PIVOT_ROUNDS:
-                break
-            continue
-        found = confirm(fresh, bodies, k)
-        groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        checked = checked.unionByName(fresh)
+    named = buckets.select("key", "doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = named.select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    mixed = (
+        named.groupBy("key", "root").agg(F.count("*").alias("c"))
+        .groupBy("key").agg(F.max(F.struct("c", (-F.col("root")).alias("root"))).alias("most"), F.sum("c").alias("size"))
+        # In a bucket of two, the pivot has met the other already.
+        .filter((F.col("most.c") < F.col("size")) & (F.col("size") > 2))
+        .select("key", "size", (F.col("size") - F.col("most.c")).alias("out"), (-F.col("most.root")).alias("main"))
+    )
+    unsettled = stored(named.join(mixed, "key"), "unsettled")
+    found = _small_buckets(unsettled, checked, bodies, k).unionByName(_large_buckets(unsettled, bodies, k))
+    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     roots = (
         classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select("fp1", "fp2", F.coalesce("root", "rep").alias("root"))
