@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, decontaminate, neardup, pii, secrets, tokens, urls, vectors
+from loglake.llm import chat, decontaminate, neardup, pii, secrets, tokens, toxicity, urls, vectors
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_embedding_links": vectors.op3_embedding_links,
         "op4_pii": pii.op4_pii,
         "op5_secrets": secrets.op5_secrets,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_packing": tokens.op7_packing,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_near_duplicates": neardup.op9_near_duplicates,

@@ -209,6 +209,14 @@ def _joined(documents: DataFrame, shared) -> DataFrame:
 _JOINED = "doc_id bigint, text string, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
 
 
+def _posting_blocks(benchmark: DataFrame, window: int, shingle: int, min_item_words: int):
+    """Blocks that have windows, and how many shingles of each size they hold."""
+    for items in _blocks(benchmark):
+        block = Block.of([(i, t) for i, t in items if t is not None and len(words(t)) >= min_item_words], window, shingle)
+        if block.windows:
+            yield block, {k: len(v) for k, v in block.shingles.items()}
+
+
 def find_contamination(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS,
     min_item_words: int = 1,
@@ -226,18 +234,42 @@ def find_contamination(
         none.cast("array<bigint>").alias("ends"), none.cast("array<string>").alias("items"),
     )
     joined = None
-    for items in _blocks(benchmark):
-        kept = [(i, t) for i, t in items if t is not None and len(words(t)) >= min_item_words]
-        block = Block.of(kept, window, shingle)
-        if not block.windows:
-            continue
-        sizes = {k: len(v) for k, v in block.shingles.items()}
+    for block, sizes in _posting_blocks(benchmark, window, shingle, min_item_words):
         frequency = _rarity(source, context.broadcast(block), sizes)
         posted = context.broadcast(block.post(frequency, shingle))
         joined = _joined(found if joined is None else stored(joined, "decontaminated"), posted)
     return _joined(found, None) if joined is None else joined
 
 
+def drop_contaminated(
+    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, shingle: int = SHINGLE_WORDS,
+    min_item_words: int = 1,
+) -> DataFrame:
+    """The rows of ``documents`` that hold no window of any item, with all their columns."""
+    context, at = documents.sparkSession.sparkContext, documents.columns.index("text")
+    # Columns go by position, so their names cannot clash.
+    kept = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    source = kept.select(F.coalesce(f"c{at}", F.lit("")).alias("text"))
+    first = True
+    for block, sizes in _posting_blocks(benchmark, window, shingle, min_item_words):
+        frequency = _rarity(source, context.broadcast(block), sizes)
+        posted = context.broadcast(block.post(frequency, shingle))
+        kept = (kept if first else stored(kept, "decontaminated")).mapInArrow(_without_hits(posted, at), kept.schema)
+        first = False
+    return kept.toDF(*documents.columns)
+
+
+def _without_hits(shared, at: int):
+    def keep(batches):
+        block = shared.value
+        for batch in batches:
+            for first, run in chunks(batch, at):
+                clean = [not block.hits(block.numbers(words(text)))[1] for text in run]
+                yield batch.slice(first, len(run)).filter(pa.array(clean, pa.bool_()))
+
+    return keep
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of ``benchmark`` each of ``documents`` holds."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

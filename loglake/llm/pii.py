@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.llm.shared import stored, table, texts
+from loglake.llm.shared import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -140,12 +140,14 @@ def _contexts(before: Column, after: Column) -> Column:
     return F.array_compact(made)
 
 
-def scan(documents: DataFrame) -> DataFrame:
+def scan(documents: DataFrame, whole: bool = False) -> DataFrame:
     """One pass over the texts: ``(row, doc_id, base, mentions)``, written to the shared folder.
 
+    ``whole`` adds ``doc``, the document's own row.
+
     ``mentions`` holds the fixed matches (with their kind) and the candidates (kind null).
     """
-    d = texts(documents)
+    d = documents.select("doc_id", F.coalesce(documents["text"], F.lit("")).alias("text"), *_packed(documents, whole))
     for kind in KINDS:
         d = with_hits(d, kind, PATTERNS[kind], _HINT[kind](F.col("text")))
         d = d.withColumn(kind, F.filter(kind, _check(kind)))
@@ -178,10 +180,17 @@ def scan(documents: DataFrame) -> DataFrame:
         .withColumn("other", F.filter(F.transform("other", trimmed), free))
         .select(
             F.monotonically_increasing_id().alias("row"), "doc_id", "base",
-            F.concat(*seeds, candidates).alias("mentions"),
+            F.concat(*seeds, candidates).alias("mentions"), *(["doc"] if whole else []),
         )
     )
-    return stored(found, "pii-scan")
+    return stored(found, "pii-scan", compression="zstd")
+
+
+def _packed(documents: DataFrame, whole: bool) -> list[Column]:
+    """A document's columns by position, so that their names cannot clash with others."""
+    if not whole:
+        return []
+    return [F.struct(*[documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns)]).alias("doc")]
 
 
 def discover(mentions: DataFrame) -> DataFrame:
@@ -227,9 +236,12 @@ def discover(mentions: DataFrame) -> DataFrame:
     )
 
 
-def find_pii(documents: DataFrame) -> DataFrame:
-    """``(row, doc_id, base, spans)``: fixed matches, and all spans, as arrays of (start, kind, end)."""
-    scanned = scan(documents)
+def find_pii(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """``(row, doc_id, base, spans)``: fixed matches, and all spans, as arrays of (start, kind, end).
+
+    ``whole`` adds ``doc``, the document's own row with columns ``c0``, ``c1`` and so on.
+    """
+    scanned, carried = scan(documents, whole), (["doc"] if whole else [])
     open_mentions = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     accepted = discover(open_mentions.select("value", "patterns", "kind"))
     extra = (
@@ -241,10 +253,10 @@ def find_pii(documents: DataFrame) -> DataFrame:
     )
     nothing = F.expr("array()").cast(_SPAN)
     return (
-        scanned.select("row", "doc_id", "base")
+        scanned.select("row", "doc_id", "base", *carried)
         .join(extra, "row", "left")
         .select(
-            "row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("extra", nothing))).alias("spans")
+            "row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("extra", nothing))).alias("spans"), *carried
         )
     )
 
@@ -279,6 +291,18 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(F.concat_ws("", done["out"]), rest)).otherwise(text)
 
 
+def mask_documents(documents: DataFrame) -> DataFrame:
+    """All rows with personal data masked; a column ``n_chars`` is counted anew, others stay as they are."""
+    found = find_pii(documents, whole=True)
+    columns = {c: F.col(f"doc.c{i}") for i, c in enumerate(documents.columns)}
+    text = F.when(columns["text"].isNotNull(), masked(columns["text"], F.col("spans")))
+    columns["text"] = text
+    if "n_chars" in columns:
+        kind = dict(documents.dtypes)["n_chars"]
+        columns["n_chars"] = F.coalesce(F.length(text).cast(kind), columns["n_chars"])
+    return found.select(*[column.alias(c) for c, column in columns.items()])
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = find_pii(table(spark, sf_dir, "documents"))

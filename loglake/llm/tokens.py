@@ -34,7 +34,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
+def chunks(batch: pa.RecordBatch, column: str | int = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Texts of a batch in runs of bounded size, with the row each run starts at."""
     run, first, size = [], 0, 0
     values = batch.column(column)
