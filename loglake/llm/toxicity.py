@@ -110,21 +110,32 @@ _VALID = _VALID.reshape(-1)
 
 def _norms(codes: np.ndarray) -> np.ndarray:
     total = np.zeros(len(codes))
-    for index, weight in _triples(codes):
-        total += weight**2 * _VALID[index].sum(axis=1)
+    for first in range(0, len(codes), 4000):
+        for index, weight in _triples(codes[first : first + 4000]):
+            total[first : first + 4000] += weight**2 * _VALID[index].sum(axis=1)
     return np.sqrt(np.maximum(total, 1e-9))
 
 
-def _against(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Weighted sums of table entries: strings by tables. Only subsequences that some table has are looked at."""
-    used = np.flatnonzero(tables.any(axis=0))
-    place = np.full(tables.shape[1], -1, np.int32)
+def _features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table indices of the subsequences a few strings have, and their normed weights (subsequences by strings)."""
+    used = np.unique(np.concatenate([index[_VALID[index] > 0] for index, _ in _triples(codes)]))
+    place = np.full(_SIZE**3, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    out = np.zeros((len(used) + 1, len(codes)), np.float32)
+    owner = np.arange(len(codes))[:, None]
+    for index, weight in _triples(codes):
+        np.add.at(out, (place[index], np.broadcast_to(owner, index.shape)), weight)
+    return used, out[:-1] / _norms(codes).astype(np.float32)
+
+
+def _against(codes: np.ndarray, used: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Kernel values before norming, strings by landmarks; a few strings at a time, to bound memory."""
+    place = np.full(_SIZE**3, -1, np.int32)
     place[used] = np.arange(len(used))
-    columns = np.ascontiguousarray(tables[:, used].T)
-    out = np.zeros((len(codes), len(tables)), np.float32)
-    for first in range(0, len(codes), 2000):
+    out = np.zeros((len(codes), columns.shape[1]), np.float32)
+    for first in range(0, len(codes), 250):
         rows, cols, weights = [], [], []
-        for index, weight in _triples(codes[first : first + 2000]):
+        for index, weight in _triples(codes[first : first + 250]):
             at = place[index]
             row, where = np.nonzero(at >= 0)
             rows.append(row)
@@ -139,15 +150,6 @@ def _against(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(codes: np.ndarray) -> np.ndarray:
-    """Dense, normed subsequence weights of a few strings."""
-    out = np.zeros((len(codes), _SIZE**3), np.float32)
-    for index, weight in _triples(codes):
-        for i in range(len(codes)):
-            np.add.at(out[i], index[i], weight)
-    return out * _VALID / _norms(codes)[:, None]
-
-
 class Machine:
     """Weights per subsequence, an offset, and the calibration of a text's worst margin."""
 
@@ -222,17 +224,18 @@ def fit(toxic: list[str], other: list[str], hard: list[str]) -> Machine:
     base = [*toxic, *_varied(toxic, rng)]
     rest = [*hard, *other, *_varied(other[: len(toxic)], rng), *_varied(hard[: len(toxic)], rng)]
     landmarks = toxic[: LANDMARKS * 2 // 3] + rest[: LANDMARKS - min(len(toxic), LANDMARKS * 2 // 3)]
-    features = _features(_matrix(landmarks))
-    used = features[:, features.any(axis=0)]
-    gram = (used @ used.T).astype(np.float64)
+    used, columns = _features(_matrix(landmarks))
+    gram = (columns.T @ columns).astype(np.float64)
     values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(len(gram)))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     codes = _matrix([*base, *rest])
-    z = (_against(codes, features) / _norms(codes)[:, None]) @ whiten
+    z = (_against(codes, used, columns) / _norms(codes)[:, None]) @ whiten
     y = np.r_[np.ones(len(base)), -np.ones(len(rest))]
     cost = np.where(y > 0, 10.0 * len(y) / len(base), 10.0 * len(y) / len(rest))
     w = _squared_hinge(z, y, cost)
-    return Machine((whiten @ w[:-1]) @ features, float(w[-1]))
+    table = np.zeros(_SIZE**3)
+    table[used] = columns @ (whiten @ w[:-1])
+    return Machine(table, float(w[-1]))
 
 
 def held_out(doc_id) -> F.Column:
