@@ -91,6 +91,9 @@ def level_distribution_of_rollup(rollup: DataFrame) -> DataFrame:
     return _level_shares(rollup.groupBy("severity").agg(F.sum("n").alias("n")))
 
 
+#: Buckets of a gap that are made together.
+FILL_RUN = 4096
+
 # --- timeline -----------------------------------------------------------------------
 
 
@@ -128,7 +131,12 @@ def timeline_of_rollup(
         "n",
         (F.col("n") == F.max("n").over(_everything())).alias("is_peak"),
         F.coalesce(F.lead("bucket").over(in_order), F.col("bucket") + step).alias("next"),
-    ).withColumn("at", F.explode(F.expr(f"sequence(bucket, next - {step}, {step})")))
+    )
+    # Gaps are filled in runs of bounded length: one far-off time must not become one array.
+    run = step * FILL_RUN
+    filled = filled.withColumn("run", F.explode(F.expr(f"sequence(bucket, next - {step}, {run})"))).withColumn(
+        "at", F.explode(F.expr(f"sequence(run, least(next - {step}, run + {run - step}), {step})"))
+    )
     counted = F.col("at") == F.col("bucket")
     return filled.select(
         F.timestamp_seconds("at").cast("timestamp_ntz").alias("bucket"),

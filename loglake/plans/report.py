@@ -25,6 +25,7 @@ from loglake.operators.stats import (
     timeline_of_rollup,
     top_errors,
 )
+from loglake.session import scratch_dir
 
 # Weekday labels, Monday first, and the sign of each heatmap intensity.
 WEEKDAYS = ["Seg", "Ter", "Qua", "Qui", "Sex", "Sab", "Dom"]
@@ -45,10 +46,13 @@ def executive_report(df: DataFrame, generated_at: datetime | None = None, **dete
     """``(section, ord, key, value)`` rows: summary, levels, top errors, timeline, anomalies, heatmap.
 
     Summary, levels, timeline, spikes, gaps and heatmap all come from one per-minute
-    roll-up, cached because it is small; only the three analyses of messages read the
-    entries again.
+    roll-up, written once because it is small; only the three analyses of messages read the
+    entries again. Nothing stays cached.
     """
-    rollup = minute_rollup(df).persist()
+    path = scratch_dir(df.sparkSession, "minutes")
+    minutes = minute_rollup(df)
+    minutes.write.parquet(path)
+    rollup = df.sparkSession.read.schema(minutes.schema).parquet(path)
     facts = summary_of_rollup(rollup)
     peak = heatmap_peak_of_rollup(rollup)
 

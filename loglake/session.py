@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -45,12 +44,11 @@ def build_session(app_name: str = "loglake", master: str | None = None, **option
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for a written table, in the folder all executors share.
 
-    ``spark.checkpoint.dir`` names that folder on a cluster. Only a local session
-    without it falls back to this machine's temporary folder.
+    ``spark.checkpoint.dir`` names that folder on a cluster; without it, the warehouse does.
+    The table is deleted when the session ends.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="loglake-")
-    return os.path.join(shared, "loglake", f"{label}-{uuid.uuid4().hex}")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = os.path.join(shared, "loglake", f"{label}-{uuid.uuid4().hex}")
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
+    return path

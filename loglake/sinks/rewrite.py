@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import partial
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -127,7 +128,12 @@ def split_by_size(
 # --- merge ---------------------------------------------------------------------------
 
 
+#: Paths and ranks that may be broadcast.
+RANKS_BROADCAST_BYTES = 8 << 20
+
+
 def _existing(spark: SparkSession, files: Sequence[str]) -> list[str]:
+    """The names that exist, taken literally: no character of them is a glob."""
     fs = spark._jvm.org.apache.hadoop.fs
     conf = spark._jsc.hadoopConfiguration()
     found = []
@@ -138,39 +144,48 @@ def _existing(spark: SparkSession, files: Sequence[str]) -> list[str]:
     return found
 
 
+def _by_rank(spark: SparkSession, names: Sequence[str]) -> list[tuple[str, int]]:
+    """Listed files with the place of the name they come from; a repeated name gives repeated rows."""
+    listed = {name: list_files(spark, exact_path(name)) for name in dict.fromkeys(names)}
+    return [(file, rank) for rank, name in enumerate(names) for file in listed[name]]
+
+
 def merge_files(
     spark: SparkSession, files: Sequence[str], path: str, order: str = "file", format: str | None = None
 ) -> str:
     """Lines of several files in one log; names that do not exist are skipped.
 
+    Names are literal, also with ``[`` or ``*`` in them; a name given twice counts twice.
+
     ``order='file'`` keeps the given order of files, ``'line'`` sorts all lines as text,
     ``'timestamp'`` sorts whole entries by time, so stacks stay with their header.
     """
     present = _existing(spark, files)
     if not present:
         raise ValueError("none of the files exists")
+    if order not in ("file", "line", "timestamp"):
+        raise ValueError(f"unknown order: {order!r}")
+    # Every file is scanned once; the join with its ranks repeats it as often as it was named.
+    once = [exact_path(name) for name in dict.fromkeys(present)]
+    ranked = _by_rank(spark, present)
+    ranks = spark.createDataFrame(ranked, "source_file string, rank int")
+    if sum(len(file) + 16 for file, _ in ranked) <= RANKS_BROADCAST_BYTES:
+        ranks = F.broadcast(ranks)
     if order == "timestamp":
-        entries = read_logs(spark, present, format)
+        entries = read_logs(spark, once, format).join(ranks, "source_file")
         rows = entries.select("ts", *LOAD_ORDER, entry_lines().alias("value"))
         _write_ordered(rows, ["ts", *LOAD_ORDER], path)
         return path
-    lines = read_lines(spark, present)
+    rows = read_lines(spark, once).join(ranks, "source_file")
     if order == "line":
         # The address breaks ties: a line repeated a billion times still spreads over tasks.
-        _write_ordered(lines, ["value", *BLOCK, "pos"], path)
+        _write_ordered(rows, ["value", *BLOCK, "pos"], path)
         return path
-    if order != "file":
-        raise ValueError(f"unknown order: {order!r}")
-    ranks = spark.createDataFrame(
-        [(file, rank) for rank, name in enumerate(present) for file in list_files(spark, name)],
-        "source_file string, rank int",
-    )
-    rows = lines.join(F.broadcast(ranks), "source_file")
     _write_ordered(rows, ["rank", *BLOCK, "pos"], path)
     return path
 
 
 def merge_folder(spark: SparkSession, folder: str, path: str, order: str = "file") -> str:
     """The ``*.log`` files directly in a folder, merged in name order."""
-    files = [exact_path(file) for file in list_files(spark, folder, pathGlobFilter="*.log")]
+    files = [unquote(file) for file in list_files(spark, folder, pathGlobFilter="*.log")]
     return merge_files(spark, files, path, order)

@@ -289,12 +289,33 @@ def read_glob(
     """Entries of the files a glob matches; ``**`` descends into folders."""
     if "**" not in pattern:
         return read_logs(spark, pattern, format, stacks=stacks)
-    base, _, rest = pattern.partition("**")
-    name = rest.rsplit("/", 1)[-1] or "*"
-    return read_logs(
-        spark, base.rstrip("/") or "/", format, stacks=stacks,
-        recursiveFileLookup="true", pathGlobFilter=name,
-    )
+    base = pattern.partition("**")[0].rpartition("/")[0] or "/"
+    name = pattern.rsplit("/", 1)[-1].replace("**", "*") or "*"
+    wanted = _glob_regex(pattern)
+    found = list_files(spark, base, recursiveFileLookup="true", pathGlobFilter=name)
+    files = [file for file in found if wanted.search(unquote(file))]
+    if not files:
+        raise ValueError(f"no log files found in {pattern!r}")
+    return read_logs(spark, [exact_path(file) for file in files], format, stacks=stacks)
+
+
+def _glob_regex(pattern: str) -> re.Pattern[str]:
+    """A whole glob as a pattern over listed paths: ``**/`` is any number of folders, ``*`` stays in one."""
+    parts = re.split(r"(\*\*/|\*\*|\*|\?|\[[^\]/]+\]|\{[^}/]+\})", re.sub(r"^[a-z0-9]+:/+", "/", pattern))
+    made = []
+    for part in parts:
+        if part in _GLOB_WORDS:
+            made.append(_GLOB_WORDS[part])
+        elif part.startswith("[") and part.endswith("]"):
+            made.append("[" + part[1:-1].replace("!", "^", 1) + "]" if part[1] == "!" else part)
+        elif part.startswith("{") and part.endswith("}"):
+            made.append("(?:" + "|".join(re.escape(x) for x in part[1:-1].split(",")) + ")")
+        else:
+            made.append(re.escape(part))
+    return re.compile("".join(made) + r"\Z")
+
+
+_GLOB_WORDS = {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
 
 
 def load_report(

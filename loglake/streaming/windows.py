@@ -36,7 +36,8 @@ def timeline_stream(
 
 def flow_sessions_stream(entries: DataFrame, window: str | int = "2s", delay: str = "10 minutes") -> DataFrame:
     """Sessions per thread: start, end, size and whether an error occurred."""
-    gap = f"{duration_millis(window)} milliseconds"
+    # The batch rule compares whole milliseconds, so a gap may exceed the window by 999 microseconds.
+    gap = f"{duration_millis(window) * 1000 + 999} microseconds"
     runs = (
         _event_time(entries, delay)
         .groupBy("thread", F.session_window("ts", gap).alias("w"))
