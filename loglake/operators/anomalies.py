@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loglake.functions.arguments import interval_seconds
 from loglake.functions.expressions import from_micros, micros, normalize_message
 from loglake.model import ERROR, LOAD_ORDER, WARN
+from loglake.operators.filters import first_rows
 from loglake.operators.stats import minute_rollup
 
 # The limits and thresholds of the reports and detectors.
@@ -28,6 +29,8 @@ CRITICAL = "CRITICO"
 ALERT = "ALERTA"
 
 _MINUTE_US = 60_000_000
+
+
 def _everything():
     return Window.partitionBy()
 
@@ -41,17 +44,17 @@ def _templates(df: DataFrame, min_severity: int, *columns: str | Column) -> Data
 # --- templates ------------------------------------------------------------------
 
 
-def patterns(df: DataFrame, limit: int = PATTERN_LIMIT) -> DataFrame:
-    """Templates of errors that occur more than once, most frequent first."""
+def patterns(df: DataFrame, limit: int | None = PATTERN_LIMIT) -> DataFrame:
+    """Templates of errors that occur more than once, most frequent first; ``limit=None`` gives all."""
     counts = _templates(df, ERROR).groupBy("pattern").agg(F.count("*").alias("n"))
-    return counts.where("n > 1").orderBy(F.desc("n"), "pattern").limit(limit)
+    return first_rows(counts.where("n > 1").orderBy(F.desc("n"), "pattern"), limit)
 
 
-def first_errors(df: DataFrame, limit: int = FIRST_ERRORS_LIMIT) -> DataFrame:
-    """First entry of each error template, in load order."""
+def first_errors(df: DataFrame, limit: int | None = FIRST_ERRORS_LIMIT) -> DataFrame:
+    """First entry of each error template, in load order; ``limit=None`` gives all."""
     first = F.min(F.struct(*LOAD_ORDER, "ts", "message")).alias("first")
     seen = _templates(df, ERROR, *LOAD_ORDER, "ts", "message").groupBy("pattern").agg(first)
-    return seen.select("first.*", "pattern").orderBy(*LOAD_ORDER).limit(limit)
+    return first_rows(seen.select("first.*", "pattern").orderBy(*LOAD_ORDER), limit)
 
 
 # --- detectors --------------------------------------------------------------------
@@ -99,7 +102,7 @@ def unique_errors(df: DataFrame, limit: int | None = FINDINGS_PER_DETECTOR) -> D
         F.count("*").alias("n"), only
     )
     found = counts.where("n = 1").select("only.*", "pattern").orderBy(*LOAD_ORDER)
-    return found if limit is None else found.limit(limit)
+    return first_rows(found, limit)
 
 
 def recurring_patterns(
@@ -143,7 +146,7 @@ def recurring_patterns(
         .select(from_micros(F.col("first_us")).alias("ts"), "pattern", "n", "mean", "deviation")
         .orderBy("ts", "pattern")
     )
-    return found if limit is None else found.limit(limit)
+    return first_rows(found, limit)
 
 
 def log_gaps(
@@ -178,7 +181,7 @@ def log_gaps_of_rollup(
         .select(from_micros(F.col("before_us")).alias("ts"), "gap_minutes")
         .orderBy("ts")
     )
-    return found if limit is None else found.limit(limit)
+    return first_rows(found, limit)
 
 
 # --- all of them ---------------------------------------------------------------------
@@ -190,10 +193,12 @@ def findings(
     spike_bucket: str | int = SPIKE_BUCKET,
     recurring_factor: float = RHYTHM_FACTOR,
     gap_factor: float = GAP_FACTOR,
+    limit: int | None = FINDINGS_PER_DETECTOR,
 ) -> DataFrame:
     """What all detectors report, in their order: ``(ord, detector, severity, ts, pattern, n, baseline)``.
 
-    Spikes and gaps share one per-minute roll-up, which a caller may have at hand.
+    Spikes and gaps share one per-minute roll-up, which a caller may have at hand. Every detector but
+    the spikes gives its first ``limit`` findings; ``None`` gives all.
     """
     rollup = minute_rollup(df) if rollup is None else rollup
     none = F.lit(None)
@@ -211,8 +216,8 @@ def findings(
 
     parts = [
         part(1, "spike", CRITICAL, error_spikes_of_rollup(rollup, spike_bucket), none, F.col("n"), F.col("baseline")),
-        part(2, "unique_error", CRITICAL, unique_errors(df), F.col("pattern"), F.lit(1), none),
-        part(3, "recurring", ALERT, recurring_patterns(df, recurring_factor), F.col("pattern"), F.col("n"), F.col("mean")),
-        part(4, "gap", ALERT, log_gaps_of_rollup(rollup, gap_factor), none, F.col("gap_minutes"), none),
+        part(2, "unique_error", CRITICAL, unique_errors(df, limit), F.col("pattern"), F.lit(1), none),
+        part(3, "recurring", ALERT, recurring_patterns(df, recurring_factor, limit), F.col("pattern"), F.col("n"), F.col("mean")),
+        part(4, "gap", ALERT, log_gaps_of_rollup(rollup, gap_factor, limit), none, F.col("gap_minutes"), none),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loglake.functions.arguments import duration_millis
 from loglake.functions.expressions import entry_text, from_micros, mentions, micros, truncated
 from loglake.model import ERROR, LOAD_ORDER, WARN
+from loglake.operators.filters import first_rows
 
 CORRELATE_WINDOW = "5m"
 CORRELATE_LIMIT = 50
@@ -20,12 +21,13 @@ DIGEST_RECENT = 20
 
 
 def correlate(
-    df: DataFrame, text: str, window: str | int = CORRELATE_WINDOW, limit: int = CORRELATE_LIMIT
+    df: DataFrame, text: str, window: str | int = CORRELATE_WINDOW, limit: int | None = CORRELATE_LIMIT
 ) -> DataFrame:
     """Entries around the first mention of a text, in load order; no row if there is none.
 
     One pass finds the first mention and counts all; its time is then a literal, so the
-    second pass reads only what lies in the window. A bare number means minutes.
+    second pass reads only what lies in the window. A bare number means minutes;
+    ``limit=None`` gives all of them.
     """
     found = (
         df.where(F.col("ts").isNotNull() & mentions(text))
@@ -49,33 +51,31 @@ def correlate(
         F.col("line_number") == first["line_number"]
     )
     return (
-        df.where(near)
-        .orderBy(*LOAD_ORDER)
-        .limit(limit)
+        first_rows(df.where(near).orderBy(*LOAD_ORDER), limit)
         .select(
             *columns, is_event.alias("is_event"), F.lit(found["matches"]).cast("bigint").alias("matches")
         )
     )
 
 
-def error_context(df: DataFrame, text: str, limit: int = ERROR_CONTEXT_LIMIT) -> DataFrame:
-    """First errors whose message or stack holds the text exactly as written."""
+def error_context(df: DataFrame, text: str, limit: int | None = ERROR_CONTEXT_LIMIT) -> DataFrame:
+    """First errors whose message or stack holds the text exactly as written; ``limit=None`` gives all."""
     holds = F.coalesce(F.col("message").contains(text), F.lit(False)) | F.coalesce(
         F.col("stack_trace").contains(text), F.lit(False)
     )
     return _as_text(df.where((F.col("severity") >= ERROR) & holds), limit)
 
 
-def root_cause_entries(df: DataFrame, limit: int = ROOT_CAUSE_LIMIT) -> DataFrame:
-    """First errors in load order."""
+def root_cause_entries(df: DataFrame, limit: int | None = ROOT_CAUSE_LIMIT) -> DataFrame:
+    """First errors in load order; ``limit=None`` gives all."""
     return _as_text(df.where(F.col("severity") >= ERROR), limit)
 
 
-def _as_text(df: DataFrame, limit: int) -> DataFrame:
-    return df.orderBy(*LOAD_ORDER).limit(limit).select(*LOAD_ORDER, entry_text().alias("text"))
+def _as_text(df: DataFrame, limit: int | None) -> DataFrame:
+    return first_rows(df.orderBy(*LOAD_ORDER), limit).select(*LOAD_ORDER, entry_text().alias("text"))
 
 
-def digest(df: DataFrame) -> DataFrame:
+def digest(df: DataFrame, top: int = DIGEST_TOP, recent: int = DIGEST_RECENT) -> DataFrame:
     """State of a log as ``(section, ord, text, n)``: totals, top error messages, latest entries."""
     totals = df.agg(
         F.count("*").alias("entries"),
@@ -90,22 +90,22 @@ def digest(df: DataFrame) -> DataFrame:
             F.lit(3), F.lit("warnings"), F.col("warnings"),
         ).alias("ord", "text", "n"),
     ).withColumn("ord", F.col("ord").cast("bigint"))
-    top = (
+    top_rows = (
         df.where(F.col("severity") >= ERROR)
         .groupBy(F.coalesce("message", F.lit("")).alias("text"))
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "text")
-        .limit(DIGEST_TOP)
+        .limit(top)
     )
-    recent = (
+    recent_rows = (
         df.orderBy(*[F.desc(c) for c in LOAD_ORDER])
-        .limit(DIGEST_RECENT)
+        .limit(recent)
         .select(*LOAD_ORDER, entry_text().alias("text"), F.lit(None).cast("bigint").alias("n"))
     )
     parts = [
         totals,
-        _numbered(top, [F.desc("n"), "text"], "top_errors"),
-        _numbered(recent, LOAD_ORDER, "recent"),
+        _numbered(top_rows, [F.desc("n"), "text"], "top_errors"),
+        _numbered(recent_rows, LOAD_ORDER, "recent"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,7 +48,7 @@ def log_predicate(
     ``30m``. Level and time conditions are plain comparisons with literals, so a columnar
     source can skip row groups by them.
     """
-    now = now or datetime.now()
+    now = now or datetime.now(UTC).replace(tzinfo=None)
     conditions: list[Column] = []
     if level:
         names = level.split(",") if isinstance(level, str) else level
@@ -110,6 +110,11 @@ def stack_lines(stack: Column) -> Column:
     return F.split(F.regexp_replace(stack, r"\n+\z", ""), "\n", -1)
 
 
+def first_rows(ordered: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of an ordered relation; ``None`` means all."""
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def page(df: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """Entries ``offset+1 .. offset+limit`` in load order, with the head of their stack."""
     rows = df.orderBy(*LOAD_ORDER).offset(offset).limit(limit)

@@ -16,6 +16,7 @@ from loglake.functions.arguments import duration_millis
 from loglake.functions.expressions import from_micros, micros, minute_label, short_logger, thousands
 from loglake.functions.tasks import FRAGMENT_SCHEMA, fold_sessions
 from loglake.model import ERROR
+from loglake.operators.filters import first_rows
 
 FLOW_WINDOW = "2s"
 FLOW_LIMIT = 10
@@ -105,10 +106,10 @@ def flow_clusters(
     df: DataFrame,
     window: str | int = FLOW_WINDOW,
     min_sessions: int = 1,
-    limit: int = FLOW_LIMIT,
+    limit: int | None = FLOW_LIMIT,
     rarest_first: bool = False,
 ) -> DataFrame:
-    """Sessions grouped by signature, the most frequent first.
+    """Sessions grouped by signature, the most frequent first; ``limit=None`` gives all.
 
     Sums go from (signature, thread) over groups of threads to the signature, and each
     group keeps its three busiest threads, so no signature is ranked in one task.
@@ -139,7 +140,7 @@ def flow_clusters(
         "busiest", lambda b: F.struct(b["_label"].alias("thread"), (-b["less"]).alias("n"))
     )
     order = [F.asc("sessions") if rarest_first else F.desc("sessions"), F.desc("total_entries"), "signature"]
-    return (
+    shown = (
         clusters.where(F.col("sessions") >= max(1, min_sessions))
         .select(
             "signature",
@@ -151,8 +152,8 @@ def flow_clusters(
             F.col("example.end_ts").alias("example_end"),
         )
         .orderBy(*order)
-        .limit(limit if limit > 0 else FLOW_LIMIT)
     )
+    return first_rows(shown, FLOW_LIMIT if limit is not None and limit <= 0 else limit)
 
 
 def thread_summary(top_threads: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loglake.functions.arguments import interval_seconds
 from loglake.functions.expressions import error_signature, from_micros, micros
 from loglake.model import ERROR, level_of
-from loglake.operators.filters import filter_level_expression
+from loglake.operators.filters import filter_level_expression, first_rows
 
 TOP_ERRORS_LIMIT = 10
 TOP_NAMES_LIMIT = 20
@@ -192,24 +192,24 @@ def heatmap_peak_of_rollup(rollup: DataFrame, level: str | None = HEATMAP_LEVEL)
 # --- groups -----------------------------------------------------------------------------
 
 
-def _top(df: DataFrame, key: str, limit: int) -> DataFrame:
+def _top(df: DataFrame, key: str, limit: int | None) -> DataFrame:
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), key).limit(limit)
+    return first_rows(counts.orderBy(F.desc("n"), key), limit)
 
 
-def top_errors(df: DataFrame, limit: int = TOP_ERRORS_LIMIT) -> DataFrame:
-    """Most frequent signatures of entries of ERROR and above; a limit below 1 means 10."""
+def top_errors(df: DataFrame, limit: int | None = TOP_ERRORS_LIMIT) -> DataFrame:
+    """Most frequent signatures of entries of ERROR and above; a limit below 1 means 10, ``None`` all."""
     errors = df.where(F.col("severity") >= ERROR).select(
         error_signature(F.col("message"), F.col("stack_trace")).alias("signature")
     )
-    return _top(errors, "signature", limit if limit > 0 else TOP_ERRORS_LIMIT)
+    return _top(errors, "signature", TOP_ERRORS_LIMIT if limit is not None and limit <= 0 else limit)
 
 
-def count_by_logger(df: DataFrame, level: str | None = None, limit: int = TOP_NAMES_LIMIT) -> DataFrame:
-    """Loggers with the most entries of a level expression."""
+def count_by_logger(df: DataFrame, level: str | None = None, limit: int | None = TOP_NAMES_LIMIT) -> DataFrame:
+    """Loggers with the most entries of a level expression; ``limit=None`` gives all."""
     return _top(filter_level_expression(df, level).where("logger IS NOT NULL"), "logger", limit)
 
 
-def count_by_thread(df: DataFrame, limit: int = TOP_NAMES_LIMIT) -> DataFrame:
-    """Threads with the most entries."""
+def count_by_thread(df: DataFrame, limit: int | None = TOP_NAMES_LIMIT) -> DataFrame:
+    """Threads with the most entries; ``limit=None`` gives all."""
     return _top(df.where("thread IS NOT NULL"), "thread", limit)

@@ -17,65 +17,79 @@ def lines(df):
 
 # --- filters ---------------------------------------------------------------------
 
-NOW = datetime(2025, 3, 5, 12, 0)
+NOW = datetime(2032, 8, 19, 18, 0)
 
 
 @pytest.fixture
-def four(entries):
+def mill(entries):
     return entries(
-        dict(ts=NOW - timedelta(days=2), level="INFO", thread="thread-1", message="start", logger="com.example.Main"),
-        dict(ts=NOW - timedelta(hours=5), level="DEBUG", thread="thread-2", message="DATA read", logger="com.example.Cache"),
-        dict(ts=NOW - timedelta(minutes=30), level="WARN", thread="thread-1", message=None, logger=None),
-        dict(ts=NOW - timedelta(seconds=10), level="ERROR", thread=None, message="boom", logger="com.example.Db", stack_trace="at database.x"),
+        dict(ts=NOW - timedelta(days=3), level="TRACE", thread="pump-a", message="valve 3 opened", logger="org.orchard.Press"),
+        dict(ts=NOW - timedelta(hours=20), level="WARN", thread="pump-b", message="juice LEVEL low", logger="org.orchard.Tank"),
+        dict(ts=NOW - timedelta(hours=6), level="ERROR", thread="gear", message=None, logger=None, stack_trace="at org.orchard.Belt.stop"),
+        dict(ts=NOW - timedelta(minutes=40), level="FATAL", thread=None, message="belt torn", logger="org.orchard.Belt"),
+        dict(ts=None, level="INFO", thread="pump-a", message="level restored", logger="org.orchard.Tank"),
+        dict(ts=NOW - timedelta(minutes=5), level="INFO", thread="pump-b", message="tank 7 full", logger="org.orchard.Tank.Probe"),
     )
 
 
 @pytest.mark.parametrize(
     "conditions, kept",
     [
-        (dict(level="WARN, ERROR"), [3, 4]),
-        (dict(level=["severe"]), [4]),
-        (dict(min_level="WARN"), [3, 4]),
-        (dict(since="2025-03-05 06:00", until="2025-03-05 11:40:00"), [2, 3]),
-        (dict(until="2025-03-05"), [1]),
-        (dict(last="1h"), [3, 4]),
-        (dict(last=30), [3, 4]),
-        (dict(last="2d"), [1, 2, 3, 4]),
-        (dict(text="data"), [2, 4]),
-        (dict(regex=".*base.*"), [4]),
-        (dict(logger="com.example.D"), [4]),
-        (dict(thread="THREAD-1"), [1, 3]),
-        (dict(exclude="data"), [1, 3]),
-        (dict(today=True), [2, 3, 4]),
-        (dict(yesterday=True), []),
-        (dict(min_level="WARN", thread="thread"), [3]),
-        (dict(), [1, 2, 3, 4]),
+        (dict(), [1, 2, 3, 4, 5, 6]),
+        (dict(today=True), [3, 4, 6]),
+        (dict(yesterday=True), [2]),
+        (dict(last=30), [6]),
+        (dict(last="45m"), [4, 6]),
+        (dict(last="1d"), [2, 3, 4, 6]),
+        (dict(until="2032-08-18"), [1]),
+        (dict(since="2032-08-18 20:00", until="2032-08-19 12:00:00"), [2, 3]),
+        (dict(level="trace, severe"), [1, 3]),
+        (dict(level=["FATAL"]), [4]),
+        (dict(min_level="ERROR"), [3, 4]),
+        (dict(min_level="WARN", thread="pump"), [2]),
+        (dict(text="level"), [2, 5]),
+        (dict(exclude="BELT"), [1, 2, 5, 6]),
+        (dict(regex=r"\b[37] (full|opened)$"), [1, 6]),
+        (dict(logger="orchard.tank"), [2, 5, 6]),
+        (dict(thread="PUMP-A"), [1, 5]),
+        (dict(text="tank", last="2h"), [6]),
     ],
 )
-def test_filters(four, conditions, kept):
-    assert lines(filters.filter_logs(four, now=NOW, **conditions)) == kept
+def test_filters(mill, conditions, kept):
+    assert lines(filters.filter_logs(mill, now=NOW, **conditions)) == kept
 
 
-def test_filter_arguments_are_checked(four):
-    for bad in (dict(level="loud"), dict(since="soon"), dict(last="1h30m")):
+def test_filter_arguments_are_checked(mill):
+    for bad in (dict(level="shouting"), dict(until="at noon"), dict(last="2d6h")):
         with pytest.raises(ValueError):
-            filters.filter_logs(four, now=NOW, **bad)
+            filters.filter_logs(mill, now=NOW, **bad)
 
 
-def test_filter_report(four):
-    assert tuple(filters.filter_report(four, min_level="ERROR", now=NOW).first()) == (1, 4, 25)
-    assert tuple(filters.filter_report(four.where("false")).first()) == (0, 0, 0)
+def test_filter_report(mill):
+    assert tuple(filters.filter_report(mill, min_level="FATAL", now=NOW).first()) == (1, 6, 16)
+    assert tuple(filters.filter_report(mill.where("false")).first()) == (0, 0, 0)
 
 
-def test_time_filter_reaches_the_scan(spark, four, tmp_path):
-    four.write.parquet(str(tmp_path / "t"))
+def test_time_filter_reaches_the_scan(spark, mill, tmp_path):
+    mill.write.parquet(str(tmp_path / "t"))
     stored = spark.read.parquet(str(tmp_path / "t"))
-    kept = filters.filter_logs(stored, since="2025-03-05", min_level="WARN", now=NOW).select("message")
+    kept = filters.filter_logs(stored, since="2032-08-19", min_level="WARN", now=NOW).select("message")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(severity,3)" in plan and "GreaterThanOrEqual(ts," in plan
     assert "raw" not in plan.split("ReadSchema")[1]
 
 
+def test_no_limit_gives_all(entries):
+    df = entries(*[dict(level="ERROR", message="x" * n, thread=f"t{n}", logger=f"l{n}") for n in range(1, 31)])
+    for found in (
+        stats.top_errors(df, None), stats.count_by_logger(df, limit=None), stats.count_by_thread(df, None),
+        anomalies.first_errors(df, None), context.error_context(df, "x", None), context.root_cause_entries(df, None),
+        anomalies.findings(df, limit=None),
+    ):
+        assert found.count() == 30
+    assert stats.count_by_thread(df).count() == 20 and anomalies.findings(df).count() == 5
+
+
 def test_page(entries):
     df = entries(dict(stack_trace="a\nb\nc\nd\n", logger="com.example.Service"), dict(message="second"))
     first, second = filters.page(df).collect()
@@ -175,7 +189,7 @@ def test_findings_defaults(entries):
 
 
 def _request(thread, start, last="INFO"):
-    steps = ["web.UserController", "web.UserController", "service.PaymentService", "repository.OrderRepository"]
+    steps = ["mill.Hopper", "mill.press.Screw", "mill.Hopper", "mill.tank.Gauge", "mill.tank.Gauge"]
     return [
         dict(ts=at(seconds=start + i * 0.5), thread=thread, logger=f"com.example.{s}", level=last if i == 3 else "INFO")
         for i, s in enumerate(steps)
@@ -186,11 +200,11 @@ def test_flow_clusters(entries):
     df = entries(*_request("t-1", 0), *_request("t-2", 1, "ERROR"), *_request("t-1", 60)[:1])
     top, other = flows.flow_clusters(df, "2s").collect()
     assert (top.signature, top.sessions, top.total_entries, top.error_sessions) == (
-        "UserController -> PaymentService -> OrderRepository", 2, 8, 1,
+        "Hopper -> Screw -> Hopper -> Gauge", 2, 10, 1,
     )
     assert [tuple(t) for t in top.top_threads] == [("t-1", 1), ("t-2", 1)]
-    assert (top.example_start, top.example_end) == (at(), at(seconds=1.5))
-    assert (other.signature, other.sessions) == ("UserController", 1)
+    assert (top.example_start, top.example_end) == (at(), at(seconds=2))
+    assert (other.signature, other.sessions) == ("Hopper", 1)
     assert flows.flow_clusters(df, "2s", rarest_first=True, limit=1).first().sessions == 1
     assert flows.flow_clusters(df, "2s", min_sessions=2).count() == 1
 
@@ -305,12 +319,12 @@ def test_stacks(entries):
         stacks.stack_at(df, 0)
 
 
-def test_stored_entries_are_pruned_by_day(spark, four, tmp_path):
+def test_stored_entries_are_pruned_by_day(spark, mill, tmp_path):
     from loglake.sources import load_entries, save_entries
 
-    path = save_entries(four, str(tmp_path / "stored"))
-    assert load_entries(spark, path).count() == 4
-    kept = load_entries(spark, path, "2025-03-05 06:00", "2025-03-05 11:40")
+    path = save_entries(mill, str(tmp_path / "stored"))
+    assert load_entries(spark, path).count() == 6
+    kept = load_entries(spark, path, "2032-08-18 20:00", "2032-08-19 12:00")
     assert lines(kept) == [2, 3]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "day" in plan.split("PartitionFilters: [")[1].split("]")[0]

@@ -91,11 +91,13 @@ def test_split_by_size_of_a_file_in_many_splits(spark, tmp_path):
     assert [line for folder in folders for line in text_of(folder)] == lines
 
 
-def test_five_lines_in_three_parts(spark, tmp_path):
-    file = tmp_path / "five.log"
-    file.write_text("1234567\n" * 5)
-    out = split_by_size(spark, str(file), 16, str(tmp_path / "p"))
-    assert [len(text_of(f"{out}/part={i}")) for i in (1, 2, 3)] == [2, 2, 1]
+def test_line_longer_than_a_part_stands_alone(spark, tmp_path):
+    file = tmp_path / "uneven.log"
+    file.write_text("ab\nabcdefgh\nabc\nabcdefghijklmnopqrs\na\nb\n")
+    out = split_by_size(spark, str(file), 10, str(tmp_path / "p"))
+    assert [text_of(f"{out}/part={i}") for i in range(1, 6)] == [
+        ["ab"], ["abcdefgh"], ["abc"], ["abcdefghijklmnopqrs"], ["a", "b"],
+    ]
 
 
 def test_merge(spark, tmp_path):
