@@ -5,7 +5,6 @@ They are shipped with the job by value, so workers need no copy of this package.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 
@@ -19,26 +18,17 @@ HEAD_SCHEMA = "source_file string, line_number bigint, value string"
 
 
 def first_lines(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """The first lines of each file named in ``path``; reads no further than they reach."""
-    from pyarrow import fs
-
+    """The first lines of the one file a task scans; it stops reading there."""
+    seen = 0
     for batch in batches:
-        for path in batch.column("path").to_pylist():
-            uri = re.sub(r"^([\w+.-]+):/(?!/)", r"\1:///", path)
-            filesystem, inner = fs.FileSystem.from_uri(uri)
-            with filesystem.open_input_stream(inner) as stream:
-                data = b""
-                while len(data.splitlines()) <= limit and (chunk := stream.read(1 << 16)):
-                    data += chunk
-            values = [line.decode("utf-8", "replace") for line in data.splitlines()[:limit]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([path] * len(values), pa.string()),
-                    pa.array(range(1, len(values) + 1), pa.int64()),
-                    pa.array(values, pa.string()),
-                ],
-                names=["source_file", "line_number", "value"],
-            )
+        head = batch.slice(0, limit - seen)
+        numbers = pa.array(range(seen + 1, seen + head.num_rows + 1), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [head.column("source_file"), numbers, head.column("value")], names=["source_file", "line_number", "value"]
+        )
+        seen += head.num_rows
+        if seen >= limit:
+            return
 
 
 FRAGMENT_SCHEMA = (

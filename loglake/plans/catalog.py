@@ -24,8 +24,7 @@ from loglake.sources.events import (
 )
 from loglake.sources.stored import load_entries, save_entries
 from loglake.sources.text import (
-    detect_formats,
-    file_heads,
+    format_table,
     lines_of,
     list_files,
     load_report,
@@ -119,7 +118,7 @@ def _detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind in TEXT_FORMATS:
         write_text_log(render_lines(events_as_logs(spark, sf_dir), kind), f"{root}/{kind}")
     files = list_files(spark, root, recursiveFileLookup="true")
-    found = detect_formats(file_heads(spark, files))
+    found = format_table(spark, files)
     sizes = read_lines(spark, root, recursiveFileLookup="true").groupBy("source_file").agg(
         F.count("*").alias("lines")
     )
@@ -134,7 +133,7 @@ def _load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     path = _as_text_files(spark, sf_dir, "logback")
     lines = read_lines(spark, path)
-    formats = detect_formats(file_heads(spark, list_files(spark, path)))
+    formats = format_table(spark, list_files(spark, path))
     report = load_report(lines, read_logs(spark, path), formats)
     return report.groupBy("format").agg(F.sum("lines").alias("lines"), F.sum("entries").alias("entries"))
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import partial
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -16,7 +15,7 @@ from loglake.functions.arguments import size_bytes
 from loglake.functions.expressions import has_stack_trace
 from loglake.functions.tasks import PARTS_SCHEMA, RUNS_SCHEMA, next_fit_parts, pack_runs
 from loglake.model import LOAD_ORDER
-from loglake.sources.text import BLOCK, exact_path, list_files, read_lines, read_logs
+from loglake.sources.text import BLOCK, folder_files, list_files, literal_path, read_lines, read_logs
 
 
 def entry_lines(header_only: bool = False) -> Column:
@@ -146,7 +145,7 @@ def _existing(spark: SparkSession, files: Sequence[str]) -> list[str]:
 
 def _by_rank(spark: SparkSession, names: Sequence[str]) -> list[tuple[str, int]]:
     """Listed files with the place of the name they come from; a repeated name gives repeated rows."""
-    listed = {name: list_files(spark, exact_path(name)) for name in dict.fromkeys(names)}
+    listed = {name: list_files(spark, literal_path(name)) for name in dict.fromkeys(names)}
     return [(file, rank) for rank, name in enumerate(names) for file in listed[name]]
 
 
@@ -166,7 +165,7 @@ def merge_files(
     if order not in ("file", "line", "timestamp"):
         raise ValueError(f"unknown order: {order!r}")
     # Every file is scanned once; the join with its ranks repeats it as often as it was named.
-    once = [exact_path(name) for name in dict.fromkeys(present)]
+    once = [literal_path(name) for name in dict.fromkeys(present)]
     ranked = _by_rank(spark, present)
     ranks = spark.createDataFrame(ranked, "source_file string, rank int")
     if sum(len(file) + 16 for file, _ in ranked) <= RANKS_BROADCAST_BYTES:
@@ -187,5 +186,4 @@ def merge_files(
 
 def merge_folder(spark: SparkSession, folder: str, path: str, order: str = "file") -> str:
     """The ``*.log`` files directly in a folder, merged in name order."""
-    files = [unquote(file) for file in list_files(spark, folder, pathGlobFilter="*.log")]
-    return merge_files(spark, files, path, order)
+    return merge_files(spark, folder_files(spark, folder), path, order)

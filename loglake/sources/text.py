@@ -8,7 +8,7 @@ below: no step needs a whole file in one task.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import partial
 from urllib.parse import unquote
 
@@ -71,9 +71,29 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], **options: str)
     return sorted(re.sub(r"^([\w+.-]+):///", r"\1:/", uri) for uri in uris)
 
 
+def literal_path(name: str) -> str:
+    """A name as a reader argument that matches just this name."""
+    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in name)
+
+
 def exact_path(source_file: str) -> str:
     """A listed file as a reader argument that matches just this file."""
-    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in unquote(source_file))
+    return literal_path(unquote(source_file))
+
+
+def folder_files(spark: SparkSession, folder: str, extension: str = "log") -> list[str]:
+    """Names of the files ``*.extension`` directly in a folder, sorted; subfolders do not matter.
+
+    Spark's readers pass over names that start with ``_`` or ``.``. Such a file is an error
+    here, so that no entry is lost unseen.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base)
+    files = sorted(f.getPath().toString() for f in found if f.isFile() and f.getPath().getName().endswith(f".{extension}"))
+    hidden = [file for file in files if file.rsplit("/", 1)[-1][0] in "_."]
+    if hidden:
+        raise ValueError(f"Spark cannot read files whose names start with '_' or '.': {hidden[:5]}")
+    return files
 
 
 # --- line numbers -------------------------------------------------------------
@@ -221,13 +241,32 @@ def detect_formats(numbered: DataFrame) -> DataFrame:
     )
 
 
-def file_heads(spark: SparkSession, files: Iterable[str], limit: int = DETECTION_LINES) -> DataFrame:
-    """First lines of many files, read by tasks; costs a few kilobytes per file, not a scan."""
-    paths = spark.createDataFrame([(path,) for path in files], "path string")
-    slots = spark.sparkContext.defaultParallelism
-    return paths.repartition(slots).mapInArrow(
-        partial(first_lines, limit=limit), HEAD_SCHEMA
+# A file is one split when only its first lines are wanted, and a line no more than so many characters.
+_HEAD_SPLIT_BYTES = 1 << 40
+_HEAD_CHARACTERS = 1 << 16
+
+
+def file_heads(spark: SparkSession, files: Sequence[str], limit: int = DETECTION_LINES) -> DataFrame:
+    """First lines of many files, by Spark's own text scan, so on any file system it knows.
+
+    Every file is one split, and a task stops after the lines it wants: this costs a few
+    kilobytes per file, not a scan. The frame belongs to a session of its own, with these
+    split sizes; collect it, or write it, before joining it with others.
+    """
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("fs."):
+            session.conf.set(key, value)
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        session.conf.set(key, str(_HEAD_SPLIT_BYTES))
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(limit))
+    scan = session.read.option("recursiveFileLookup", "true").text([exact_path(file) for file in files])
+    heads = scan.select(
+        F.col("_metadata.file_path").alias("source_file"), F.substring("value", 1, _HEAD_CHARACTERS).alias("value")
     )
+    # Tasks take several files each, one after the other.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return heads.mapInArrow(partial(first_lines, limit=limit), HEAD_SCHEMA).coalesce(tasks)
 
 
 def formats_of_files(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
@@ -236,10 +275,17 @@ def formats_of_files(spark: SparkSession, files: Sequence[str]) -> dict[str, str
     Bounded by the listing, which the driver holds anyway. A file without lines has no
     head and takes the fallback.
     """
+    if not files:
+        return {}
     found = {r["source_file"]: r["format"] for r in detect_formats(file_heads(spark, files)).collect()}
     return {path: found.get(path, FALLBACK_FORMAT) for path in files}
 
 
+def format_table(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """``(source_file, format)`` of a listing."""
+    return spark.createDataFrame(list(formats_of_files(spark, files).items()), "source_file string, format string")
+
+
 # --- entry points -------------------------------------------------------------
 
 
@@ -279,8 +325,11 @@ def read_logs(
 
 
 def read_folder(spark: SparkSession, folder: str, extension: str = "log", stacks: bool = True) -> DataFrame:
-    """Entries of the files ``*.extension`` directly in a folder."""
-    return read_logs(spark, folder, stacks=stacks, pathGlobFilter=f"*.{extension}")
+    """Entries of the files ``*.extension`` directly in a folder (see :func:`folder_files`)."""
+    files = folder_files(spark, folder, extension)
+    if not files:
+        raise ValueError(f"no *.{extension} files in {folder!r}")
+    return read_logs(spark, [literal_path(file) for file in files], stacks=stacks)
 
 
 def read_glob(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglake.sources import (
+    file_heads,
     detect_formats,
     list_files,
     load_report,
@@ -216,6 +217,19 @@ def test_folder_glob_and_mixed_formats(spark, tmp_path):
         read_folder(spark, folder, "nothing").count()
 
 
+def test_folder_loses_no_file(spark, tmp_path):
+    (tmp_path / "a.log").write_text(f"{LOGBACK}\n")
+    (tmp_path / "b %41 {x}.log").write_text(f"{LOGBACK}\n" * 50_000)
+    (tmp_path / "day=1").mkdir()
+    (tmp_path / "day=1" / "c.log").write_text(f"{LOGBACK}\n")
+    assert read_folder(spark, str(tmp_path)).count() == 50_001
+    heads = file_heads(spark, list_files(spark, str(tmp_path), recursiveFileLookup="true")).collect()
+    assert sorted(r.line_number for r in heads) == sorted([1, 1, *range(1, 21)])
+    (tmp_path / "_d.log").write_text(f"{LOGBACK}\n")
+    with pytest.raises(ValueError, match="_d.log"):
+        read_folder(spark, str(tmp_path))
+
+
 def test_load_report(spark, tmp_path):
     (tmp_path / "a.log").write_text(f"{LOGBACK}\n\tat x\n")
     (tmp_path / "b.log").write_text("noise\n")
