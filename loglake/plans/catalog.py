@@ -34,7 +34,7 @@ from loglake.sources.text import (
     read_logs,
 )
 from loglake.streaming.tail import tail_filter, tail_stream
-from loglake.streaming.windows import flow_sessions_stream, timeline_stream
+from loglake.streaming.windows import end_marks, flow_sessions_stream, mark_end, timeline_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -210,18 +210,28 @@ def _flow_clusters(df: DataFrame) -> DataFrame:
     )
 
 
-def _streamed(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over what is there now, into a table in the shared folder."""
+def _streamed(spark: SparkSession, stream: DataFrame, label: str, marks: str | None = None) -> DataFrame:
+    """Run a stream over what is there now, into a table in the shared folder.
+
+    With a folder of end marks, a second run from the same state emits what was open.
+    """
     root = scratch_dir(spark, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{root}/rows")
-        .option("checkpointLocation", f"{root}/state")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{root}/rows")
+            .option("checkpointLocation", f"{root}/state")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    if marks is not None:
+        mark_end(spark, marks)
+        run()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
@@ -233,12 +243,16 @@ def _tail_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _timeline_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return _streamed(spark, timeline_stream(stream_events(spark, sf_dir), "6h"), "timeline")
+    folder = scratch_dir(spark, "marks")
+    stream = timeline_stream(stream_events(spark, sf_dir), "6h", marks=end_marks(spark, folder))
+    return _streamed(spark, stream, "timeline", folder)
 
 
 def _flow_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return _streamed(spark, flow_sessions_stream(stream_events(spark, sf_dir), SESSION_WINDOW), "sessions")
+    folder = scratch_dir(spark, "marks")
+    stream = flow_sessions_stream(stream_events(spark, sf_dir), SESSION_WINDOW, marks=end_marks(spark, folder))
+    return _streamed(spark, stream, "sessions", folder)
 
 
 def _findings(df: DataFrame) -> DataFrame:

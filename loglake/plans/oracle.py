@@ -364,10 +364,10 @@ def oracles() -> dict[str, str]:
         "export_stacks": _q(_lines("'=== ' || second_text || ' ' || level || ' ===' || chr(10) || message || chr(10) || stack_trace || chr(10)", where="stack_trace IS NOT NULL")),
         "executive_report": _q(_report()),
         "tail_filter": _q(f"SELECT value, level, replace(value, 'Exception', '«Exception»') AS shown FROM (SELECT value, CASE WHEN contains(u, 'FATAL') THEN 'FATAL' WHEN contains(u, 'ERROR') OR contains(u, 'SEVERE') THEN 'ERROR' WHEN contains(u, 'WARN') THEN 'WARN' END AS level FROM (SELECT value, upper(value) AS u FROM ({_lines(_WITH_STACK)}))) WHERE level IS NOT NULL AND contains(lower(value), 'order')"),
-        "timeline_stream": _q("SELECT bucket, n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS n, (SELECT max(ts) FROM logs) AS latest FROM logs GROUP BY 1) WHERE bucket + INTERVAL 6 HOUR <= latest - INTERVAL 10 MINUTE"),
+        "timeline_stream": _q("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS n FROM logs GROUP BY 1"),
         "flow_sessions_stream": _q("""SELECT thread, start_ts, end_ts, n_entries, has_error FROM (
-            SELECT thread, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_entries, bool_or(severity >= 4) AS has_error, (SELECT max(ts) FROM logs) AS latest FROM (
+            SELECT thread, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_entries, bool_or(severity >= 4) AS has_error FROM (
               SELECT *, sum(brk) OVER (PARTITION BY thread ORDER BY ts, line_number ROWS UNBOUNDED PRECEDING) AS sid FROM (
-                SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY thread ORDER BY ts, line_number) <= INTERVAL 600 SECOND THEN 0 ELSE 1 END AS brk FROM logs))
-            GROUP BY thread, sid) WHERE end_ts + INTERVAL 600 SECOND <= latest - INTERVAL 10 MINUTE"""),
+                SELECT *, CASE WHEN (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY thread ORDER BY ts, line_number))) // 1000 <= 600000 THEN 0 ELSE 1 END AS brk FROM logs))
+            GROUP BY thread, sid)"""),
     }

@@ -1,4 +1,4 @@
 from loglake.streaming.tail import Tail, tail_filter, tail_stream
-from loglake.streaming.windows import flow_sessions_stream, timeline_stream
+from loglake.streaming.windows import end_marks, flow_sessions_stream, mark_end, timeline_stream
 
-__all__ = ["Tail", "flow_sessions_stream", "tail_filter", "tail_stream", "timeline_stream"]
+__all__ = ["Tail", "end_marks", "flow_sessions_stream", "mark_end", "tail_filter", "tail_stream", "timeline_stream"]

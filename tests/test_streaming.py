@@ -1,11 +1,10 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from loglake.operators.flows import flow_sessions
 from loglake.operators.stats import timeline
-from loglake.streaming import Tail, flow_sessions_stream, tail_filter, tail_stream, timeline_stream
+from loglake.streaming import Tail, end_marks, flow_sessions_stream, mark_end, tail_filter, tail_stream, timeline_stream
 
 LINES = [
     "2023-01-01 ERROR Boom", "2023-01-01 INFO boom ok", "2023-01-01 DEBUG boom", "boom without level", "2023-01-01 WARN other",
@@ -55,19 +54,34 @@ def stored(spark, entries, tmp_path):
     return df, spark.readStream.schema(df.schema).parquet(path)
 
 
-def _rows(spark, stream, name):
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return {tuple(r) for r in spark.table(name).collect()}
-
-
-def test_timeline_stream_equals_batch(spark, stored):
+def _rows(spark, make, tmp_path):
+    """All rows of a stream, the open ones after the end mark in a second run."""
+    marks, rows = str(tmp_path / "marks"), str(tmp_path / "rows")
+    stream = make(end_marks(spark, marks))
+    counts = []
+    for _ in range(2):
+        query = (
+            stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+            .trigger(availableNow=True).start(rows)
+        )
+        query.awaitTermination()
+        counts.append(spark.read.schema(stream.schema).parquet(rows).count())
+        mark_end(spark, marks)
+    assert counts[0] < counts[1]
+    return {tuple(r) for r in spark.read.schema(stream.schema).parquet(rows).collect()}
+
+
+@pytest.mark.parametrize("interval, level", [("1h", None), ("45m", "INFO")])
+def test_timeline_stream_equals_batch(spark, stored, tmp_path, interval, level):
     df, stream = stored
-    closed = timeline(df, "1h").where("n > 0").orderBy(F.desc("bucket")).select("bucket", "n").collect()[1:]
-    assert _rows(spark, timeline_stream(stream, "1h"), "timeline_rows") == {tuple(r) for r in closed}
+    batch = timeline(df, interval, level).where("n > 0").select("bucket", "n").collect()
+    start = datetime(2025, 3, 3, 9)
+    got = _rows(spark, lambda marks: timeline_stream(stream, interval, level, start=start, marks=marks), tmp_path)
+    assert got == {tuple(r) for r in batch}
 
 
-def test_flow_sessions_stream_equals_batch(spark, stored):
+def test_flow_sessions_stream_equals_batch(spark, stored, tmp_path):
     df, stream = stored
-    batch = flow_sessions(df, "5m").where("hour(end_ts) < 17").select("thread", "start_ts", "end_ts", "n_entries", "has_error")
-    assert _rows(spark, flow_sessions_stream(stream, "5m"), "session_rows") == {tuple(r) for r in batch.collect()}
+    batch = flow_sessions(df, "5m").select("thread", "start_ts", "end_ts", "n_entries", "has_error")
+    got = _rows(spark, lambda marks: flow_sessions_stream(stream, "5m", marks=marks), tmp_path)
+    assert got == {tuple(r) for r in batch.collect()}
