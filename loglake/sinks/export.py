@@ -108,15 +108,27 @@ def stack_blocks(df: DataFrame) -> DataFrame:
     return kept.select(*LOAD_ORDER, block.alias("value"))
 
 
+# Stands for the number of entries; no name of a source holds it.
+ENTRIES = "\0"
+
+
 def _document(df: DataFrame, rows: DataFrame, before: list[str], after: list[str], path: str) -> None:
-    """Rows between opening and closing lines, as consecutive files."""
+    """Rows between opening and closing lines, as consecutive files.
+
+    ``ENTRIES`` in an opening line becomes the number of entries, counted within the same job.
+    """
     spark = df.sparkSession
-    frame = [(0, "", i, text) for i, text in enumerate(before)]
+    counting = [(i, text.partition(ENTRIES)) for i, text in enumerate(before) if ENTRIES in text]
+    frame = [(0, "", i, text) for i, text in enumerate(before) if ENTRIES not in text]
     frame += [(2, "", i, text) for i, text in enumerate(after)]
     whole = rows.select(F.lit(1).alias("zone"), *LOAD_ORDER, "value")
     if frame:
         schema = "zone int, source_file string, line_number bigint, value string"
         whole = whole.unionByName(spark.createDataFrame(frame, schema))
+    for i, (lead, _, rest) in counting:
+        total = F.concat(F.lit(lead), F.count("*").cast("string"), F.lit(rest)).alias("value")
+        place = [F.lit(0).alias("zone"), F.lit("").alias("source_file"), F.lit(i).cast("bigint").alias("line_number")]
+        whole = whole.unionByName(df.agg(total).select(*place, "value"))
     order = ["zone", *LOAD_ORDER]
     whole.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
 
@@ -124,6 +136,7 @@ def _document(df: DataFrame, rows: DataFrame, before: list[str], after: list[str
 def export_logs(df: DataFrame, format: str, path: str, source: str = "") -> str:
     """Write entries as ``json`` (lines), ``csv``, ``html`` or ``markdown`` (``md``)."""
     kind = format.strip().lower()
+    # Titles and labels of the documents.
     if kind == "json":
         json_rows(_in_load_order(df)).write.json(path)
     elif kind == "csv":
@@ -132,13 +145,13 @@ def export_logs(df: DataFrame, format: str, path: str, source: str = "") -> str:
         head = "".join(f"<th>{name}</th>" for name in TABLE_COLUMNS)
         before = [
             '<!DOCTYPE html><html><head><meta charset="UTF-8"><title>Log Report</title></head><body>',
-            f"<h1>Log Report</h1><p>Fonte: {source} | Entradas: {df.count()}</p>",
+            "<h1>Log Report</h1><p>Fonte: " + source + " | Entradas: " + ENTRIES + "</p>",
             f"<table><tr>{head}</tr>",
         ]
         _document(df, html_rows(df), before, ["</table></body></html>"], path)
     elif kind in ("markdown", "md"):
         before = [
-            "# Log Report", "", f"**Fonte:** {source}  ", f"**Entradas:** {df.count()}", "",
+            "# Log Report", "", "**Fonte:** " + source + "  ", "**Entradas:** " + ENTRIES, "",
             "| " + " | ".join(TABLE_COLUMNS) + " |", "|---|---|---|---|---|",
         ]
         _document(df, markdown_rows(df), before, [], path)
