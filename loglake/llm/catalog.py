@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import chat, collocations, decontaminate, neardup, pii, secrets, tokens, toxicity, urls, vectors
+from loglake.llm import alignment, chat, collocations, decontaminate, neardup, pii, secrets, tokens, toxicity, urls, vectors
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_url_filter": urls.op10_url_filter,
+        "op11_alignment": alignment.op11_alignment,
         "op13_collocations": collocations.op13_collocations,
     }
 
