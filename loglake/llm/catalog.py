@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm import alignment, chat, collocations, decontaminate, neardup, pii, secrets, tokens, toxicity, urls, vectors
+from loglake.llm import alignment, chat, collocations, decontaminate, neardup, pages, pii, secrets, tokens, toxicity, urls, vectors
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_url_filter": urls.op10_url_filter,
         "op11_alignment": alignment.op11_alignment,
+        "op12_main_text": pages.op12_main_text,
         "op13_collocations": collocations.op13_collocations,
     }
 
@@ -34,5 +35,6 @@ def llm_oracles() -> dict[str, str]:
         "op3_embedding_links": vectors.OP3_SQL,
         "op8_decontamination": decontaminate.OP8_SQL,
         "op9_near_duplicates": neardup.OP9_SQL,
+        "op12_main_text": pages.OP12_SQL,
         "op13_collocations": collocations.OP13_SQL,
     }
