@@ -21,13 +21,13 @@ import hashlib
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,20 +37,30 @@ from loglake.llm.tokens import chunks, tokenizer_path
 
 #: Pairs whose counts every task holds, 16 bytes each.
 FREQUENT_PAIRS = 1 << 20
-#: Pieces of running text remembered per task, and pairs of ids summed up before they leave it.
-REMEMBERED = 200_000
+#: Stretches of running text remembered per task, and pairs of ids summed up before they leave it.
+REMEMBERED = 600_000
 HELD_PAIRS = 1 << 21
 #: Shares a text that very many documents have is divided into when its measures go back to them.
 SALTS = 64
+#: Links of a group of tokens that are listed one by one; larger groups are counted by distinct ids.
+LISTED_LINKS = 64
 
 _ID_BITS = 20
-#: A stretch both tokenizers treat alone: it ends where white space that begins with a blank follows a character that is
-#: none. A's splitting ends there, and no piece of B holds its blank after another character.
+_PAIR = (1 << 2 * _ID_BITS) - 1
+#: What keeps a blank from beginning a new stretch: white space or nothing before it, or the text's end after it.
+_ODD = re.compile(r"\s |^ |\s\Z")
 _STRETCH = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*")
 
 
 def stretches(text: str) -> list[str]:
-    """``text`` cut into stretches; white space at its end belongs to the last."""
+    """Blank and ``text`` cut into stretches both tokenizers treat alone, each without the blank it begins with.
+
+    A stretch ends where a blank follows a character that is no white space: A's splitting ends there, and no piece of B
+    holds a blank after another character. White space at the end belongs to the last stretch.
+    """
+    if not _ODD.search(text):
+        return text.split(" ")
+    text = " " + text
     found = _STRETCH.findall(text)
     rest = len(text) - sum(map(len, found))
     if rest:
@@ -59,7 +69,7 @@ def stretches(text: str) -> list[str]:
             found[-1] += tail
         else:
             found = [tail]
-    return found
+    return [x[1:] for x in found]
 
 
 class Aligner:
@@ -67,107 +77,169 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         with open(path_a, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        self.library_a = Tokenizer.from_file(path_a)
-        self.library_a.encode_special_tokens = True
-        self.library_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"]
         letters = _byte_of_letter()
+        plain = {bytes(letters[c] for c in entry): i for entry, i in vocab.items() if all(c in letters for c in entry)}
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
-        for entry, i in vocab.items():
-            if all(c in letters for c in entry):
-                self.bytes_a[i] = bytes(letters[c] for c in entry)
-        b = self.library_b
+        for raw, i in plain.items():
+            self.bytes_a[i] = raw
+        self.encode_a = _byte_level(path_a, spec, plain)
+        self.library_b = b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("pieces of the second tokenizer hold a blank after another character")
-        self.generation = 0
+        self.lengths_a, self.lengths_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.sizes_a, self.sizes_b = np.array(self.lengths_a, np.int64), np.array(self.lengths_b, np.int64)
+        self.digits = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self._forget()
 
     def _forget(self) -> None:
-        self.generation += 1
         self.known: dict[str, int] = {}
-        #: Of each stretch: groups as text (None if bytes differ), (n_a, n_b, n_groups, n_links), id pairs, occurrences.
-        self.shown: list[bytes | None] = []
-        self.numbers: list[tuple[int, int, int, int]] = []
-        self.pairs: list[tuple[int, ...]] = []
-        self.times: list[tuple[int, ...]] = []
+        #: Of each stretch: groups as text (None if bytes differ); n_a, n_b, n_groups, n_links; id pairs with occurrences.
+        self.shown: list[str | None] = []
+        self.numbers = np.empty((0, 4), np.int64)
+        self.offsets, self.pairs, self.times = np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.joined: dict[int, tuple[bytes, bytes]] = {}
 
     def learn(self, parts: set[str]) -> None:
         """Make sure the stretches are known; forget all others if there are too many."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = [p for p in parts if p not in self.known]
-        if not new:
-            return
-        ids_a = [e.ids for e in self.library_a.encode_batch(new, add_special_tokens=False)]
-        # The second library puts a blank in front itself.
-        ids_b = self.library_b.encode([p[1:] for p in new], num_threads=1)
-        for part, a, b in zip(new, ids_a, ids_b, strict=True):
-            self._align(part, a, b)
-
-    def _align(self, part: str, a: list[int], b: list[int]) -> None:
-        place = self.known[part] = len(self.numbers)
-        whole_a = b"".join(map(self.bytes_a.__getitem__, a))
-        whole_b = b"".join(map(self.bytes_b.__getitem__, b))
-        if not whole_a == whole_b == part.encode():
-            self.joined[place] = (whole_a, whole_b)
-            self.shown.append(None)
-            self.numbers.append((0, 0, 0, 0))
-            self.pairs.append(())
-            self.times.append(())
-            return
-        shown, links = [], {}
-        for group_a, group_b in self._groups(a, b):
-            shown.append(",".join(map(str, group_a)) + "|" + ",".join(map(str, group_b)))
-            # A group's links by distinct ids and how often they occur: never all occurrences one by one.
-            counted_b = Counter(group_b).items() if len(group_b) > 1 else ((group_b[0], 1),)
-            for x, n in Counter(group_a).items() if len(group_a) > 1 else ((group_a[0], 1),):
-                for y, m in counted_b:
-                    key = x << _ID_BITS | y
-                    links[key] = links.get(key, 0) + n * m
-        self.shown.append(";".join(shown).encode())
-        self.numbers.append((len(a), len(b), len(shown), sum(links.values())))
-        self.pairs.append(tuple(links))
-        self.times.append(tuple(links.values()))
-
-    def _groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-        i = j = end_a = end_b = from_a = from_b = 0
-        while i < len(a):
-            # Whichever is behind takes its next token; where both ends meet, a group is complete.
-            if end_a <= end_b:
-                end_a += len(self.bytes_a[a[i]])
-                i += 1
-            while end_b < end_a:
-                end_b += len(self.bytes_b[b[j]])
-                j += 1
-            if end_a == end_b:
-                yield a[from_a:i], b[from_b:j]
-                from_a, from_b = i, j
+        new = list(parts - self.known.keys())
+        if new:
+            # The second library puts a blank in front itself.
+            self._align(new, self.encode_a([" " + p for p in new]), self.library_b.encode(new, num_threads=1))
+
+    def _align(self, new: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> None:
+        """Align stretches together: their bytes are one line, on which both tokenizers' ends are marked."""
+        base = len(self.shown)
+        self.known.update(zip(new, range(base, base + len(new)), strict=True))
+        good = self._exact(new, ids_a, ids_b, base)
+        if len(good) < len(new):
+            ids_a, ids_b = [ids_a[i] for i in good], [ids_b[i] for i in good]
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        to_a, to_b = np.searchsorted(ends_a, cuts) + 1, np.searchsorted(ends_b, cuts) + 1
+        from_a, from_b = np.r_[0, to_a[:-1]][: len(to_a)], np.r_[0, to_b[:-1]][: len(to_b)]
+        size_a, size_b = to_a - from_a, to_b - from_b
+        stretch = np.searchsorted(ends_a[np.cumsum(n_a) - 1], cuts) if len(good) else cuts
+        owner = np.array(good, np.int64)[stretch]
+
+        links = size_a * size_b
+        listed = links <= LISTED_LINKS
+        n = links[listed]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(size_b[listed], n)
+        pair = a[np.repeat(from_a[listed], n) + at // wide] << _ID_BITS | b[np.repeat(from_b[listed], n) + at % wide]
+        keys, times = [np.repeat(owner[listed], n) << 2 * _ID_BITS | pair], [np.ones(len(pair), np.int64)]
+        for g in np.flatnonzero(~listed).tolist():
+            # Links of a large group by distinct ids and how often they occur: never all occurrences one by one.
+            x, often_x = np.unique(a[from_a[g] : to_a[g]], return_counts=True)
+            y, often_y = np.unique(b[from_b[g] : to_b[g]], return_counts=True)
+            keys.append((owner[g] << 2 * _ID_BITS | x[:, None] << _ID_BITS | y[None, :]).ravel())
+            times.append(np.outer(often_x, often_y).ravel())
+        keys, times = _summed(np.concatenate(keys), np.concatenate(times))
+        ends = np.searchsorted(keys, np.arange(1, len(new) + 1) << 2 * _ID_BITS)
+        numbers = np.zeros((len(new), 4), np.int64)
+        numbers[good, 0], numbers[good, 1] = n_a, n_b
+        numbers[:, 2] = np.bincount(owner, minlength=len(new))
+        np.add.at(numbers[:, 3], owner, links)
+
+        digits = self.digits
+        shown_a, shown_b = [digits[x] for x in a.tolist()], [digits[x] for x in b.tolist()]
+        groups = [
+            ",".join(shown_a[i:j]) + "|" + ",".join(shown_b[k:m])
+            for i, j, k, m in zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), strict=True)
+        ]
+        shown: list[str | None] = [None] * len(new)
+        first = 0
+        for i, last in zip(good, np.cumsum(numbers[good, 2]).tolist(), strict=True):
+            shown[i] = ";".join(groups[first:last])
+            first = last
+        self.shown += shown
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + ends])
+        self.pairs = np.concatenate([self.pairs, keys & _PAIR])
+        self.times = np.concatenate([self.times, times])
+
+    def _exact(self, new: list[str], ids_a: list[list[int]], ids_b: list[list[int]], base: int) -> list[int]:
+        """Which stretches both tokenizers give back byte by byte."""
+        whole = (" " + " ".join(new)).encode()
+        ends = np.cumsum([1 + len(part.encode()) for part in new])
+        if all(
+            b"".join(map(known.__getitem__, chain.from_iterable(ids))) == whole
+            and np.array_equal(np.cumsum([sum(map(sizes.__getitem__, x)) for x in ids]), ends)
+            for ids, known, sizes in ((ids_a, self.bytes_a, self.lengths_a), (ids_b, self.bytes_b, self.lengths_b))
+        ):
+            return list(range(len(new)))
+        good = []
+        for i, part in enumerate(new):
+            whole = b" " + part.encode()
+            whole_b = b"".join(map(self.bytes_b.__getitem__, ids_b[i]))
+            whole_a = b"".join(map(self.bytes_a.__getitem__, ids_a[i]))
+            if whole_a == whole == whole_b:
+                good.append(i)
+            else:
+                self.joined[base + i] = (whole_a, whole_b)
+        return good
 
     def read(self, texts: list[str]) -> list[list[int] | None]:
         """Places of the stretches of blank and text, None where a text has no tokens."""
-        split = [stretches(" " + t) if t else [] for t in texts]
+        split = [stretches(t) if t else [] for t in texts]
         self.learn(set().union(*split))
         return [self._places(parts) if parts else None for parts in split]
 
     def _places(self, parts: list[str]) -> list[int] | None:
-        places = [self.known[p] for p in parts]
+        places = list(map(self.known.__getitem__, parts))
         if not self.joined or self.joined.keys().isdisjoint(places):
             return places
-        whole = "".join(parts)
+        whole = "".join(" " + p for p in parts)
         for side in (0, 1):
-            made = (self.joined[p][side] if p in self.joined else s.encode() for p, s in zip(places, parts, strict=True))
+            made = (self.joined[x][side] if x in self.joined else b" " + p.encode() for x, p in zip(places, parts, strict=True))
             if b"".join(made) != whole.encode():
                 return None
         # Stretches that differ, and yet their sum does not: the text is one stretch.
-        if whole not in self.known:
-            ids = self.library_a.encode(whole, add_special_tokens=False).ids
-            self._align(whole, ids, self.library_b.encode(whole[1:]))
-        return [self.known[whole]]
+        if whole[1:] not in self.known:
+            self._align([whole[1:]], self.encode_a([whole]), [self.library_b.encode(whole[1:])])
+        return [self.known[whole[1:]]]
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sum of their numbers."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+def _byte_level(path: str, spec: dict, plain: dict[bytes, int]):
+    """An encoder of many strings by a byte-level tokenizer file, special strings taken as text.
+
+    Where ids are in the order of merges, the ranks alone say all, and a library that knows nothing else is several
+    times faster on short strings.
+    """
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    made = [vocab[m.replace(" ", "", 1) if isinstance(m, str) else "".join(m)] for m in merges]
+    splits = spec.get("pre_tokenizer") or {}
+    usual = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and spec.get("normalizer") is None
+    if usual and made == sorted(set(made)) and all(bytes([x]) in plain for x in range(256)):
+        special = {token["content"].encode() for token in spec["added_tokens"]}
+        ranks = {raw: i for raw, i in plain.items() if raw not in special}
+        # The pattern of this pre-tokenizer: a fixed value.
+        pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        known = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: list(map(known.encode_ordinary, texts))
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    return lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -203,17 +275,74 @@ def _salt(documents: DataFrame):
     return F.pmod(F.xxhash64(documents["doc_id"]), F.lit(SALTS)).cast("int")
 
 
-def pair_counts(classes: DataFrame, path_a: str, path_b: str) -> DataFrame:
+_READ = [
+    ("key", pa.string()), ("copies", pa.int64()), ("salts", pa.list_(pa.int32())), ("n_a", pa.int64()), ("n_b", pa.int64()),
+    ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())),
+    ("times", pa.list_(pa.int64())),
+]
+_READ_SCHEMA = (
+    "key string, copies bigint, salts array<int>, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
+    "pairs array<bigint>, times array<bigint>"
+)
+
+
+def _links_of(known: Aligner, texts: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(offsets, pairs, times)``: distinct id pairs of every text and how often they are linked in it."""
+    sizes = np.array([len(t or ()) for t in texts])
+    places = np.fromiter(chain.from_iterable(t or () for t in texts), np.int64, int(sizes.sum()))
+    begins, sizes_of = known.offsets[places], np.diff(known.offsets)[places]
+    ends = np.cumsum(sizes_of)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.arange(total) + np.repeat(begins - (ends - sizes_of), sizes_of)
+    owner = np.repeat(np.repeat(np.arange(len(texts)), sizes), sizes_of)
+    keys, times = owner << 2 * _ID_BITS | known.pairs[at], known.times[at]
+    distinct, counts = np.unique(keys, return_counts=True)
+    several = np.flatnonzero(times > 1)
+    np.add.at(counts, np.searchsorted(distinct, keys[several]), times[several] - 1)
+    offsets = np.searchsorted(distinct, np.arange(len(texts) + 1) << 2 * _ID_BITS)
+    return offsets, distinct & _PAIR, counts
+
+
+def aligned(classes: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Every distinct text tokenised and aligned, once: its sizes, and its id pairs; written to the shared folder."""
+
+    def read(batches):
+        known = aligner(path_a, path_b)
+        for batch in batches:
+            for first, run in chunks(batch):
+                texts = known.read(run)
+                shown = known.shown.__getitem__
+                numbers = np.array([known.numbers[t].sum(axis=0) if t else (0, 0, 0, 0) for t in texts], np.int64).reshape(-1, 4)
+                digests = ["" if t is None else hashlib.sha256(";".join(map(shown, t)).encode()).hexdigest() for t in texts]
+                offsets, pairs, times = _links_of(known, texts)
+                offsets = pa.array(offsets, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c).slice(first, len(run)) for c in ("key", "copies", "salts")],
+                        *[pa.array(numbers[:, i]) for i in range(4)], pa.array(digests, pa.string()),
+                        pa.ListArray.from_arrays(offsets, pa.array(pairs)), pa.ListArray.from_arrays(offsets, pa.array(times)),
+                    ],
+                    [name for name, _ in _READ],
+                )
+
+    rows = classes.select("key", "text", "copies", "salts").mapInArrow(read, _READ_SCHEMA)
+    return stored(rows, "align-links", "zstd")
+
+
+def _spread(column: pa.Array, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a list column, and for each the value of its row."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(), np.repeat(per_row, sizes)
+
+
+def pair_counts(links: DataFrame) -> DataFrame:
     """``(pair, n)``: documents that hold a pair of ids linked, summed in each task before the shuffle."""
 
     def count(batches):
-        known = aligner(path_a, path_b)
         held, size = [], 0
 
         def summed():
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, back = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(back, n, len(keys)).astype(np.int64)
+            return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
         def rows():
             keys, n = summed()
@@ -221,24 +350,21 @@ def pair_counts(classes: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (keys, n)], ["pair", "n"])
 
         for batch in batches:
-            copies = batch.column("copies").to_numpy()
-            for first, run in chunks(batch):
-                for i, places in enumerate(known.read(run), start=first):
-                    if places is None:
-                        continue
-                    pairs = set().union(*map(known.pairs.__getitem__, set(places)))
-                    held.append((np.fromiter(pairs, np.int64, len(pairs)), np.full(len(pairs), copies[i], np.int64)))
-                    size += len(pairs)
-                    if size > 2 * HELD_PAIRS:
-                        held = [summed()]
-                        size = len(held[0][0])
-                        if size > HELD_PAIRS:
-                            yield from rows()
-                            held, size = [], 0
+            pairs, copies = _spread(batch.column("pairs"), batch.column("copies").to_numpy())
+            if not len(pairs):
+                continue
+            held.append((pairs, copies))
+            size += len(pairs)
+            if size > 2 * HELD_PAIRS:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > HELD_PAIRS:
+                    yield from rows()
+                    held, size = [], 0
         if held:
             yield from rows()
 
-    counted = classes.select("text", "copies").mapInArrow(count, "pair bigint, n bigint")
+    counted = links.select("pairs", "copies").mapInArrow(count, "pair bigint, n bigint")
     return stored(counted.groupBy("pair").agg(F.sum("n").alias("n")), "align-pairs")
 
 
@@ -267,35 +393,36 @@ class Frequent:
         return np.abs(found), found < 0
 
 
-_MEASURES = [
-    ("key", pa.string()), ("salts", pa.list_(pa.int32())), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
-    ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string()),
-    ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())),
-]
-
-
-def measures(classes: DataFrame, counts: DataFrame, path_a: str, path_b: str, frequent: int = FREQUENT_PAIRS) -> DataFrame:
-    """All measures of every distinct text, once, written to the shared folder."""
-    spark = classes.sparkSession
+def measures(links: DataFrame, counts: DataFrame, frequent: int = FREQUENT_PAIRS) -> DataFrame:
+    """All measures of every distinct text."""
     known_best = stored(_with_best(counts), "align-best")
     top = known_best.orderBy(F.desc("n"), "pair").limit(frequent).toArrow()
     signed = np.where(top.column("best").to_numpy(), -1, 1) * top.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(Frequent(top.column("pair").to_numpy().copy(), signed))
+    shared = links.sparkSession.sparkContext.broadcast(Frequent(top.column("pair").to_numpy().copy(), signed))
+    kept = ["key", "salts", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
     def measure(batches):
-        known, scores = aligner(path_a, path_b), Scores(shared.value)
+        often = shared.value
         for batch in batches:
-            keys, salts = batch.column("key"), batch.column("salts")
-            for first, run in chunks(batch):
-                found = known.read(run)
-                columns = scores.of_texts(known, found)
-                some = [keys.slice(first, len(run)), salts.slice(first, len(run))]
-                arrays = [pa.array(c, t) for c, (_, t) in zip(columns, _MEASURES[2:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*some, *arrays], [n for n, _ in _MEASURES])
-
-    kinds = {"string": "string", "int64": "bigint"}
-    schema = ", ".join(f"{n} {kinds.get(str(t)) or ('array<int>' if n == 'salts' else 'array<bigint>')}" for n, t in _MEASURES)
-    found = stored(classes.select("key", "text", "salts").mapInArrow(measure, schema), "align-measures", "zstd")
+            n = batch.num_rows
+            pairs, row = _spread(batch.column("pairs"), np.arange(n))
+            times = batch.column("times").flatten().to_numpy()
+            found, best = often.look_up(pairs)
+            n_best = np.bincount(row[best], times[best], n).astype(np.int64)
+            count_sum = np.zeros(n, np.int64)
+            np.add.at(count_sum, row, found * times)
+            missing = found == 0
+            offsets = pa.array(np.searchsorted(row[missing], np.arange(n + 1)), pa.int32())
+            rare = [pa.ListArray.from_arrays(offsets, pa.array(x[missing])) for x in (pairs, times)]
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, kept), pa.array(n_best), pa.array(count_sum), *rare], [*kept, "n_best", "count_sum", "rare", "times"]
+            )
+
+    schema = (
+        "key string, salts array<int>, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
+        "n_best bigint, count_sum bigint, rare array<bigint>, times array<bigint>"
+    )
+    found = stored(links.select(*kept, "pairs", "times").mapInArrow(measure, schema), "align-measures", "zstd")
     rare = found.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", "x.rare", "x.times")
     # No pair left here is more frequent than any of the frequent ones.
     late = rare.join(known_best, rare["rare"] == known_best["pair"]).groupBy("key").agg(
@@ -311,58 +438,10 @@ def measures(classes: DataFrame, counts: DataFrame, path_a: str, path_b: str, fr
     )
 
 
-class Scores:
-    """Six numbers per stretch (tokens of A and B, groups, links, best links, sum of counts), and what is still to look up."""
-
-    def __init__(self, often: Frequent):
-        self.often, self.generation = often, -1
-
-    def _extend(self, known: Aligner) -> None:
-        """Score the stretches that are new."""
-        if self.generation != known.generation:
-            self.generation, self.table, self.rare = known.generation, np.empty((0, 6), np.int64), {}
-        done = len(self.table)
-        if done == len(known.numbers):
-            return
-        sizes = np.array([len(p) for p in known.pairs[done:]])
-        total = int(sizes.sum())
-        pairs = np.fromiter(chain.from_iterable(known.pairs[done:]), np.int64, total)
-        times = np.fromiter(chain.from_iterable(known.times[done:]), np.int64, total)
-        counts, best = self.often.look_up(pairs)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        new = np.zeros((len(sizes), 6), np.int64)
-        new[:, :4] = known.numbers[done:]
-        np.add.at(new[:, 4], owner[best], times[best])
-        np.add.at(new[:, 5], owner, counts * times)
-        for i in np.flatnonzero(counts == 0).tolist():
-            self.rare.setdefault(done + int(owner[i]), []).append((int(pairs[i]), int(times[i])))
-        self.table = np.concatenate([self.table, new])
-
-    def of_texts(self, known: Aligner, texts: list[list[int] | None]) -> list:
-        """Columns of measures, one entry per text."""
-        self._extend(known)
-        sums, digests, rare, times = [], [], [], []
-        for places in texts:
-            left: dict[int, int] = {}
-            if places is None:
-                sums.append(np.zeros(6, np.int64))
-                digests.append("")
-            else:
-                sums.append(self.table[places].sum(axis=0))
-                digests.append(hashlib.sha256(b";".join(map(known.shown.__getitem__, places))).hexdigest())
-                if self.rare:
-                    for place in filter(self.rare.__contains__, places):
-                        for pair, n in self.rare[place]:
-                            left[pair] = left.get(pair, 0) + n
-            rare.append(list(left))
-            times.append(list(left.values()))
-        return [*np.array(sums, np.int64).reshape(-1, 6).T, digests, rare, times]
-
-
 def align(documents: DataFrame, path_a: str, path_b: str, frequent: int = FREQUENT_PAIRS) -> DataFrame:
     """``(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` for every document."""
-    classes = text_classes(documents)
-    found = measures(classes, pair_counts(classes, path_a, path_b), path_a, path_b, frequent)
+    links = aligned(text_classes(documents), path_a, path_b)
+    found = measures(links, pair_counts(links), frequent)
     shares = found.withColumn("salt", F.explode("salts")).drop("salts")
     keys = documents.select("doc_id", F.sha2(_text(documents), 256).alias("key"), _salt(documents).alias("salt"))
     return keys.join(shares, ["key", "salt"]).drop("key", "salt")
