@@ -14,21 +14,27 @@ from pyspark import TaskContext, cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-HEAD_SCHEMA = "source_file string, line_number bigint, value string"
+FORMAT_SCHEMA = "source_file string, format string"
 
 
-def first_lines(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """The first lines of the one file a task scans; it stops reading there."""
-    seen = 0
+def first_formats(batches: Iterator[pa.RecordBatch], limit: int, fallback: str) -> Iterator[pa.RecordBatch]:
+    """The format of each file a task scans: that of the first line, among the first ``limit``, that has one.
+
+    Reading stops with the first lines of a task's last file; a task that scans one file reads no more than those.
+    """
+    seen: dict[str, list] = {}
     for batch in batches:
-        head = batch.slice(0, limit - seen)
-        numbers = pa.array(range(seen + 1, seen + head.num_rows + 1), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [head.column("source_file"), numbers, head.column("value")], names=["source_file", "line_number", "value"]
-        )
-        seen += head.num_rows
-        if seen >= limit:
-            return
+        for file, name in zip(batch.column("source_file").to_pylist(), batch.column("format").to_pylist(), strict=True):
+            state = seen.setdefault(file, [0, None])
+            if state[0] < limit:
+                state[0] += 1
+                state[1] = state[1] or name
+        if len(seen) == 1 and next(iter(seen.values()))[0] >= limit:
+            break
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(seen), pa.string()), pa.array([name or fallback for _, name in seen.values()], pa.string())],
+        ["source_file", "format"],
+    )
 
 
 FRAGMENT_SCHEMA = (
@@ -159,68 +165,3 @@ def fold_sessions(
         open_run = single(hi)
     if open_run is not None:
         yield emit_one(open_run, last=True)
-
-
-RUNS_SCHEMA = "source_file string, block bigint, pos bigint, bytes array<int>"
-PARTS_SCHEMA = "source_file string, block bigint, pos bigint, part bigint"
-_RUN_LINES = 2048
-
-
-def pack_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line lengths of consecutive positions of a block as one array under the first position."""
-    for batch in batches:
-        n = batch.num_rows
-        if n == 0:
-            continue
-        pos = batch.column("pos").to_numpy(zero_copy_only=False)
-        block = batch.column("block").to_numpy(zero_copy_only=False)
-        code = _codes(batch.column("source_file"))
-        new_run = np.arange(n) % _RUN_LINES == 0
-        new_run[1:] |= (np.diff(pos) != 1) | (np.diff(block) != 0) | (np.diff(code) != 0)
-        starts = np.flatnonzero(new_run)
-        offsets = pa.array(np.append(starts, n), pa.int32())
-        take = pa.array(starts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("source_file").take(take),
-                batch.column("block").take(take),
-                batch.column("pos").take(take),
-                pa.ListArray.from_arrays(offsets, batch.column("bytes")),
-            ],
-            names=["source_file", "block", "pos", "bytes"],
-        )
-
-
-def next_fit_parts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """First line of every part, for runs of line lengths in ``(source_file, block, pos)`` order.
-
-    A part takes lines while their bytes sum to at most ``limit``; a longer line gets a
-    part of its own. Holds one batch at a time and jumps from part to part.
-    """
-    file, used, part = None, 0, 0
-    for batch in batches:
-        rows, begins, numbers = [], [], []
-        columns = [batch.column(c) for c in ("source_file", "block", "pos", "bytes")]
-        for row in range(batch.num_rows):
-            name = columns[0][row].as_py()
-            if name != file:
-                file, used, part = name, 0, 0
-            first = columns[2][row].as_py()
-            until = np.cumsum(columns[3][row].values.to_numpy(zero_copy_only=False), dtype=np.int64)
-            at, done = 0, 0
-            while at < len(until):
-                fit = int(np.searchsorted(until[at:], done + limit - used, side="right")) if used else 0
-                if fit == 0:
-                    part, used = part + 1, 0
-                    rows.append(row)
-                    begins.append(first + at)
-                    numbers.append(part)
-                    fit = max(1, int(np.searchsorted(until[at:], done + limit, side="right")))
-                at += fit
-                used += int(until[at - 1]) - done
-                done = int(until[at - 1])
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [columns[0].take(take), columns[1].take(take), pa.array(begins, pa.int64()), pa.array(numbers, pa.int64())],
-            names=["source_file", "block", "pos", "part"],
-        )

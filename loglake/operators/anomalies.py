@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loglake.functions.arguments import interval_seconds
 from loglake.functions.expressions import from_micros, micros, normalize_message
 from loglake.model import ERROR, LOAD_ORDER, WARN
+from loglake.operators.calendar import beside
 from loglake.operators.filters import first_rows
 from loglake.operators.stats import minute_rollup
 
@@ -29,10 +30,8 @@ CRITICAL = "CRITICO"
 ALERT = "ALERTA"
 
 _MINUTE_US = 60_000_000
-
-
-def _everything():
-    return Window.partitionBy()
+#: Minutes ordered by one task when gaps are looked for: a week.
+GAP_STRETCH = 7 * 24 * 60
 
 
 def _templates(df: DataFrame, min_severity: int, *columns: str | Column) -> DataFrame:
@@ -80,12 +79,10 @@ def error_spikes_of_rollup(
     counts = errors.groupBy(F.expr(f"slot * 60 div {step} * {step}").alias("at")).agg(
         F.sum("n").alias("n")
     )
-    stats = counts.select(
-        "at",
-        "n",
-        F.sum("n").over(_everything()).alias("errors"),
-        F.count("*").over(_everything()).alias("buckets"),
-    ).withColumn("baseline", F.expr("errors div buckets"))
+    errors_of_all, buckets = counts.agg(F.sum("n")).scalar(), counts.agg(F.count("*")).scalar()
+    stats = counts.select("at", "n", errors_of_all.alias("errors"), buckets.alias("buckets")).withColumn(
+        "baseline", F.expr("errors div buckets")
+    )
     enough = (F.col("errors") >= SPIKE_MIN_ERRORS) & (F.col("buckets") >= SPIKE_MIN_BUCKETS)
     high = (F.col("n") > F.col("baseline") * factor) & (F.col("n") > min_count)
     return (
@@ -167,12 +164,11 @@ def log_gaps_of_rollup(
             F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
         )
     )
-    spread = (F.max("last_us").over(_everything()) - F.min("first_us").over(_everything())) / _MINUTE_US
-    spaced = minutes.select(
-        F.lag("last_us").over(Window.orderBy("slot")).alias("before_us"),
-        "first_us",
-        F.sum("n").over(_everything()).alias("entries"),
-        F.floor(spread).alias("minutes"),
+    whole = minutes.agg(
+        F.struct(F.sum("n").alias("entries"), F.floor((F.max("last_us") - F.min("first_us")) / _MINUTE_US).alias("minutes"))
+    ).scalar()
+    spaced = beside(minutes, "slot", GAP_STRETCH, before_us="last_us").select(
+        "before_us", "first_us", whole["entries"].alias("entries"), whole["minutes"].alias("minutes")
     ).withColumn("gap_minutes", F.floor((F.col("first_us") - F.col("before_us")) / _MINUTE_US))
     threshold = F.col("minutes") / F.col("entries") * factor
     long = (F.col("gap_minutes") > GAP_MIN_MINUTES) & (F.col("gap_minutes") > threshold)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from loglake.functions.arguments import interval_seconds
 from loglake.functions.expressions import error_signature, from_micros, micros
 from loglake.model import ERROR, level_of
+from loglake.operators.calendar import beside
 from loglake.operators.filters import filter_level_expression, first_rows
 
 TOP_ERRORS_LIMIT = 10
@@ -121,16 +122,11 @@ def timeline_of_rollup(
         .groupBy((F.col("slot") * slot).alias("at"))
         .agg(F.sum("n").alias("n"))
     )
-    anchored = slots.withColumn("start", F.floor(F.min("at").over(_everything()) / 3600) * 3600)
-    buckets = anchored.groupBy(
-        F.expr(f"(at - start) div {step} * {step} + start").alias("bucket")
-    ).agg(F.sum("n").alias("n"))
-    in_order = Window.orderBy("bucket")
-    filled = buckets.select(
-        "bucket",
-        "n",
-        (F.col("n") == F.max("n").over(_everything())).alias("is_peak"),
-        F.coalesce(F.lead("bucket").over(in_order), F.col("bucket") + step).alias("next"),
+    start = slots.agg(F.floor(F.min("at") / 3600) * 3600).scalar()
+    buckets = slots.groupBy((F.floor((F.col("at") - start) / step) * step + start).alias("bucket")).agg(F.sum("n").alias("n"))
+    peak = buckets.agg(F.max("n")).scalar()
+    filled = beside(buckets, "bucket", step * FILL_RUN, after=True, next="bucket").select(
+        "bucket", "n", (F.col("n") == peak).alias("is_peak"), F.coalesce("next", F.col("bucket") + step).alias("next")
     )
     # Gaps are filled in runs of bounded length: one far-off time must not become one array.
     run = step * FILL_RUN

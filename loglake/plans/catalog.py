@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loglake.operators import anomalies, context, filters, flows, stacks, stats
 from loglake.plans.report import executive_report
@@ -24,9 +25,8 @@ from loglake.sources.events import (
 )
 from loglake.sources.stored import load_entries, save_entries
 from loglake.sources.text import (
-    format_table,
+    file_formats,
     lines_of,
-    list_files,
     load_report,
     read_folder,
     read_glob,
@@ -49,6 +49,7 @@ CLUSTER_WINDOW = "2h"
 CALL_LINE = 500
 CALL_WINDOW = "6h"
 PART_SIZE = "64KB"
+LONG_MESSAGE = 70_000
 TEXT_FORMATS = ("logback", "log4j", "json", "nginx", "apache")
 
 
@@ -82,7 +83,15 @@ def _as_text_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
     return write_text_log(render_lines(events_as_logs(spark, sf_dir), kind), path)
 
 
-_PARSED = ["ts", "level", "severity", "logger", "thread", "message", "stack_trace", "raw"]
+_PARSED = ["line", "ts", "level", "severity", "logger", "thread", "message", "stack_trace", "raw"]
+
+
+def _with_lines(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """Entries with ``line``, their line counted through all files in the order of their names."""
+    before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = lines.groupBy("source_file").agg(F.count("*").alias("n"))
+    offsets = files.select("source_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return entries.join(offsets, "source_file").withColumn("line", F.col("offset") + F.col("line_number"))
 
 
 def _parsed(kind: str, format: str | None = None, pattern: str | None = None) -> Query:
@@ -91,11 +100,59 @@ def _parsed(kind: str, format: str | None = None, pattern: str | None = None) ->
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
         path = _as_text_files(spark, sf_dir, kind)
-        return read_logs(spark, path, format, pattern).select(*_PARSED)
+        return _with_lines(read_logs(spark, path, format, pattern), read_lines(spark, path)).select(*_PARSED)
 
     return run
 
 
+#: What the files of a folder, or of a tree, begin with: names that readers tend to lose, in the order of names.
+ODD_NAMES = (".x-", "[1]-", "_x-", "b %41-", "day=7-")
+ODD_FOLDERS = ("a/prod/", "b/_c/prod/", "b/other/", "day=1/prod/_", "prod/.")
+
+
+def _as_log_files(spark: SparkSession, sf_dir: str, prefixes: tuple[str, ...]) -> str:
+    """Events as a logback log in ``.log`` files: an entry's line number decides which prefix its file has."""
+    root = scratch_dir(spark, "names")
+    fs = spark._jvm.org.apache.hadoop.fs
+    for i, prefix in enumerate(prefixes):
+        some = events_as_logs(spark, sf_dir).where(F.col("line_number") % len(prefixes) == i)
+        written = write_text_log(render_lines(some, "logback"), scratch_dir(spark, "names-part"))
+        files = sorted(unquote(uri) for uri in spark.read.text(written).inputFiles())
+        for n, file in enumerate(files):
+            to = fs.Path(f"{root}/{prefix}{n:05d}.log")
+            system = to.getFileSystem(spark._jsc.hadoopConfiguration())
+            system.mkdirs(to.getParent())
+            system.rename(fs.Path(file), to)
+    return root
+
+
+_ENTRY = ["ts", "level", "logger", "thread", "message", "stack_trace"]
+
+
+def _read_folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder whose files have names Spark's own readers pass over or take for patterns."""
+    configure(spark)
+    entries = read_folder(spark, _as_log_files(spark, sf_dir, ODD_NAMES))
+    name = F.url_decode(F.replace(F.element_at(F.split("source_file", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return entries.select(F.regexp_replace(name, r"\d{5}\.log$", "").alias("name"), *_ENTRY)
+
+
+def _read_glob_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree, of which the files in folders of one name are read, at any depth."""
+    configure(spark)
+    root = _as_log_files(spark, sf_dir, ODD_FOLDERS)
+    return read_glob(spark, f"{root}/**/prod/*.log").select(*_ENTRY)
+
+
+def _detect_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON log whose first line, and every thousandth, is very long: detection sees whole lines."""
+    configure(spark)
+    long = F.when(F.col("line_number") % 1000 == 1, F.repeat(F.lit("m"), F.lit(LONG_MESSAGE))).otherwise("")
+    entries = events_as_logs(spark, sf_dir).withColumn("message", F.concat(long, "message"))
+    path = write_text_log(render_lines(entries, "json"), scratch_dir(spark, "long"))
+    return read_logs(spark, path).select("ts", "level", F.length("message").cast("bigint").alias("characters"))
+
+
 def _parse_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All formats in one folder tree; each file is read in its own format."""
     configure(spark)
@@ -117,8 +174,7 @@ def _detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark, "detect")
     for kind in TEXT_FORMATS:
         write_text_log(render_lines(events_as_logs(spark, sf_dir), kind), f"{root}/{kind}")
-    files = list_files(spark, root, recursiveFileLookup="true")
-    found = format_table(spark, files)
+    found = file_formats(spark, root, recursiveFileLookup="true")
     sizes = read_lines(spark, root, recursiveFileLookup="true").groupBy("source_file").agg(
         F.count("*").alias("lines")
     )
@@ -133,7 +189,7 @@ def _load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     path = _as_text_files(spark, sf_dir, "logback")
     lines = read_lines(spark, path)
-    formats = format_table(spark, list_files(spark, path))
+    formats = file_formats(spark, path)
     report = load_report(lines, read_logs(spark, path), formats)
     return report.groupBy("format").agg(F.sum("lines").alias("lines"), F.sum("entries").alias("entries"))
 
@@ -159,27 +215,28 @@ def _split_size(exact: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
         lines = lines_of(render_lines(events_as_logs(spark, sf_dir), "nginx"))
-        parts = rewrite.assign_parts(lines, PART_SIZE, exact)
-        return parts.groupBy("part").agg(
-            F.count("*").alias("lines"),
-            F.sum(F.octet_length("value") + 1).alias("bytes"),
-            F.min("pos").alias("first_line"),
-            F.max("pos").alias("last_line"),
-        )
+        out = rewrite.write_parts(rewrite.assign_parts(lines, PART_SIZE, exact), scratch_dir(spark, "split-size"))
+        return rewrite.read_ordered(spark, out, by="part").withColumn("part", F.col("part").cast("bigint"))
 
     return run
 
 
-def _merge(order: str) -> Query:
+def _merge(order: str, *kinds: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        parts = [_as_text_files(spark, sf_dir, kind) for kind in ("logback", "nginx")]
-        out = rewrite.merge_files(spark, parts, scratch_dir(spark, "merged"), order)
-        return spark.read.text(out)
+        written = {kind: _as_text_files(spark, sf_dir, kind) for kind in dict.fromkeys(kinds)}
+        out = rewrite.merge_files(spark, [written[kind] for kind in kinds], scratch_dir(spark, "merged"), order)
+        return rewrite.read_ordered(spark, out)
 
     return run
 
 
+def _merge_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    out = rewrite.merge_folder(spark, _as_log_files(spark, sf_dir, ODD_NAMES), scratch_dir(spark, "merged"))
+    return rewrite.read_ordered(spark, out)
+
+
 def _export(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
@@ -319,7 +376,7 @@ def registered_queries() -> dict[str, Query]:
         "stack_groups": _on_logs(stacks.group_stacks),
         "stack_at": _on_logs(stacks.stack_at, 42),
         "digest": _on_logs(context.digest),
-        "error_context": _on_logs(context.error_context, "Timeout after 7"),
+        "error_context": _on_logs(context.error_context, "IllegalState"),
         "error_context_text": _on_logs(context.error_context, "timeout after 7"),
         "root_cause": _on_logs(context.root_cause_entries),
         # text sources
@@ -332,16 +389,21 @@ def registered_queries() -> dict[str, Query]:
         "parse_custom": _parsed("custom", "custom", CUSTOM_TEMPLATE),
         "parse_mixed": _parse_mixed,
         "parse_headers_only": _headers_only,
+        "read_folder_names": _read_folder_names,
+        "read_glob_deep": _read_glob_deep,
         "detect_format": _detect_format,
+        "detect_long_lines": _detect_long_lines,
         "load_report": _load_report,
         # sinks
         "split_day": _split(rewrite.split_by_day, "day"),
         "split_level": _split(rewrite.split_by_level, "level"),
         "split_size": _split_size(True),
         "split_size_even": _split_size(False),
-        "merge_files": _merge("file"),
-        "merge_sorted": _merge("line"),
-        "merge_by_time": _merge("timestamp"),
+        "merge_files": _merge("file", "logback", "nginx"),
+        "merge_sorted": _merge("line", "logback", "nginx"),
+        "merge_by_time": _merge("timestamp", "logback", "nginx"),
+        "merge_repeated": _merge("file", "nginx", "logback", "nginx"),
+        "merge_folder": _merge_folder,
         "export_rows_json": _export("json"),
         "export_rows_csv": _export("csv"),
         "export_rows_html": _export("html"),

@@ -233,8 +233,8 @@ def _text(*lines: str) -> str:
 _CSV_FIELD = """CASE WHEN regexp_matches({0}, '[,"\\n]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
 
 _NEXT_FIT = """
-    text AS (SELECT line_number, octet_length(encode(VALUE_LINE)) + 1 AS bytes FROM logs),
-    cum AS (SELECT line_number, bytes, sum(bytes) OVER (ORDER BY line_number) AS until FROM text),
+    text AS (SELECT line_number, VALUE_LINE AS value, octet_length(encode(VALUE_LINE)) + 1 AS bytes FROM logs),
+    cum AS (SELECT line_number, value, bytes, sum(bytes) OVER (ORDER BY line_number) AS until FROM text),
     starts AS (
       SELECT 1 AS part, CAST(1 AS BIGINT) AS first_line, CAST(0 AS HUGEINT) AS before
       UNION ALL
@@ -243,7 +243,20 @@ _NEXT_FIT = """
                  WHERE until - s.before > 65536 AND line_number > s.first_line ORDER BY line_number LIMIT 1) n
     )""".replace("VALUE_LINE", _NGINX_LINE)
 
-_PART_ROWS = """count(*) AS lines, CAST(sum(bytes) AS BIGINT) AS bytes, min(line_number) AS first_line, max(line_number) AS last_line"""
+_PART_ROWS = "CAST(p AS BIGINT) AS part, row_number() OVER (PARTITION BY p ORDER BY line_number) AS position, value"
+#: Lines of an entry as text of a multi-line format.
+_ENTRY_LINES = "(1 + coalesce(len(string_split(stack_trace, chr(10))), 0))"
+
+
+def _line(of_entry: str = "1") -> str:
+    """The line an entry begins at, when entries before it have some lines each."""
+    return f"CAST(1 + coalesce(sum({of_entry}) OVER (ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line"
+
+
+def _merged(order: str, *rows: str) -> str:
+    """Lines of ``(src, t, line_number, text)`` rows with their position in an order."""
+    cut = "SELECT src, t, line_number, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS i"
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS position, value FROM ({cut} FROM ({' UNION ALL '.join(rows)}))"
 
 
 def _report() -> str:
@@ -272,6 +285,9 @@ def _report() -> str:
 
 def oracles() -> dict[str, str]:
     web = f"{_SECONDS} AS ts, {_WEB_LEVEL} AS level, {_WEB_SEVERITY} AS severity"
+    entry = f"{_MILLIS} AS ts, level, logger, thread, message, stack_trace"
+    logback = f"SELECT 1 AS src, {_MILLIS} AS t, line_number, {_WITH_STACK} AS text FROM logs"
+    nginx = f"SELECT 2 AS src, {_SECONDS} AS t, line_number, {_NGINX_LINE} AS text FROM logs"
     mixed = "SELECT '{0}' AS folder, {1} AS level, count(*) AS n, {2} AS stacks, count(*) AS times FROM logs GROUP BY ALL"
     call = "(SELECT ts AS t0, thread AS th FROM logs WHERE line_number = 500) a"
     in_call = "thread = th AND abs(epoch_us(ts) - epoch_us(t0)) // 1000 <= 21600000"
@@ -332,16 +348,16 @@ def oracles() -> dict[str, str]:
               (SELECT message, count(*) AS n FROM logs WHERE severity >= 4 GROUP BY message ORDER BY n DESC, message LIMIT 5)
             UNION ALL SELECT 'recent', row_number() OVER (ORDER BY line_number), text, NULL FROM
               (SELECT line_number, {_ENTRY_TEXT} AS text FROM logs ORDER BY line_number DESC LIMIT 20)"""),
-        "error_context": _q(f"SELECT source_file, line_number, {_ENTRY_TEXT} AS text FROM logs WHERE severity >= 4 AND (contains(message, 'Timeout after 7') OR coalesce(contains(stack_trace, 'Timeout after 7'), false)) ORDER BY line_number LIMIT 5"),
+        "error_context": _q(f"SELECT source_file, line_number, {_ENTRY_TEXT} AS text FROM logs WHERE severity >= 4 AND (contains(message, 'IllegalState') OR coalesce(contains(stack_trace, 'IllegalState'), false)) ORDER BY line_number LIMIT 5"),
         "error_context_text": _q(f"SELECT source_file, line_number, {_ENTRY_TEXT} AS text FROM logs WHERE severity >= 4 AND (contains(message, 'timeout after 7') OR coalesce(contains(stack_trace, 'timeout after 7'), false)) ORDER BY line_number LIMIT 5"),
         "root_cause": _q(f"SELECT source_file, line_number, {_ENTRY_TEXT} AS text FROM logs WHERE severity >= 4 ORDER BY line_number LIMIT 20"),
-        "parse_logback": _q(f"SELECT {_MILLIS} AS ts, level, severity, logger, thread, message, stack_trace, raw FROM logs"),
-        "parse_log4j": _q(f"SELECT {_MILLIS} AS ts, level, severity, logger, thread, message, stack_trace, {_LOG4J_LINE} AS raw FROM logs"),
-        "parse_json": _q(f"SELECT ts, level, severity, logger, thread, message, stack_trace, {_JSON_LINE} AS raw FROM logs"),
-        "parse_nginx": _q(f"SELECT {web}, 'nginx' AS logger, thread, {_REQUEST} || ' [' || status || '] ' || length(message) || ' bytes - agent/' || level AS message, CAST(NULL AS VARCHAR) AS stack_trace, {_NGINX_LINE} AS raw FROM logs"),
-        "parse_apache": _q(f"SELECT {web}, 'apache' AS logger, thread, {_REQUEST} || ' [' || status || '] ' || length(message) AS message, CAST(NULL AS VARCHAR) AS stack_trace, {_WEB_LINE} AS raw FROM logs"),
-        "parse_apache_error": _q("SELECT CAST(NULL AS TIMESTAMP) AS ts, level, severity, 'apache-error' AS logger, CAST(NULL AS VARCHAR) AS thread, message, CAST(NULL AS VARCHAR) AS stack_trace, '[' || strftime(ts, '%a %b %d %H:%M:%S.%f %Y') || '] [' || lower(level) || '] [pid ' || line_number || '] ' || message AS raw FROM logs"),
-        "parse_custom": _q(f"SELECT {_MILLIS} AS ts, level, severity, logger, thread, message, CAST(NULL AS VARCHAR) AS stack_trace, raw FROM logs"),
+        "parse_logback": _q(f"SELECT {_line(_ENTRY_LINES)}, {_MILLIS} AS ts, level, severity, logger, thread, message, stack_trace, raw FROM logs"),
+        "parse_log4j": _q(f"SELECT {_line(_ENTRY_LINES)}, {_MILLIS} AS ts, level, severity, logger, thread, message, stack_trace, {_LOG4J_LINE} AS raw FROM logs"),
+        "parse_json": _q(f"SELECT {_line()}, ts, level, severity, logger, thread, message, stack_trace, {_JSON_LINE} AS raw FROM logs"),
+        "parse_nginx": _q(f"SELECT {_line()}, {web}, 'nginx' AS logger, thread, {_REQUEST} || ' [' || status || '] ' || length(message) || ' bytes - agent/' || level AS message, CAST(NULL AS VARCHAR) AS stack_trace, {_NGINX_LINE} AS raw FROM logs"),
+        "parse_apache": _q(f"SELECT {_line()}, {web}, 'apache' AS logger, thread, {_REQUEST} || ' [' || status || '] ' || length(message) AS message, CAST(NULL AS VARCHAR) AS stack_trace, {_WEB_LINE} AS raw FROM logs"),
+        "parse_apache_error": _q(f"SELECT {_line()}, CAST(NULL AS TIMESTAMP) AS ts, level, severity, 'apache-error' AS logger, CAST(NULL AS VARCHAR) AS thread, message, CAST(NULL AS VARCHAR) AS stack_trace, '[' || strftime(ts, '%a %b %d %H:%M:%S.%f %Y') || '] [' || lower(level) || '] [pid ' || line_number || '] ' || message AS raw FROM logs"),
+        "parse_custom": _q(f"SELECT {_line()}, {_MILLIS} AS ts, level, severity, logger, thread, message, CAST(NULL AS VARCHAR) AS stack_trace, raw FROM logs"),
         "parse_mixed": _q(" UNION ALL ".join([
             mixed.format("logback", "level", "count(stack_trace)"), mixed.format("log4j", "level", "count(stack_trace)"),
             mixed.format("json", "level", "count(stack_trace)"), mixed.format("nginx", _WEB_LEVEL, "0"), mixed.format("apache", _WEB_LEVEL, "0")])),
@@ -353,9 +369,16 @@ def oracles() -> dict[str, str]:
         "load_report": _q("SELECT 'logback' AS format, CAST(sum(1 + coalesce(len(string_split(stack_trace, chr(10))), 0)) AS BIGINT) AS lines, count(*) AS entries FROM logs"),
         "split_day": _q(_lines(_WITH_STACK, "strftime(ts, '%Y-%m-%d') AS day,")),
         "split_level": _q(_lines(_WITH_STACK, "lower(level) AS level,")),
-        "split_size": _q(f"SELECT CAST(p AS BIGINT) AS part, {_PART_ROWS} FROM (SELECT line_number, bytes, (SELECT max(part) FROM starts s WHERE s.first_line <= c.line_number) AS p FROM cum c) GROUP BY p", _NEXT_FIT, recursive=True),
-        "split_size_even": _q(f"SELECT CAST((until - bytes) // 65536 + 1 AS BIGINT) AS part, {_PART_ROWS} FROM cum GROUP BY 1", _NEXT_FIT, recursive=True),
-        **{name: _q(f"{_lines(_WITH_STACK)} UNION ALL SELECT {_NGINX_LINE} FROM logs") for name in ("merge_files", "merge_sorted", "merge_by_time")},
+        "split_size": _q(f"SELECT {_PART_ROWS} FROM (SELECT line_number, value, (SELECT max(part) FROM starts s WHERE s.first_line <= c.line_number) AS p FROM cum c)", _NEXT_FIT, recursive=True),
+        "split_size_even": _q(f"SELECT {_PART_ROWS} FROM (SELECT *, (until - bytes) // 65536 + 1 AS p FROM cum)", _NEXT_FIT, recursive=True),
+        "merge_files": _q(_merged("src, line_number, i", logback, nginx)),
+        "merge_sorted": _q(_merged("value", logback, nginx)),
+        "merge_by_time": _q(_merged("t, src, line_number, i", logback, nginx)),
+        "merge_repeated": _q(_merged("src, line_number, i", nginx.replace("2 AS src", "0 AS src"), logback, nginx)),
+        "merge_folder": _q(_merged("line_number % 5, line_number, i", logback)),
+        "read_folder_names": _q(f"SELECT ['.x-', '[1]-', '_x-', 'b %41-', 'day=7-'][line_number % 5 + 1] AS name, {entry} FROM logs"),
+        "read_glob_deep": _q(f"SELECT {entry} FROM logs WHERE line_number % 5 <> 2"),
+        "detect_long_lines": _q("SELECT ts, level, length(message) + CASE WHEN line_number % 1000 = 1 THEN 70000 ELSE 0 END AS characters FROM logs"),
         "export_rows_json": _q("""SELECT line_number AS line, regexp_replace(CASE WHEN microsecond(ts) = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END, '(\\.\\d{3})000$', '\\1') AS timestamp,
             level, logger, thread, message, stack_trace AS "stackTrace" FROM logs"""),
         "export_rows_csv": _q(f"SELECT line_number || ',' || second_text || ',' || level || ',' || {_CSV_FIELD.format('logger')} || ',' || {_CSV_FIELD.format('thread')} || ',' || {_CSV_FIELD.format('message')} AS value FROM logs {_text('linha,timestamp,nivel,logger,thread,mensagem')}"),

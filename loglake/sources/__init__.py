@@ -3,8 +3,7 @@ from loglake.sources.formats import custom_format, line_format
 from loglake.sources.stored import load_entries, save_entries
 from loglake.sources.text import (
     detect_formats,
-    file_heads,
-    format_table,
+    file_formats,
     lines_of,
     list_files,
     load_report,
@@ -17,7 +16,7 @@ from loglake.sources.text import (
 )
 
 __all__ = [
-    "custom_format", "detect_formats", "events_as_logs", "file_heads", "format_table", "line_format", "lines_of",
+    "custom_format", "detect_formats", "events_as_logs", "file_formats", "line_format", "lines_of",
     "list_files", "load_entries", "load_report", "parse_lines", "read_folder", "read_glob", "read_lines", "read_logs",
     "render_lines", "save_entries", "with_line_numbers",
 ]

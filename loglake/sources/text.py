@@ -9,14 +9,29 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import partial
+from functools import partial, reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from loglake.functions.tasks import HEAD_SCHEMA, first_lines
+from loglake.functions.tasks import FORMAT_SCHEMA, first_formats
 from loglake.model import LOG_COLUMNS, severity_of
-from loglake.session import configure
+from loglake.session import configure, scratch_dir
+from loglake.sources.files import (
+    ListedFiles,
+    exact_path,
+    folder_files,
+    glob_exists,
+    has_partitions,
+    hidden_files,
+    is_file,
+    is_hidden,
+    literal_path,
+    plain_uri,
+    read_hidden,
+    tree_files,
+    visible_files,
+)
 from loglake.sources.formats import (
     DETECTION_LINES,
     FALLBACK_FORMAT,
@@ -39,11 +54,29 @@ BLOCK = ["source_file", "block"]
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], **options: str) -> DataFrame:
-    """Lines of text files as ``(source_file, block, pos, value)``, split by Spark as usual."""
+    """Lines of text files as ``(source_file, block, pos, value)``, split by Spark as usual.
+
+    A folder stands for the files directly in it (``recursiveFileLookup`` for all below). Files of any name are
+    read: those Spark's reader passes over come from a source of their own.
+    """
     configure(spark)
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    scan = spark.read.options(**options).text(paths)
-    return scan.select(
+    return _scan(spark, _as_list(paths), options)
+
+
+def _as_list(paths: str | Sequence[str]) -> list[str]:
+    return [paths] if isinstance(paths, str) else paths if isinstance(paths, ListedFiles) else list(paths)
+
+
+def _scan(spark: SparkSession, paths: list[str], options: dict[str, str]) -> DataFrame:
+    hidden = hidden_files(spark, paths, _recursive(options))
+    scans = [_scan_visible(spark, seen, options)] if (seen := _readable(spark, paths, options)) else []
+    if hidden:
+        scans.append(read_hidden(spark, hidden))
+    return reduce(DataFrame.unionAll, scans)
+
+
+def _scan_visible(spark: SparkSession, paths: list[str], options: dict[str, str]) -> DataFrame:
+    return spark.read.options(**options).text(paths).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
@@ -51,6 +84,25 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], **options: str)
     )
 
 
+def _recursive(options: dict[str, str]) -> bool:
+    return options.get("recursiveFileLookup") == "true"
+
+
+def _readable(spark: SparkSession, paths: list[str], options: dict[str, str]) -> list[str]:
+    """The paths as Spark's reader takes them without loss: hidden files apart, folders with ``key=value`` subfolders as their files."""
+    if isinstance(paths, ListedFiles):
+        return [exact_path(file) for file in paths if not is_hidden(unquote(file).rsplit("/", 1)[-1])]
+    if _recursive(options):
+        return paths
+    kept = []
+    for path in paths:
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        if is_hidden(name.replace("\\", "")) and is_file(spark, path):
+            continue
+        kept += [literal_path(f) for f in visible_files(spark, path)] if has_partitions(spark, path) else [path]
+    return kept
+
+
 def lines_of(numbered: DataFrame) -> DataFrame:
     """Lines from a table ``(source_file, line_number, value)``, addressed like scanned ones."""
     return numbered.select(
@@ -62,38 +114,13 @@ def lines_of(numbered: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str], **options: str) -> list[str]:
-    """Files behind paths and globs, in path order (the listing the driver plans scans from).
-
-    Named as in ``source_file``: URIs with special characters encoded.
-    """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    uris = spark.read.options(**options).text(paths).inputFiles()
-    return sorted(re.sub(r"^([\w+.-]+):///", r"\1:/", uri) for uri in uris)
-
-
-def literal_path(name: str) -> str:
-    """A name as a reader argument that matches just this name."""
-    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in name)
-
-
-def exact_path(source_file: str) -> str:
-    """A listed file as a reader argument that matches just this file."""
-    return literal_path(unquote(source_file))
-
-
-def folder_files(spark: SparkSession, folder: str, extension: str = "log") -> list[str]:
-    """Names of the files ``*.extension`` directly in a folder, sorted; subfolders do not matter.
-
-    Spark's readers pass over names that start with ``_`` or ``.``. Such a file is an error
-    here, so that no entry is lost unseen.
-    """
-    base = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    found = base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base)
-    files = sorted(f.getPath().toString() for f in found if f.isFile() and f.getPath().getName().endswith(f".{extension}"))
-    hidden = [file for file in files if file.rsplit("/", 1)[-1][0] in "_."]
-    if hidden:
-        raise ValueError(f"Spark cannot read files whose names start with '_' or '.': {hidden[:5]}")
-    return files
+    """Files behind paths and globs, in path order, named as in ``source_file``: URIs with special characters encoded."""
+    paths = _as_list(paths)
+    if isinstance(paths, ListedFiles):
+        return sorted(paths)
+    seen = _readable(spark, paths, options)
+    uris = spark.read.options(**options).text(seen).inputFiles() if seen else []
+    return sorted({plain_uri(uri) for uri in uris} | {uri for uri, _ in hidden_files(spark, paths, _recursive(options))})
 
 
 # --- line numbers -------------------------------------------------------------
@@ -165,26 +192,33 @@ def single_line_entries(lines: DataFrame, fmt: LineFormat, few_blocks: bool = Fa
 def multi_line_entries(lines: DataFrame, fmt: LineFormat, few_blocks: bool = False) -> DataFrame:
     """Entries whose following non-header lines form the stack trace.
 
-    Lines a block starts with belong to the last header of an earlier block. The block
-    table names that block, so they are sent there in the one shuffle all lines take, and
-    a running maximum per block finds each line's header. Lines before a file's first
-    header have no owner and are dropped before the shuffle.
+    Lines a block starts with belong to the last header of an earlier block, which the block table names. They are
+    joined block by block first, so what is sent to that block is one piece per block that begins without a header, not its
+    lines: an entry may go on over any number of blocks, and no task sorts more than a block. There a running
+    maximum finds each line's header. Lines before a file's first header have no owner and are dropped unshuffled.
     """
     header = fmt.matches(F.col("value"))
     tagged = lines.withColumn("_head", header)
     blocks = block_table(tagged, F.col("_head")).drop("_lines", "_headed")
     leading = F.col("_first_header").isNull() | (F.col("pos") < F.col("_first_header"))
-    routed = (
-        _join_blocks(tagged, blocks, few_blocks)
+    begun = F.col("_first_header").isNotNull() & (F.col("pos") >= F.col("_first_header"))
+    inner = _join_blocks(tagged, blocks, few_blocks).where(begun).select(
+        "source_file", F.col("block").alias("_home"), _line_number(), "_head", "value"
+    )
+    owned_lines = _join_blocks(lines, blocks, few_blocks).where(leading & F.col("_owner").isNotNull())
+    ordered = F.sort_array(F.collect_list(F.struct(_line_number(), "value")))
+    pieces = (
+        owned_lines.groupBy("source_file", "block", "_owner")
+        .agg(ordered.alias("_lines"))
         .select(
             "source_file",
-            F.when(leading, F.col("_owner")).otherwise(F.col("block")).alias("_home"),
-            _line_number(),
-            "_head",
-            "value",
+            F.col("_owner").alias("_home"),
+            F.col("_lines")[0]["line_number"].alias("line_number"),
+            F.lit(False).alias("_head"),
+            F.array_join(F.col("_lines")["value"], "\n").alias("value"),
         )
-        .where("_home IS NOT NULL")
     )
+    routed = inner.unionByName(pieces)
     in_order = (
         Window.partitionBy("source_file", "_home")
         .orderBy("line_number")
@@ -241,49 +275,40 @@ def detect_formats(numbered: DataFrame) -> DataFrame:
     )
 
 
-# A file is one split when only its first lines are wanted, and a line no more than so many characters.
+# A file is one split when only its first lines are wanted.
 _HEAD_SPLIT_BYTES = 1 << 40
-_HEAD_CHARACTERS = 1 << 16
-
 
-def file_heads(spark: SparkSession, files: Sequence[str], limit: int = DETECTION_LINES) -> DataFrame:
-    """First lines of many files, by Spark's own text scan, so on any file system it knows.
 
-    Every file is one split, and a task stops after the lines it wants: this costs a few
-    kilobytes per file, not a scan. The frame belongs to a session of its own, with these
-    split sizes; collect it, or write it, before joining it with others.
-    """
-    session = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if key.startswith("fs."):
-            session.conf.set(key, value)
-    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-        session.conf.set(key, str(_HEAD_SPLIT_BYTES))
-    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(limit))
-    scan = session.read.option("recursiveFileLookup", "true").text([exact_path(file) for file in files])
-    heads = scan.select(
-        F.col("_metadata.file_path").alias("source_file"), F.substring("value", 1, _HEAD_CHARACTERS).alias("value")
-    )
-    # Tasks take several files each, one after the other.
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    return heads.mapInArrow(partial(first_lines, limit=limit), HEAD_SCHEMA).coalesce(tasks)
-
-
-def formats_of_files(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
-    """Format of each file of a listing, like schema inference: a small job before the scan.
+def file_formats(
+    spark: SparkSession, paths: str | Sequence[str], limit: int = DETECTION_LINES, **options: str
+) -> DataFrame:
+    """``(source_file, format)`` of every file that has lines, written to the shared folder.
 
-    Bounded by the listing, which the driver holds anyway. A file without lines has no
-    head and takes the fallback.
+    Spark's own text scan reads the first lines of each file, so on any file system it knows: every file is one split, a
+    task matches whole lines, and stops after those it wants. What leaves a task is a word per file. The
+    scan belongs to a session of its own, with these split sizes.
     """
-    if not files:
-        return {}
-    found = {r["source_file"]: r["format"] for r in detect_formats(file_heads(spark, files)).collect()}
-    return {path: found.get(path, FALLBACK_FORMAT) for path in files}
-
-
-def format_table(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    """``(source_file, format)`` of a listing."""
-    return spark.createDataFrame(list(formats_of_files(spark, files).items()), "source_file string, format string")
+    paths = _as_list(paths)
+    path = scratch_dir(spark, "formats")
+
+    def write(scan: DataFrame) -> None:
+        heads = scan.select("source_file", detected_format(F.col("value")).alias("format"))
+        found = heads.mapInArrow(partial(first_formats, limit=limit, fallback=FALLBACK_FORMAT), FORMAT_SCHEMA)
+        # Tasks take several files each, one after the other.
+        found.coalesce(4 * spark.sparkContext.defaultParallelism).write.mode("append").parquet(path)
+
+    if seen := _readable(spark, paths, options):
+        session = spark.newSession()
+        for key, value in spark.conf.getAll.items():
+            if key.startswith("fs."):
+                session.conf.set(key, value)
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            session.conf.set(key, str(_HEAD_SPLIT_BYTES))
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(limit))
+        write(_scan_visible(session, seen, options))
+    if hidden := hidden_files(spark, paths, _recursive(options)):
+        write(read_hidden(spark, hidden, limit))
+    return spark.read.schema(FORMAT_SCHEMA).parquet(path)
 
 
 # --- entry points -------------------------------------------------------------
@@ -306,22 +331,21 @@ def read_logs(
     if format is not None and format.strip():
         lines = read_lines(spark, paths, **options)
         return parse_lines(lines, format_name(format), pattern, stacks, blocks_are_few(lines))
-    files = list_files(spark, paths, **options)
-    if not files:
+    formats = file_formats(spark, paths, **options)
+    # At most as many rows as there are formats.
+    kinds = sorted(r["format"] for r in formats.select("format").distinct().collect())
+    if not kinds and not list_files(spark, paths, **options):
         raise ValueError(f"no log files found in {paths!r}")
-    formats = formats_of_files(spark, files)
-    if len(set(formats.values())) == 1:
+    if len(kinds) < 2:
         lines = read_lines(spark, paths, **options)
-        return parse_lines(lines, formats[files[0]], stacks=stacks, few_blocks=blocks_are_few(lines))
+        return parse_lines(lines, kinds[0] if kinds else FALLBACK_FORMAT, stacks=stacks, few_blocks=blocks_are_few(lines))
     parts = []
-    for name in sorted(set(formats.values())):
-        members = [exact_path(path) for path in files if formats[path] == name]
+    for name in kinds:
+        # Only where formats are mixed: a reader takes names, so they go through the driver, as in any listing.
+        members = ListedFiles(r["source_file"] for r in formats.where(F.col("format") == name).collect())
         lines = read_lines(spark, members)
         parts.append(parse_lines(lines, name, stacks=stacks, few_blocks=blocks_are_few(lines)))
-    entries = parts[0]
-    for part in parts[1:]:
-        entries = entries.unionByName(part)
-    return entries
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_folder(spark: SparkSession, folder: str, extension: str = "log", stacks: bool = True) -> DataFrame:
@@ -329,7 +353,7 @@ def read_folder(spark: SparkSession, folder: str, extension: str = "log", stacks
     files = folder_files(spark, folder, extension)
     if not files:
         raise ValueError(f"no *.{extension} files in {folder!r}")
-    return read_logs(spark, [literal_path(file) for file in files], stacks=stacks)
+    return read_logs(spark, files, stacks=stacks)
 
 
 def read_glob(
@@ -337,15 +361,15 @@ def read_glob(
 ) -> DataFrame:
     """Entries of the files a glob matches; ``**`` descends into folders."""
     if "**" not in pattern:
+        if not glob_exists(spark, pattern):
+            raise ValueError(f"no log files found in {pattern!r}")
         return read_logs(spark, pattern, format, stacks=stacks)
     base = pattern.partition("**")[0].rpartition("/")[0] or "/"
-    name = pattern.rsplit("/", 1)[-1].replace("**", "*") or "*"
     wanted = _glob_regex(pattern)
-    found = list_files(spark, base, recursiveFileLookup="true", pathGlobFilter=name)
-    files = [file for file in found if wanted.search(unquote(file))]
+    files = ListedFiles(file for file in tree_files(spark, base) if wanted.search(re.sub(r"^[\w+.-]+:/+", "/", unquote(file))))
     if not files:
         raise ValueError(f"no log files found in {pattern!r}")
-    return read_logs(spark, [exact_path(file) for file in files], format, stacks=stacks)
+    return read_logs(spark, files, format, stacks=stacks)
 
 
 def _glob_regex(pattern: str) -> re.Pattern[str]:

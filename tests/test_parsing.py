@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglake.sources import (
-    file_heads,
+    file_formats,
     detect_formats,
     list_files,
     load_report,
@@ -15,7 +15,7 @@ from loglake.sources import (
     read_logs,
     with_line_numbers,
 )
-from loglake.sources.text import blocks_are_few, formats_of_files
+from loglake.sources.text import blocks_are_few
 
 LOGBACK = "2031-11-17 21:43:08.907 [press-4] ERROR org.orchard.Harvest - crate 17 is short"
 LOG4J = "2031-11-17 21:43:08,907 ERROR [press-4] org.orchard.Harvest - crate 17 is short"
@@ -196,6 +196,18 @@ def test_any_split_gives_the_same_entries(spark, tmp_path, split_bytes, size):
         assert found == sorted((n, i, raw, s or "") for n in ("a.log", "b.log") for i, raw, s in _expected(logs[n]))
 
 
+def test_one_header_and_many_blocks(spark, tmp_path, split_bytes):
+    follow = [f"\tat line {i} " + "x" * (i % 37) for i in range(3000)]
+    (tmp_path / "a.log").write_text("\n".join(["noise", LOGBACK, "", *follow, LOGBACK, "last"]) + "\n")
+    split_bytes(700)
+    lines = read_lines(spark, str(tmp_path))
+    assert lines.select("block").distinct().count() > 100
+    for few in (True, False):
+        rows = sorted(parse_lines(lines, "logback", few_blocks=few).collect(), key=lambda r: r.line_number)
+        assert [r.line_number for r in rows] == [2, 3004]
+        assert rows[0].stack_trace == "\n".join(follow) and rows[1].stack_trace == "last"
+
+
 def test_folder_glob_and_mixed_formats(spark, tmp_path):
     (tmp_path / "a.log").write_text(f"{LOGBACK}\n\tat x\n")
     (tmp_path / "b [1].log").write_text(f"{JSON}\n{JSON}\n")
@@ -210,8 +222,9 @@ def test_folder_glob_and_mixed_formats(spark, tmp_path):
     assert count(read_glob(spark, f"{folder}/*.txt")) == {"nginx": 1}
     assert count(read_glob(spark, f"{folder}/**/*.log")) == {"org.orchard.Harvest": 3, "apache": 1}
     assert count(read_logs(spark, f"{folder}/a.log", "LOGBACK")) == {"org.orchard.Harvest": 1}
-    files = list_files(spark, folder, recursiveFileLookup="true")
-    formats = {path.rsplit("/", 1)[-1]: fmt for path, fmt in formats_of_files(spark, files).items()}
+    found = file_formats(spark, folder, recursiveFileLookup="true").collect()
+    formats = {r.source_file.rsplit("/", 1)[-1]: r.format for r in found}
+    assert len(found) == 4
     assert formats["a.log"] == "logback" and formats["c.txt"] == "nginx" and formats["d%20%2541.log"] == "apache"
     with pytest.raises(Exception):
         read_folder(spark, folder, "nothing").count()
@@ -223,11 +236,52 @@ def test_folder_loses_no_file(spark, tmp_path):
     (tmp_path / "day=1").mkdir()
     (tmp_path / "day=1" / "c.log").write_text(f"{LOGBACK}\n")
     assert read_folder(spark, str(tmp_path)).count() == 50_001
-    heads = file_heads(spark, list_files(spark, str(tmp_path), recursiveFileLookup="true")).collect()
-    assert sorted(r.line_number for r in heads) == sorted([1, 1, *range(1, 21)])
-    (tmp_path / "_d.log").write_text(f"{LOGBACK}\n")
-    with pytest.raises(ValueError, match="_d.log"):
-        read_folder(spark, str(tmp_path))
+    assert read_logs(spark, str(tmp_path), "logback").count() == 50_001
+
+
+def test_hidden_names_are_read(spark, tmp_path, split_bytes):
+    names = ["a.log", "_h.log", ".d.log", "_p=1.log", "b [1] %41.log"]
+    for i, name in enumerate(names):
+        (tmp_path / name).write_text(f"{LOGBACK}\r\n\tat line {i}\n" * 5 + "é end without a mark")
+    deep = tmp_path / "prod" / "_old" / "prod"
+    deep.mkdir(parents=True)
+    (deep / "_z.log").write_text(f"{LOGBACK}\n")
+    (tmp_path / "day=1").mkdir()
+    (tmp_path / "day=1" / ".c.log").write_text(f"{LOGBACK}\n")
+    folder = str(tmp_path)
+    split_bytes(64)
+    for entries in (
+        read_folder(spark, folder), read_logs(spark, folder), read_glob(spark, f"{folder}/*.log"),
+        read_logs(spark, [f"{folder}/{name}" if "[" not in name else f"{folder}/b*.log" for name in names], "logback"),
+    ):
+        rows = entries.collect()
+        assert len(rows) == 25
+        by_file = {}
+        for r in rows:
+            by_file.setdefault(r.source_file, []).append((r.line_number, r.stack_trace))
+        assert len(by_file) == 5
+        for file, found in by_file.items():
+            i = [k for k, n in enumerate(names) if file.endswith(n.replace("%", "%25").replace(" ", "%20").replace("[", "%5B").replace("]", "%5D"))]
+            stack = f"\tat line {i[0]}"
+            assert sorted(found) == [(1, stack), (3, stack), (5, stack), (7, stack), (9, stack + "\né end without a mark")]
+    assert read_glob(spark, f"{folder}/**/*.log").count() == 27
+    assert read_glob(spark, f"{folder}/**/prod/*.log").count() == 1
+    assert read_glob(spark, f"{folder}/**/prod/**/*.log").count() == 1
+    assert read_lines(spark, f"{folder}/_h.log").count() == 11
+    with pytest.raises(ValueError):
+        read_glob(spark, f"{folder}/*.nothing")
+
+
+def test_long_first_line_decides_the_format(spark, tmp_path):
+    message = "m" * 70_000
+    (tmp_path / "a.log").write_text('{"message": "%s", "level": "ERROR"}\n' % message)
+    (tmp_path / "b.log").write_text("\n" * 19 + f"{NGINX}\n")
+    (tmp_path / "c.log").write_text("\n" * 20 + f"{NGINX}\n")
+    (tmp_path / "_d.log").write_text("x" * 3_000_000 + f"\n{NGINX}\n")
+    formats = {r.source_file.rsplit("/", 1)[-1]: r.format for r in file_formats(spark, str(tmp_path)).collect()}
+    assert formats == {"a.log": "json", "b.log": "nginx", "c.log": "logback", "_d.log": "nginx"}
+    entries = read_folder(spark, str(tmp_path)).collect()
+    assert sorted(len(r.message) for r in entries if r.logger is None) == [70_000] and len(entries) == 3
 
 
 def test_load_report(spark, tmp_path):
@@ -242,7 +296,8 @@ def test_text_takes_one_shuffle(spark, tmp_path):
     (tmp_path / "a.log").write_text(f"{LOGBACK}\n")
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     lines = read_lines(spark, str(tmp_path))
-    # Two exchanges build the block table; one moves lines to their entry, none for headers only.
-    assert plan(parse_lines(lines, "logback", few_blocks=True)).count("Exchange hashpartitioning") == 3
+    # Two exchanges build the block table (once for each branch, reused when run); one brings the lines a block starts
+    # with together, one moves lines to their entry. None moves text for headers only.
+    assert plan(parse_lines(lines, "logback", few_blocks=True)).count("Exchange hashpartitioning") == 6
     assert plan(parse_lines(lines, "logback", stacks=False, few_blocks=True)).count("Exchange hashpartitioning") == 2
     assert plan(parse_lines(lines, "nginx", few_blocks=True)).count("Exchange hashpartitioning") == 2
