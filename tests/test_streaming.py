@@ -4,7 +4,16 @@ import pytest
 
 from loglake.operators.flows import flow_sessions
 from loglake.operators.stats import timeline
-from loglake.streaming import Tail, end_marks, flow_sessions_stream, mark_end, tail_filter, tail_stream, timeline_stream
+from loglake.streaming import (
+    Tail,
+    end_marks,
+    flow_sessions_stream,
+    follow_file,
+    mark_end,
+    tail_filter,
+    tail_stream,
+    timeline_stream,
+)
 
 LINES = [
     "2023-01-01 ERROR Boom", "2023-01-01 INFO boom ok", "2023-01-01 DEBUG boom", "boom without level", "2023-01-01 WARN other",
@@ -85,3 +94,85 @@ def test_flow_sessions_stream_equals_batch(spark, stored, tmp_path):
     batch = flow_sessions(df, "5m").select("thread", "start_ts", "end_ts", "n_entries", "has_error")
     got = _rows(spark, lambda marks: flow_sessions_stream(stream, "5m", marks=marks), tmp_path)
     assert got == {tuple(r) for r in batch.collect()}
+
+
+@pytest.fixture
+def followed(spark, tmp_path):
+    """Run a follower over what is there now, and give all lines it has shown so far."""
+    log, out, state = tmp_path / "app.log", tmp_path / "out", tmp_path / "state"
+
+    def run(last=4096):
+        query = (
+            follow_file(spark, str(log), last).writeStream.format("parquet").option("path", str(out))
+            .option("checkpointLocation", str(state)).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return [r.value for r in spark.read.schema("value string").parquet(str(out)).collect()]
+
+    return log, run
+
+
+def append(file, text):
+    with open(file, "a", newline="") as f:
+        f.write(text)
+
+
+def test_appended_lines_appear_once(followed):
+    log, run = followed
+    append(log, "one\ntwo\r\nhal")
+    assert sorted(run()) == ["one", "two"]
+    assert sorted(run()) == ["one", "two"]
+    append(log, "f\nfour\n")
+    assert sorted(run()) == ["four", "half", "one", "two"]
+    append(log, "".join(f"line {i}\n" for i in range(5000)))
+    append(log, "é" * 10)
+    shown = run()
+    assert len(shown) == 5004 and len(set(shown)) == 5004
+    append(log, "\n")
+    assert [x for x in run() if x.startswith("é")] == ["é" * 10]
+
+
+def test_only_the_last_bytes_of_what_was_there(followed):
+    log, run = followed
+    append(log, "".join(f"{i:09d}\n" for i in range(1000)))
+    assert sorted(run(last=95)) == [f"{i:09d}" for i in range(991, 1000)]
+    append(log, "next\n")
+    assert sorted(run(last=95))[-1] == "next" and len(run(last=95)) == 10
+
+
+def test_rotation_loses_and_repeats_nothing(followed):
+    log, run = followed
+    append(log, "a1\na2\n")
+    assert sorted(run()) == ["a1", "a2"]
+    append(log, "a3\n")
+    log.rename(log.with_name("app.log.1"))
+    append(log, "b1\n")
+    log.with_name("app.log.1").rename(log.with_name("app.log.2"))
+    log.rename(log.with_name("app.log.1"))
+    append(log, "c1\nc2\nc")
+    assert sorted(run()) == ["a1", "a2", "a3", "b1", "c1", "c2"]
+    append(log.with_name("app.log.1"), "b2\n")  # written late, through a handle still open
+    append(log, "3\n")
+    assert sorted(run()) == ["a1", "a2", "a3", "b1", "b2", "c1", "c2", "c3"]
+    log.write_text("d1\n")  # cut and begun anew
+    assert sorted(run())[-1] == "d1" and len(run()) == 9
+
+
+def test_a_file_that_comes_later(followed):
+    log, run = followed
+    append(log.with_name("app.log.0"), "old\n")
+    assert run() == []
+    append(log, "first\n")
+    assert run() == ["first"]
+
+
+def test_long_lines_across_splits(spark, tmp_path, monkeypatch):
+    from loglake.streaming import follow
+
+    file = tmp_path / "x.log"
+    lines = [b"x" * (i * 37 % 100) for i in range(200)]
+    file.write_bytes(b"\n".join(lines) + b"\n")
+    size = file.stat().st_size
+    for split in (1, 7, 64, 1000, size):
+        found = [x for a in range(0, size, split) for some in follow._lines(str(file), a, min(a + split, size)) for x in some]
+        assert found == lines
