@@ -38,8 +38,10 @@ from loglake.llm.tokens import chunks, tokenizer_path
 #: Pairs whose counts every task holds, 16 bytes each.
 FREQUENT_PAIRS = 1 << 20
 #: Stretches of running text remembered per task, and pairs of ids summed up before they leave it.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 HELD_PAIRS = 1 << 21
+#: Texts whose pairs are looked up together.
+MEASURED_ROWS = 1000
 #: Shares a text that very many documents have is divided into when its measures go back to them.
 SALTS = 64
 #: Links of a group of tokens that are listed one by one; larger groups are counted by distinct ids.
@@ -331,8 +333,8 @@ def aligned(classes: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 def _spread(column: pa.Array, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The elements of a list column, and for each the value of its row."""
-    sizes = np.diff(column.offsets.to_numpy())
-    return column.flatten().to_numpy(), np.repeat(per_row, sizes)
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], np.repeat(per_row, np.diff(offsets))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -402,11 +404,13 @@ def measures(links: DataFrame, counts: DataFrame, frequent: int = FREQUENT_PAIRS
     kept = ["key", "salts", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
     def measure(batches):
+        # What this worker remembers from aligning is not needed any more.
+        aligner.cache_clear()
         often = shared.value
-        for batch in batches:
+        for batch in (whole.slice(i, MEASURED_ROWS) for whole in batches for i in range(0, whole.num_rows, MEASURED_ROWS)):
             n = batch.num_rows
             pairs, row = _spread(batch.column("pairs"), np.arange(n))
-            times = batch.column("times").flatten().to_numpy()
+            times, _ = _spread(batch.column("times"), np.arange(n))
             found, best = often.look_up(pairs)
             n_best = np.bincount(row[best], times[best], n).astype(np.int64)
             count_sum = np.zeros(n, np.int64)
