@@ -214,7 +214,14 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     )
     unsettled = stored(named.join(mixed, "key"), "unsettled")
     found = _small_buckets(unsettled, checked, bodies, k).unionByName(_large_buckets(unsettled, bodies, k))
-    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    # An id with several texts is one node: it links the classes of its texts.
+    print_ = F.struct("fp1", "fp2")
+    several = linked.groupBy("doc_id").agg(F.min(print_).alias("x"), F.max(print_).alias("y")).filter("x != y").select("doc_id")
+    of_ids = (
+        linked.join(several, "doc_id", "left_semi").join(classes, ["fp1", "fp2", "n"])
+        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b").distinct()
+    )
+    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found).unionByName(of_ids))
     roots = (
         classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select("fp1", "fp2", F.coalesce("root", "rep").alias("root"))
@@ -231,6 +238,34 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     )
 
 
+def keep_one_of_each(documents: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``documents`` with one text of each group of near-duplicates, all columns as they are.
+
+    Rows are dropped, not ids: where an id has several texts, each is a node of its own, so a text without
+    near-duplicates stays whatever other rows its id has. Of rows that repeat an id and its text, one stays. Rows with a null
+    id all stay.
+    """
+    columns = documents.columns
+    text = F.coalesce(documents["text"], F.lit(""))
+    rows = documents.select(
+        *[documents[c].alias(f"c{i}") for i, c in enumerate(columns)], documents["doc_id"].alias("id"), F.xxhash64(text).alias("seen")
+    ).filter(F.col("id").isNotNull())
+    # Narrow rows; usually no id is left here.
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("seen").alias("a"), F.max("seen").alias("b")).filter("n > 1")
+    repeated = stored(repeated.select(F.col("id").alias("of"), (F.col("a") != F.col("b")).alias("texts")), "repeated-ids")
+    # Above the ids in use, so the smallest id of a group is still one of those that have one text.
+    of_text = F.shiftrightunsigned(F.xxhash64("id", "seen", F.lit("a text of its own")), 2).bitwiseOR(F.lit(1 << 61))
+    node = F.when(F.col("texts"), of_text).otherwise(F.col("id"))
+    several = rows.join(repeated, F.col("id") == F.col("of")).withColumn("node", node).drop("of", "texts").dropDuplicates(["id", "seen"])
+    marked = rows.join(repeated, F.col("id") == F.col("of"), "left_anti").withColumn("node", F.col("id")).unionByName(several)
+    body = f"c{columns.index('text')}"
+    groups = near_duplicates(marked.select(F.col("node").alias("doc_id"), F.col(body).alias("text")), k)
+    others = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("other")).distinct()
+    once = marked.join(others, F.col("node") == F.col("other"), "left_anti")
+    shown = once.select(*[f"c{i}" for i in range(len(columns))]).toDF(*columns)
+    return shown.unionAll(documents.filter(documents["doc_id"].isNull()))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents`` on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)

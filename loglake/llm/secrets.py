@@ -3,7 +3,9 @@
 One first-order model is trained on random strings (values of fixed matches in a bounded sample of documents,
 and generated keys), the other on ordinary tokens of the same documents and identifiers joined from them. A
 token that holds letters and digits is reported if the log-likelihood ratio per character, random over ordinary,
-exceeds ``MIN_RATIO``. Fixed matches always stay; tokens that touch one are not reported again.
+exceeds a cut. The cut is set on strings neither model was trained on: generated keys, and identifiers joined from words
+of documents kept apart. A fixed list of words stands in for documents where there are few.
+Fixed matches always stay; tokens that touch one are not reported again.
 
 Null texts are empty and have no spans; repeated rows are each searched; an empty table gives an empty result;
 extra columns are ignored. Offsets are code points, ends exclusive.
@@ -28,7 +30,17 @@ KINDS = ("assign", "access", "hex", "random")
 SAMPLE_DOCUMENTS = 4000
 GENERATED = 2000
 MIN_LENGTH = 20
-MIN_RATIO = 2.0
+#: One sampled document in so many is kept from training; it gives up to so many identifiers to set the cut on.
+HELD_OUT = 8
+HELD_STRINGS = 16
+#: Random strings the cut may miss, and identifiers it may report.
+MAX_MISSED, MAX_FALSE = 0.01, 0.002
+#: Words of names in programs, as a prior for the ordinary model.
+_PRIOR = (
+    "get set add new old user name value index list table update create delete request response handler parser config file path "
+    "data time date type count number string object error message service client server session cache queue event state "
+    "status result input output version default option process thread buffer image button layout account order product"
+).split()
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _SIZE = len(_CHARS) + 1
 
@@ -71,10 +83,16 @@ def _generated(seed: int = 7, n: int = GENERATED) -> list[str]:
 class Ratio:
     """Two first-order models over the same characters, compared per character."""
 
-    def __init__(self, random_pairs: np.ndarray, ordinary_pairs: np.ndarray, min_ratio: float = MIN_RATIO):
+    def __init__(self, random_pairs: np.ndarray, ordinary_pairs: np.ndarray, min_ratio: float = 0.0):
         self.table = self._log(random_pairs) - self._log(ordinary_pairs)
         self.min_ratio = min_ratio
 
+    def calibrate(self, keys: list[str], identifiers: list[str]) -> None:
+        """Put the cut between both kinds; where they overlap, rather miss no key."""
+        low = float(np.quantile([self.score(k) for k in keys], MAX_MISSED))
+        high = float(np.quantile([self.score(i) for i in identifiers], 1 - MAX_FALSE))
+        self.min_ratio = (low + high) / 2 if high < low else low
+
     @staticmethod
     def _log(pairs: np.ndarray) -> np.ndarray:
         smooth = pairs + 0.5
@@ -99,6 +117,29 @@ class Ratio:
         return found
 
 
+def _identifiers(words: list[str], n: int, rng: random.Random) -> list[str]:
+    """Names joined from words, as programs have them: two to five words, some with a number, long enough to be looked at."""
+    out = []
+    while words and len(out) < n:
+        some = [rng.choice(words) for _ in range(rng.randint(2, 5))]
+        name = rng.choice(["_", "-"]).join(some).lower() if rng.random() < 0.5 else some[0].lower() + "".join(w.title() for w in some[1:])
+        while len(name) < MIN_LENGTH:
+            name += rng.choice(["_", ""]) + rng.choice(words)
+        at = rng.choice([len(name), rng.randrange(len(name))])
+        out.append(name[:at] + str(rng.choice([1, 2, 3, 64, 2024, rng.randint(0, 999)])) + name[at:])
+    return out
+
+
+def _held_words(batches):
+    """Some words of every document, one row each."""
+    for batch in batches:
+        found = []
+        for text in batch.column("text").to_pylist():
+            words = list(dict.fromkeys(w for w in _ORDINARY.findall(text) if w.isalpha()))
+            found += random.Random(len(text)).sample(words, min(HELD_STRINGS, len(words)))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
+
+
 def _pairs(tokens, into: Counter) -> None:
     for token in tokens:
         codes = [0, *_codes(token)]
@@ -135,16 +176,23 @@ def _count_pairs(batches):
 def train(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Ratio:
     """Models from a bounded sample; the driver gets sums per pair of characters only."""
     ids = documents.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = texts(documents).join(F.broadcast(ids), "doc_id", "left_semi")
-    counted = some.mapInArrow(_count_pairs, "secret boolean, a int, b int, n bigint").groupBy("secret", "a", "b").agg(F.sum("n").alias("n"))
+    # One row per id: an id that many rows repeat must not make the sample larger.
+    some = texts(documents).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    counted = some.filter(~held).mapInArrow(_count_pairs, "secret boolean, a int, b int, n bigint").groupBy("secret", "a", "b").agg(F.sum("n").alias("n"))
     tables = {True: np.zeros((_SIZE, _SIZE)), False: np.zeros((_SIZE, _SIZE))}
     for row in counted.collect():
         tables[row["secret"]][row["a"], row["b"]] = row["n"]
-    generated: Counter = Counter()
-    _pairs(_generated(), generated)
-    for (a, b), n in generated.items():
-        tables[True][a, b] += n
-    return Ratio(tables[True], tables[False])
+    rng = random.Random(3)
+    for label, strings in ((True, _generated()), (False, _identifiers(_PRIOR, GENERATED, rng))):
+        more: Counter = Counter()
+        _pairs(strings, more)
+        for (a, b), n in more.items():
+            tables[label][a, b] += n
+    model = Ratio(tables[True], tables[False])
+    words = sorted({r["word"] for r in some.filter(held).select("text").mapInArrow(_held_words, "word string").collect()})
+    model.calibrate(_generated(11), _identifiers(words, GENERATED, rng) + _identifiers(_PRIOR, GENERATED, rng))
+    return model
 
 
 def listed(spans: list[Span]) -> str:

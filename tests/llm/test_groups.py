@@ -101,3 +101,27 @@ def test_contamination_of_odd_rows(spark, monkeypatch):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 5, 5]
     assert decontaminate.find_contamination(df, bench.limit(0)).filter(F.size("items") > 0).count() == 0
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
+
+
+LONG = " ".join(f"w{i}" for i in range(40))
+
+
+def test_an_id_with_two_texts_is_one_node(spark):
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(3, LONG, "x"), (5, LONG + " end", "x"), (5, other, "x"), (8, other, "x"), (9, other + " " + LONG, "x"), (5, other, "x")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp1 string"))
+    assert sorted({(r.doc_id, r.component_id, r.kept) for r in got.collect()}) == [
+        (3, 3, True), (5, 3, False), (8, 3, False), (9, 9, True)
+    ]
+    assert got.count() == len(rows)
+
+
+def test_rows_are_dropped_not_ids(spark):
+    schema = "id string, doc_id long, text string, node int, seen int"
+    rows = [(3, LONG), (5, LONG), (5, "a text of its own with more words than five"), (7, LONG), (7, LONG), (8, None), (8, None), (8, ""), (None, LONG), (None, LONG)]
+    docs = spark.createDataFrame([(str(i), d, t, i, 0) for i, (d, t) in enumerate(rows)], schema)
+    got = neardup.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id or -1, (r.text or "")[:6]) for r in got.collect())
+    assert kept == [(-1, "w0 w1 "), (-1, "w0 w1 "), (3, "w0 w1 "), (5, "a text"), (8, "")]
+    assert neardup.keep_one_of_each(docs.limit(0)).count() == 0

@@ -1,6 +1,8 @@
 """Personal data and secrets against plain brute force."""
 
 import random
+
+import pytest
 import re
 from hashlib import sha256
 
@@ -88,6 +90,18 @@ def test_models_tell_random_strings(spark):
     assert secrets.find_secrets(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 30, 3000])
+def test_the_cut_holds_for_any_corpus(spark, n):
+    rng = random.Random(n)
+    words = ["".join(rng.choice(["ta", "ro", "mi", "sel", "qu", "é"]) for _ in range(rng.randint(2, 4))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(40)), "", 0) for i in range(n)], DOCS)
+    model = secrets.train(docs)
+    keys = secrets._generated(99, 1000)
+    assert sum(bool(model.spans(f" {k} ", [])) for k in keys) >= 0.97 * len(keys)
+    names = secrets._identifiers([w for w in words if w.isascii()] if n > 100 else secrets._PRIOR, 1000, random.Random(1))
+    assert sum(bool(model.spans(f" {k} ", [])) for k in names) <= 0.02 * len(names)
+
+
 def test_digest_form():
     assert secrets.listed([(1, 0, 5), (7, 3, 9)]) == "assign:1:5,random:7:9"
     assert sha256(b"").hexdigest().startswith("e3b0") and F is not None

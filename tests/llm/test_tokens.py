@@ -32,6 +32,26 @@ def test_encoder_equals_library(name):
     assert ours.count(cases) == [len(w) for w in wanted]
 
 
+def merged(piece, vocab, merges):
+    """Byte-pair merging by the book: the earliest merge there is, everywhere, from the left."""
+    from loglake.llm.bpe import _byte_letters
+
+    parts = [_byte_letters()[b] for b in piece]
+    for _ in piece:
+        ranks = {tuple(m.split(" ")): i for i, m in enumerate(merges)}
+        found = [ranks[p] for p in zip(parts, parts[1:]) if p in ranks]
+        if not found:
+            break
+        left, right = merges[min(found)].split(" ")
+        out, i = [], 0
+        while i < len(parts):
+            both = parts[i : i + 2] == [left, right]
+            out.append(left + right if both else parts[i])
+            i += 2 if both else 1
+        parts = out
+    return [vocab[p] for p in parts]
+
+
 def test_one_merge_a_round_gives_the_same():
     vocab = {c: i for i, c in enumerate(__import__("loglake.llm.bpe", fromlist=["x"])._byte_letters())}
     merges = ["a b", "ab a", "b a", "a a"]
@@ -42,15 +62,21 @@ def test_one_merge_a_round_gives_the_same():
     together = bpe.encode(pieces)
     bpe.ordered = False
     apart = bpe.encode(pieces)
-    assert together[0].tolist() == apart[0].tolist() and together[1].tolist() == apart[1].tolist() == [3, 2, 0, 3, 3]
+    wanted = [merged(piece, vocab, merges) for piece in pieces]
+    for ids, counts in (together, apart):
+        assert ids.tolist() == sum(wanted, []) and counts.tolist() == [len(w) for w in wanted]
 
 
 def test_counts_of_odd_rows(spark):
     rows = [(1, None, "x", 1), (2, "", None, 2), (3, "Hello wörld", "y", None), (3, "Hello wörld", "y", None), (None, "a", "z", 0)]
-    got = tokens.count_tokens(spark.createDataFrame(rows, DOCS), tokens.tokenizer_path("word_bpe_49k.json"), limit=1).collect()
-    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == [
-        (0, 1, 1, False), (1, 0, 0, False), (2, 0, 0, False), (3, 12, 3, True), (3, 12, 3, True)
-    ]
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    got = tokens.count_tokens(spark.createDataFrame(rows, DOCS), path, limit=1).collect()
+    library = Tokenizer.from_file(path)
+    sizes = [len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows]
+    assert max(sizes) > 1
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted(
+        (r[0] or 0, len((r[1] or "").encode()), n, n > 1) for r, n in zip(rows, sizes, strict=True)
+    )
     empty = spark.createDataFrame([], DOCS)
     assert tokens.count_tokens(empty, tokens.tokenizer_path("word_bpe_49k.json")).count() == 0
 
