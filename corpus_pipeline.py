@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from loglake.llm import decontaminate, neardup, pii, tokens, toxicity
 from loglake.llm.shared import stored, table
 
-#: An item of fewer words is too common a phrase to condemn a document for.
-MIN_ITEM_WORDS = 5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold; the model learns from the labelled ones among ``docs``."""
@@ -26,17 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest id. Rows that repeat an id and its text stay once."""
-    groups = neardup.near_duplicates(docs, neardup.SHINGLE_WORDS)
-    others = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    once = docs.filter(F.col("doc_id").isNotNull())
-    once = once.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One text of each group; rows that repeat an id and its text stay once, other texts of an id stay."""
+    return neardup.keep_one_of_each(docs, neardup.SHINGLE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), min_item_words=MIN_ITEM_WORDS)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
