@@ -12,6 +12,8 @@ from loglake.model import ERROR, LOAD_ORDER, WARN
 from loglake.operators.calendar import beside
 from loglake.operators.filters import first_rows
 from loglake.operators.stats import minute_rollup
+from loglake.operators.templates import minutes_of_rollup, template_rollup, unique_errors_of_rollup
+from loglake.session import kept
 
 # The limits and thresholds of the reports and detectors.
 PATTERN_LIMIT = 10
@@ -118,6 +120,11 @@ def recurring_patterns(
         .groupBy("pattern", F.floor(F.col("t") / _MINUTE_US).alias("minute"))
         .agg(F.count("*").alias("n"), F.min("t").alias("first_us"), F.max("t").alias("last_us"))
     )
+    return recurring_of_minutes(minutes, factor, limit)
+
+
+def recurring_of_minutes(minutes: DataFrame, factor: float = RHYTHM_FACTOR, limit: int | None = FINDINGS_PER_DETECTOR) -> DataFrame:
+    """The same from ``(pattern, minute, n, first_us, last_us)``."""
     in_order = Window.partitionBy("pattern").orderBy("minute")
     spaced = minutes.withColumn(
         "gap", F.floor((F.col("first_us") - F.lag("last_us").over(in_order)) / _MINUTE_US)
@@ -190,13 +197,16 @@ def findings(
     recurring_factor: float = RHYTHM_FACTOR,
     gap_factor: float = GAP_FACTOR,
     limit: int | None = FINDINGS_PER_DETECTOR,
+    templates: DataFrame | None = None,
 ) -> DataFrame:
     """What all detectors report, in their order: ``(ord, detector, severity, ts, pattern, n, baseline)``.
 
-    Spikes and gaps share one per-minute roll-up, which a caller may have at hand. Every detector but
-    the spikes gives its first ``limit`` findings; ``None`` gives all.
+    Spikes and gaps share one roll-up per minute, templates one per template and minute (see
+    :mod:`loglake.operators.templates`). A caller may have them at hand; otherwise each is made in one scan and written, as
+    both are small. Every detector but the spikes gives its first ``limit`` findings; ``None`` gives all.
     """
-    rollup = minute_rollup(df) if rollup is None else rollup
+    rollup = kept(minute_rollup(df), "minutes") if rollup is None else rollup
+    templates = kept(template_rollup(df), "templates") if templates is None else templates
     none = F.lit(None)
 
     def part(ord, detector, severity, found, pattern, n, baseline):
@@ -212,8 +222,11 @@ def findings(
 
     parts = [
         part(1, "spike", CRITICAL, error_spikes_of_rollup(rollup, spike_bucket), none, F.col("n"), F.col("baseline")),
-        part(2, "unique_error", CRITICAL, unique_errors(df, limit), F.col("pattern"), F.lit(1), none),
-        part(3, "recurring", ALERT, recurring_patterns(df, recurring_factor, limit), F.col("pattern"), F.col("n"), F.col("mean")),
+        part(2, "unique_error", CRITICAL, unique_errors_of_rollup(templates, limit), F.col("pattern"), F.lit(1), none),
+        part(
+            3, "recurring", ALERT, recurring_of_minutes(minutes_of_rollup(templates), recurring_factor, limit),
+            F.col("pattern"), F.col("n"), F.col("mean"),
+        ),
         part(4, "gap", ALERT, log_gaps_of_rollup(rollup, gap_factor, limit), none, F.col("gap_minutes"), none),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -25,36 +25,21 @@ def correlate(
 ) -> DataFrame:
     """Entries around the first mention of a text, in load order; no row if there is none.
 
-    One pass finds the first mention and counts all; its time is then a literal, so the
-    second pass reads only what lies in the window. A bare number means minutes;
-    ``limit=None`` gives all of them.
+    One pass finds the first mention and counts all. It is a scalar subquery, so it runs when the result is asked for, and
+    the second pass reads only what lies in the window. A bare number means minutes; ``limit=None`` gives all of them.
     """
-    found = (
-        df.where(F.col("ts").isNotNull() & mentions(text))
-        .agg(
-            F.count("*").alias("matches"),
-            F.min(F.struct(*LOAD_ORDER, micros(F.col("ts")).alias("t"))).alias("first"),
-        )
-        .collect()[0]
-    )
-    columns = [*LOAD_ORDER, "ts", "level", truncated(F.col("message"), CORRELATE_WIDTH).alias("message")]
-    first = found["first"]
-    if first is None:
-        return df.where("false").select(
-            *columns, F.lit(False).alias("is_event"), F.lit(0).cast("bigint").alias("matches")
+    mention = df.where(F.col("ts").isNotNull() & mentions(text)).agg(
+        F.struct(
+            F.count("*").alias("matches"), F.min(F.struct(*LOAD_ORDER, micros(F.col("ts")).alias("t"))).alias("first")
         )
+    ).scalar()
+    first = mention["first"]
     reach = duration_millis(window, default_unit="m") * 1000
-    near = F.col("ts").between(
-        from_micros(F.lit(first["t"] - reach)), from_micros(F.lit(first["t"] + reach))
-    )
-    is_event = (F.col("source_file") == first["source_file"]) & (
-        F.col("line_number") == first["line_number"]
-    )
-    return (
-        first_rows(df.where(near).orderBy(*LOAD_ORDER), limit)
-        .select(
-            *columns, is_event.alias("is_event"), F.lit(found["matches"]).cast("bigint").alias("matches")
-        )
+    near = F.col("ts").between(from_micros(first["t"] - reach), from_micros(first["t"] + reach))
+    is_event = (F.col("source_file") == first["source_file"]) & (F.col("line_number") == first["line_number"])
+    return first_rows(df.where(near).orderBy(*LOAD_ORDER), limit).select(
+        *LOAD_ORDER, "ts", "level", truncated(F.col("message"), CORRELATE_WIDTH).alias("message"),
+        is_event.alias("is_event"), mention["matches"].alias("matches"),
     )
 
 

@@ -69,35 +69,34 @@ def flow_sessions(df: DataFrame, window: str | int = FLOW_WINDOW) -> DataFrame:
     Entries without a time are left out; entries without a thread form a group of their own.
     """
     millis = duration_millis(window)
-    fragments = _fragments(df, millis).withColumn(
-        "solo", F.when(~F.col("edge"), F.struct("task", "seq"))
-    )
-    # Inner fragments are complete: each is a group of its own. The edges of one thread
-    # meet in a group of at most two rows per task.
-    in_order = Window.partitionBy("thread", "solo").orderBy("task", "seq")
-    gap = F.floor(
-        (F.col("start") - F.lag("finish").over(in_order)) / 1000
-    )
-    numbered = fragments.withColumn("_new", (gap > millis).cast("int")).withColumn(
-        "_run",
-        F.sum(F.coalesce("_new", F.lit(0))).over(
-            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
+    fragments = _fragments(df, millis)
+    # Inner fragments are complete and leave at once: the one shuffle is that of the entries.
+    inner = fragments.where(~F.col("edge")).select(
+        "thread", "start", "finish", F.col("entries").alias("n_entries"), "has_error", "names"
+    )
+    # The edges of one thread meet in a group of at most two rows per task.
+    in_order = Window.partitionBy("thread").orderBy("task", "seq")
+    gap = F.floor((F.col("start") - F.lag("finish").over(in_order)) / 1000)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = (
+        fragments.where("edge")
+        .withColumn("_new", F.coalesce((gap > millis).cast("int"), F.lit(0)))
+        .withColumn("_run", F.sum("_new").over(so_far))
     )
     parts = F.sort_array(F.collect_list(F.struct("task", "seq", "names")))["names"]
-    merged = numbered.groupBy("thread", "solo", "_run").agg(
+    stitched = numbered.groupBy("thread", "_run").agg(
         F.min("start").alias("start"),
         F.max("finish").alias("finish"),
         F.sum("entries").alias("n_entries"),
         F.bool_or("has_error").alias("has_error"),
-        F.flatten(parts).alias("names"),
+        _without_repeats(F.flatten(parts)).alias("names"),
     )
-    return merged.select(
+    return inner.unionByName(stitched.drop("_run")).select(
         "thread",
         from_micros(F.col("start")).alias("start_ts"),
         from_micros(F.col("finish")).alias("end_ts"),
         "n_entries",
-        _signature(_without_repeats(F.col("names"))).alias("signature"),
+        _signature(F.col("names")).alias("signature"),
         "has_error",
     )
 
@@ -171,32 +170,20 @@ def example_window(start: Column, end: Column) -> Column:
 # --- the call around one line --------------------------------------------------------
 
 
-def _call_entries(df: DataFrame, line: int, window: str | int, source_file: str | None):
-    """The anchor entry, looked up first, and the entries near it on its thread.
+def _call_entries(df: DataFrame, line: int, window: str | int, source_file: str | None) -> tuple[Column, DataFrame]:
+    """The anchor entry, and the entries near it on its thread.
 
-    With the anchor at hand its time and thread are literals: a columnar source reads
-    only the row groups around it.
+    The anchor is a scalar subquery: it runs when the result is asked for, and its time and thread are then values a
+    columnar source prunes row groups by. Without an anchor, or one without a time, nothing is near.
     """
     wanted = F.col("line_number") == line
     if source_file is not None:
         wanted = wanted & (F.col("source_file") == source_file)
-    row = (
-        df.where(wanted)
-        .select("source_file", micros(F.col("ts")).alias("t"), "thread")
-        .orderBy("source_file")
-        .limit(1)
-        .collect()
-    )
-    if not row or row[0]["t"] is None:
-        return None, df.where("false")
-    anchor = row[0]
+    row = F.struct("source_file", micros(F.col("ts")).alias("t"), "thread").alias("anchor")
+    anchor = df.where(wanted).select(row).orderBy("anchor.source_file").limit(1).scalar()
     reach = (duration_millis(window) + 1) * 1000
-    near = (F.col("ts") > from_micros(F.lit(anchor["t"] - reach))) & (
-        F.col("ts") < from_micros(F.lit(anchor["t"] + reach))
-    )
-    if anchor["thread"] is not None:
-        near = near & (F.col("thread") == anchor["thread"])
-    return anchor, df.where(near)
+    near = (F.col("ts") > from_micros(anchor["t"] - reach)) & (F.col("ts") < from_micros(anchor["t"] + reach))
+    return anchor, df.where(near & (anchor["thread"].isNull() | (F.col("thread") == anchor["thread"])))
 
 
 def probable_call(
@@ -204,9 +191,6 @@ def probable_call(
 ) -> DataFrame:
     """Entries within the window around a line, on the line's thread (any, if it has none)."""
     anchor, entries = _call_entries(df, line, window, source_file)
-    is_anchor = F.lit(False)
-    if anchor is not None:
-        is_anchor = (F.col("line_number") == line) & (F.col("source_file") == anchor["source_file"])
     return entries.orderBy("ts", "line_number", "source_file").select(
         "source_file",
         "line_number",
@@ -215,7 +199,7 @@ def probable_call(
         "thread",
         short_logger(F.col("logger")).alias("logger"),
         "message",
-        is_anchor.alias("is_anchor"),
+        ((F.col("line_number") == line) & (F.col("source_file") == anchor["source_file"])).alias("is_anchor"),
     )
 
 
@@ -224,7 +208,6 @@ def probable_call_summary(
 ) -> DataFrame:
     """Thread, period, size and signature of the call around a line; no row if there is none."""
     anchor, entries = _call_entries(df, line, window, source_file)
-    thread = anchor["thread"] if anchor is not None else None
     whole = 2 * duration_millis(window) + 2
-    call = flow_sessions(entries.withColumn("thread", F.lit(thread).cast("string")), f"{whole}ms")
+    call = flow_sessions(entries.withColumn("thread", anchor["thread"]), f"{whole}ms")
     return call.withColumn("anchor_line", F.lit(line).cast("bigint"))

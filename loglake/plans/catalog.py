@@ -190,7 +190,7 @@ def _load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _as_text_files(spark, sf_dir, "logback")
     lines = read_lines(spark, path)
     formats = file_formats(spark, path)
-    report = load_report(lines, read_logs(spark, path), formats)
+    report = load_report(lines, formats)
     return report.groupBy("format").agg(F.sum("lines").alias("lines"), F.sum("entries").alias("entries"))
 
 

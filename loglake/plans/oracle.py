@@ -382,7 +382,7 @@ def oracles() -> dict[str, str]:
         "export_rows_json": _q("""SELECT line_number AS line, regexp_replace(CASE WHEN microsecond(ts) = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END, '(\\.\\d{3})000$', '\\1') AS timestamp,
             level, logger, thread, message, stack_trace AS "stackTrace" FROM logs"""),
         "export_rows_csv": _q(f"SELECT line_number || ',' || second_text || ',' || level || ',' || {_CSV_FIELD.format('logger')} || ',' || {_CSV_FIELD.format('thread')} || ',' || {_CSV_FIELD.format('message')} AS value FROM logs {_text('linha,timestamp,nivel,logger,thread,mensagem')}"),
-        "export_rows_html": _q(f"{_lines(_HTML_ROW)} {_text('<!DOCTYPE html><html><head><meta charset=\"UTF-8\"><title>Log Report</title></head><body>', '<table><tr><th>#</th><th>Timestamp</th><th>Nivel</th><th>Logger</th><th>Mensagem</th></tr>', '</table></body></html>')} {_count_lines('<h1>Log Report</h1><p>Fonte: events | Entradas: ', '</p>')}"),
+        "export_rows_html": _q(f"{_lines(_HTML_ROW)} {_text('<!DOCTYPE html><html><head><meta charset=\"UTF-8\"><title>Log Report - events</title>', '<style>.ERROR, .FATAL { color: #f44; } .WARN { color: #fa0; } .INFO { color: #4c4; } .DEBUG { color: #4cc; } .stack { white-space: pre; }</style></head><body>', '<table><tr><th>#</th><th>Timestamp</th><th>Nivel</th><th>Logger</th><th>Mensagem</th></tr>', '</table></body></html>')} {_count_lines('<h1>Log Report</h1><p>Fonte: events | Entradas: ', '</p>')}"),
         "export_rows_markdown": _q(f"SELECT '| ' || line_number || ' | ' || second_text || ' | ' || level || ' | ' || logger || ' | ' || replace(message, '|', '\\|') || ' |' AS value FROM logs {_text('# Log Report', '', '**Fonte:** events  ', '', '| # | Timestamp | Nivel | Logger | Mensagem |', '|---|---|---|---|---|')} {_count_lines('**Entradas:** ', '')}"),
         "export_stacks": _q(_lines("'=== ' || second_text || ' ' || level || ' ===' || chr(10) || message || chr(10) || stack_trace || chr(10)", where="stack_trace IS NOT NULL")),
         "executive_report": _q(_report()),

@@ -25,7 +25,8 @@ from loglake.operators.stats import (
     timeline_of_rollup,
     top_errors,
 )
-from loglake.session import scratch_dir
+from loglake.operators.templates import template_rollup
+from loglake.session import kept
 
 # Weekday labels, Monday first, and the sign of each heatmap intensity.
 WEEKDAYS = ["Seg", "Ter", "Qua", "Qui", "Sex", "Sab", "Dom"]
@@ -46,13 +47,11 @@ def executive_report(df: DataFrame, generated_at: datetime | None = None, **dete
     """``(section, ord, key, value)`` rows: summary, levels, top errors, timeline, anomalies, heatmap.
 
     Summary, levels, timeline, spikes, gaps and heatmap all come from one per-minute
-    roll-up, written once because it is small; only the three analyses of messages read the
-    entries again. Nothing stays cached.
+    roll-up, templates from another one; both are written once because they are small. Only the top
+    errors, which look at stacks, read the entries a third time. Nothing stays cached.
     """
-    path = scratch_dir(df.sparkSession, "minutes")
-    minutes = minute_rollup(df)
-    minutes.write.parquet(path)
-    rollup = df.sparkSession.read.schema(minutes.schema).parquet(path)
+    rollup = kept(minute_rollup(df), "minutes")
+    templates = kept(template_rollup(df), "templates")
     facts = summary_of_rollup(rollup)
     peak = heatmap_peak_of_rollup(rollup)
 
@@ -80,7 +79,7 @@ def executive_report(df: DataFrame, generated_at: datetime | None = None, **dete
     facts = facts.select(
         F.posexplode(F.array(*[F.struct(F.lit(l).alias("k"), v.alias("v")) for l, v in zip(labels, values)]))
     )
-    found = ranked(findings(df, rollup, **detector_options), "ord", "ts", "pattern")
+    found = ranked(findings(df, rollup, templates=templates, **detector_options), "ord", "ts", "pattern")
     described = F.concat_ws(
         " | ",
         "detector",

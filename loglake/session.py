@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -52,3 +52,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
     return path
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """A small result written to the shared folder and read back, for plans that use it several times."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

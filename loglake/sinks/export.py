@@ -108,6 +108,11 @@ def stack_blocks(df: DataFrame) -> DataFrame:
     return kept.select(*LOAD_ORDER, block.alias("value"))
 
 
+#: How rows of a level, and stacks, look.
+LEVEL_COLOURS = {".ERROR, .FATAL": "#f44", ".WARN": "#fa0", ".INFO": "#4c4", ".DEBUG": "#4cc"}
+LEVEL_STYLE = " ".join(f"{rows} {{ color: {colour}; }}" for rows, colour in LEVEL_COLOURS.items()) + " .stack { white-space: pre; }"
+
+
 # Stands for the number of entries; no name of a source holds it.
 ENTRIES = "\0"
 
@@ -144,7 +149,8 @@ def export_logs(df: DataFrame, format: str, path: str, source: str = "") -> str:
     elif kind == "html":
         head = "".join(f"<th>{name}</th>" for name in TABLE_COLUMNS)
         before = [
-            '<!DOCTYPE html><html><head><meta charset="UTF-8"><title>Log Report</title></head><body>',
+            f'<!DOCTYPE html><html><head><meta charset="UTF-8"><title>Log Report - {source}</title>',
+            f"<style>{LEVEL_STYLE}</style></head><body>",
             "<h1>Log Report</h1><p>Fonte: " + source + " | Entradas: " + ENTRIES + "</p>",
             f"<table><tr>{head}</tr>",
         ]

@@ -192,6 +192,10 @@ class LineFormat:
     def multi_line(self) -> bool:
         return self.name in MULTI_LINE
 
+    def entries(self, line: Column) -> Column:
+        """How many entries a line begins: 1 or 0."""
+        return F.size(_json_objects(line)) if self.name == "json" else F.coalesce(self.matches(line), F.lit(False)).cast("int")
+
 
 def _with_fields(df: DataFrame, **columns: Column | None) -> DataFrame:
     kept = [c for c in df.columns if not c.startswith("_")]

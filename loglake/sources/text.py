@@ -34,6 +34,7 @@ from loglake.sources.files import (
 )
 from loglake.sources.formats import (
     DETECTION_LINES,
+    DETECTION_ORDER,
     FALLBACK_FORMAT,
     LineFormat,
     detected_format,
@@ -391,17 +392,17 @@ def _glob_regex(pattern: str) -> re.Pattern[str]:
 _GLOB_WORDS = {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
 
 
-def load_report(
-    lines: DataFrame, entries: DataFrame, formats: DataFrame | None = None, format: str | None = None
-) -> DataFrame:
-    """Lines, entries and format of every source, in path order."""
-    counted = lines.groupBy("source_file").agg(F.count("*").alias("lines"))
-    parsed = entries.groupBy("source_file").agg(F.count("*").alias("entries"))
-    report = counted.join(parsed, "source_file", "left")
-    if formats is not None:
-        report = report.join(formats, "source_file", "left")
+def load_report(lines: DataFrame, formats: DataFrame | None = None, format: str | None = None) -> DataFrame:
+    """Lines, entries and format of every source, in path order; formats per file, or one for all.
+
+    An entry begins at a line its format matches, so lines are counted where they are read and nothing is assembled.
+    """
+    kinds = [format_name(format)] if formats is None else list(DETECTION_ORDER)
+    begun = [F.sum(line_format(kind).entries(F.col("value"))).alias(f"_{kind}") for kind in kinds]
+    counted = lines.groupBy("source_file").agg(F.count("*").alias("lines"), *begun)
+    if formats is None:
+        report = counted.withColumn("format", F.lit(kinds[0]))
     else:
-        report = report.withColumn("format", F.lit(format_name(format)))
-    return report.select(
-        "source_file", "format", "lines", F.coalesce("entries", F.lit(0)).alias("entries")
-    ).orderBy("source_file")
+        report = counted.join(formats, "source_file", "left")
+    entries = F.coalesce(*[F.when(F.col("format") == kind, F.col(f"_{kind}")) for kind in kinds], F.lit(0))
+    return report.select("source_file", "format", "lines", entries.alias("entries")).orderBy("source_file")

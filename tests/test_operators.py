@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -328,3 +329,54 @@ def test_stored_entries_are_pruned_by_day(spark, mill, tmp_path):
     assert lines(kept) == [2, 3]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_template_rollups_add_up(spark, entries, tmp_path):
+    from loglake.operators import templates
+
+    rng = random.Random(4)
+    rows = [
+        {
+            "ts": None if i % 11 == 0 else datetime(2025, 1, 1) + timedelta(minutes=i * 7 % 90, seconds=i),
+            "level": rng.choice(["INFO", "WARN", "ERROR", "FATAL"]), "message": f"order {i} of {rng.choice(['cart', 'shop', 'depot'])}{'!' * (i % 5)}",
+        }
+        for i in range(400)
+    ] + [{"level": "ERROR", "message": None}, {"level": "ERROR", "message": "only one"}]
+    df = entries(*rows)
+    whole = templates.template_rollup(df)
+    path = str(tmp_path / "templates")
+    for part in range(3):
+        templates.add_templates(templates.template_rollup(df.where(f"line_number % 3 = {part}")), path)
+    stored = templates.load_templates(spark, path)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, whole.select(stored.columns).collect()))
+    same = lambda a, b: [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()]
+    assert same(templates.patterns_of_rollup(stored, None), anomalies.patterns(df, None))
+    assert same(templates.first_errors_of_rollup(stored, None), anomalies.first_errors(df, None))
+    assert same(templates.unique_errors_of_rollup(stored, None), anomalies.unique_errors(df, None))
+    minutes = templates.minutes_of_rollup(stored)
+    assert same(anomalies.recurring_of_minutes(minutes, 3.0, None), anomalies.recurring_patterns(df, 3.0, None))
+    empty = templates.template_rollup(df.limit(0))
+    assert templates.patterns_of_rollup(empty, 5).count() == templates.merged(empty, empty).count() == 0
+
+
+def test_plans_are_made_without_a_job(spark, entries):
+    df = entries({"ts": datetime(2025, 1, 1), "message": "boom"}, {"ts": datetime(2025, 1, 1, 0, 1), "message": "next"}, {"message": "boom later"})
+    ids = lambda: set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = ids()
+    found = [context.correlate(df, "BOOM", "2m"), context.correlate(df, "absent"), flows.probable_call(df, 1, "10s"), flows.probable_call(df, 9), flows.probable_call_summary(df, 1, "5m"), flows.probable_call_summary(df, 3)]
+    assert ids() == before
+    assert [f.count() for f in found] == [2, 0, 1, 0, 1, 0]
+    assert [(r.is_event, r.matches) for r in found[0].collect()] == [(True, 1), (False, 1)]
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+@pytest.mark.parametrize("after", [False, True])
+def test_rows_beside(spark, width, after):
+    from loglake.operators.calendar import beside
+
+    keys = random.Random(width).sample(range(-500, 3000), 300)
+    df = spark.createDataFrame([(k, f"v{k}") for k in keys], "at long, v string")
+    got = {r["at"]: (r.other, r.key) for r in beside(df, "at", width, after, other="v", key="at").collect()}
+    keys.sort()
+    pairs = zip(keys, keys[1:] + [None]) if after else zip(keys, [None] + keys[:-1])
+    assert got == {k: (None if o is None else f"v{o}", o) for k, o in pairs}

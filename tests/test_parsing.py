@@ -288,8 +288,16 @@ def test_load_report(spark, tmp_path):
     (tmp_path / "a.log").write_text(f"{LOGBACK}\n\tat x\n")
     (tmp_path / "b.log").write_text("noise\n")
     lines = read_lines(spark, str(tmp_path))
-    rows = load_report(lines, parse_lines(lines, "logback"), format="logback").collect()
+    rows = load_report(lines, format="logback").collect()
     assert [(r.format, r.lines, r["entries"]) for r in rows] == [("logback", 2, 1), ("logback", 1, 0)]
+    (tmp_path / "c.log").write_text(f'{JSON}\n{{"a": 1}}\nbroken {{\n\n')
+    (tmp_path / "_d.log").write_text(f"{NGINX}\nno line of it\n{NGINX}\n")
+    lines = read_lines(spark, str(tmp_path))
+    rows = load_report(lines, file_formats(spark, str(tmp_path))).collect()
+    found = {r.source_file.rsplit("/", 1)[-1]: (r.format, r.lines, r["entries"]) for r in rows}
+    assert found == {"a.log": ("logback", 2, 1), "b.log": ("logback", 1, 0), "c.log": ("json", 4, 2), "_d.log": ("nginx", 3, 2)}
+    read = {r.source_file.rsplit("/", 1)[-1]: r["count"] for r in read_logs(spark, str(tmp_path)).groupBy("source_file").count().collect()}
+    assert read == {name: n for name, (_, _, n) in found.items() if n}
 
 
 def test_text_takes_one_shuffle(spark, tmp_path):

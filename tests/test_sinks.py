@@ -136,7 +136,8 @@ def test_exports(three, tmp_path):
     assert markdown[-2:] == ["| 2 | 2025-03-04 09:00:00 | INFO |  | a\\|b <c> |", "| 3 |  | INFO | com.example.App |  |"]
     html = text_of(export_logs(three, "html", str(tmp_path / "h")))
     assert html[-1] == "</table></body></html>"
-    assert '<td>a|b &lt;c&gt;</td></tr>' in html[-3] and '<div class="stack">at A' in html[3]
+    assert '<td>a|b &lt;c&gt;</td></tr>' in html[-3] and '<div class="stack">at A' in html[4]
+    assert html[0].endswith("<title>Log Report - </title>") and ".WARN { color: #fa0; }" in html[1]
     assert text_of(export_stacks(three, str(tmp_path / "s"))) == [
         "=== 2025-03-03 09:00:00 ERROR ===", 'say "a, b"', "at A", "at B", "",
     ]
