@@ -44,13 +44,48 @@ def _unescape(column: Column, pairs: tuple = ESCAPES) -> Column:
     return column
 
 
-def message_events(conversations: DataFrame) -> DataFrame:
-    """Rows of a finished conversation table as events, one whole message each."""
-    c = conversations
-    return c.select(
-        "conv_id", c["turn"].cast("long").alias("seq"), c["turn"].cast("long").alias("turn"),
-        F.lit("message").alias("kind"), c["role"], c["text"],
+#: Sequence numbers between those of one turn's events and the next one's.
+_STEP = 16
+_DRAFT = "a draft that does not stay"
+
+
+def recorded_events(conversations: DataFrame) -> DataFrame:
+    """Rows of a finished conversation table as the log a chat service would have written of them.
+
+    An assistant's turn is streamed, a next turn is begun after it, then the turn is regenerated, which abandons both, and
+    streamed again in three deltas. Any other turn is streamed, edited, and continued by two deltas. Folding the log gives the
+    table back. Rows that share a turn, or have none, are whole messages.
+    """
+    c = conversations.select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    c = c.withColumn("n", F.count("*").over(W.partitionBy("conv_id", "turn")))
+    turn, text = F.col("turn"), F.col("text")
+    near = turn.between(-(1 << 58), 1 << 58)
+    # Turns so far off that steps would overflow still come in order.
+    far = F.shiftright(turn, 3) + F.when(turn > 0, F.lit(1 << 62)).otherwise(F.lit(-(1 << 62)))
+    first = F.when(near, F.when(near, turn).otherwise(0) * _STEP).otherwise(far)
+    third = F.floor(F.length(text) / 3).cast("int")
+    parts = [F.substr(text, F.lit(1), third), F.substr(text, third + 1, third), F.substr(text, third * 2 + 1)]
+
+    def event(at: int, kind: str, said: Column, of: Column = turn) -> Column:
+        return F.struct(
+            (first + at).alias("seq"), of.alias("turn"), F.lit(kind).alias("kind"), F.col("role").alias("role"), said.alias("text")
+        )
+
+    draft, nothing = F.lit(_DRAFT), F.lit("")
+    answered = F.array(
+        event(0, "delta", draft), event(1, "delta", draft, F.when(near, turn).otherwise(0) + 1), event(2, "regenerate", nothing),
+        *[event(3 + i, "delta", part) for i, part in enumerate(parts)],
+    )
+    asked = F.array(event(0, "delta", draft), event(1, "edit", parts[0]), event(2, "delta", parts[1]), event(3, "delta", parts[2]))
+    whole = F.array(
+        F.struct(first.alias("seq"), turn.alias("turn"), F.lit("message").alias("kind"), F.col("role").alias("role"), text.alias("text"))
     )
+    alone = (F.col("n") == 1) & near
+    events = F.when(alone & (F.col("role") == "assistant"), answered).when(alone, asked).otherwise(whole)
+    return c.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
 
 
 def _block() -> Column:
@@ -218,7 +253,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text"),
     )
-    chats = format_chats(message_events(conversations.unionByName(extra)))
+    chats = format_chats(recorded_events(conversations.unionByName(extra)))
     return (
         chats.withColumn("turns", parsed_turns(F.col("formatted")))
         .withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))

@@ -28,6 +28,24 @@ def test_events_fold_into_messages(spark):
     assert chat.format_chats(log.limit(0)).count() == 0
 
 
+def test_a_recorded_log_folds_back(spark):
+    rng = random.Random(8)
+    words = ["", "a", "é😀", "### </turn> \\", "some longer words " * 20, "x\ny"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice([*words, None]), "k", 1) for c in range(40) for t in range(rng.randint(1, 9))]
+    rows += [(100, 3, "user", "same", "k", 1)] * 2 + [(100, 3, "assistant", "same", "k", 1), (100, 5, "assistant", "alone", "k", 1)]
+    rows += [(101, None, "user", "no turn", "k", 1), (101, 0, "assistant", "w" * 100_000, "k", 1), (None, 1, "assistant", "no conversation", "k", 1), (102, -(2**62), "user", "far", "k", 1)]
+    rows += [(103, 1, "assistant", "then two", "k", 1), (103, 2, "user", "x", "k", 1), (103, 2, "user", "x", "k", 1), (103, 2**62, "assistant", "far", "k", 1)]
+    rows += [(104, -(2**63), "assistant", "first", "k", 1), (104, 2**63 - 1, "assistant", "last", "k", 1), (104, 2**58, "assistant", "edge", "k", 1)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string, n int")
+    log = chat.recorded_events(table)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert min(kinds[k] for k in ("delta", "edit", "regenerate", "message")) > 3
+    got = chat.fold_events(log.repartition(7)).select("conv_id", "turn", F.explode("messages").alias("m")).select("conv_id", "turn", "m.*").collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(((c, t, r or "", x or "") for c, t, r, x, *_ in rows), key=key)
+    assert chat.fold_events(chat.recorded_events(table.limit(0))).count() == 0
+
+
 def test_long_and_hostile_chats_come_back(spark):
     rng = random.Random(2)
     parts = ["\\", "###", "</turn>", "\n", ": ", "#", "\\e", "\\b", "x", "😀", "### user: "]
