@@ -23,10 +23,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglake.llm.neardup import keep_one_of_each
 from loglake.llm.shared import stored, table, texts
 from loglake.llm.tokens import chunks
 
@@ -244,31 +244,20 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """``(doc_id, toxic, text)`` of a bounded number of labelled documents, without near copies."""
+    """``(doc_id, toxic, text)`` of a bounded number of labelled documents, copies within a label left out."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
 
-    def sketch(batches):
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                found = text.split()
-                runs = [" ".join(found[i : i + 4]) for i in range(max(1, len(found) - 3))]
-                rows.append([min(xxhash.xxh3_64_intdigest(r, seed=s) for r in runs) >> 1 for s in range(3)])
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*batch.schema.names, "s0", "s1", "s2"]
-            )
-
-    some = texts(documents).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
-    some = stored(some.mapInArrow(sketch, "doc_id bigint, toxic int, text string, s0 bigint, s1 bigint, s2 bigint"), "toxic-sample")
-    names = some.select("doc_id", "s0", "s1", "s2").distinct()
-    for s in ("s0", "s1", "s2"):
-        names = names.groupBy(s).agg(F.min_by(F.struct("doc_id", "s0", "s1", "s2"), "doc_id").alias("r")).select("r.*")
-    return stored(some.join(names.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "toxic", "text"), "toxic-apart")
+    # One row per id, so the sample is bounded in rows, too; equal texts of a label count once.
+    some = texts(documents).join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    some = some.groupBy("toxic", F.sha2("text", 256).alias("same")).agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("one"))
+    some = stored(some.select("one.doc_id", "toxic", "one.text"), "toxic-sample")
+    # Of toxic texts, near-duplicates of each other, too: words that copies share would otherwise speak for the label.
+    apart = keep_one_of_each(some.filter("toxic = 1"), k=2)
+    return stored(some.filter("toxic <> 1").unionByName(apart), "toxic-apart")
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
