@@ -13,7 +13,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loglake.operators import anomalies, context, filters, flows, stacks, stats
-from loglake.plans.report import executive_report
+from loglake.plans.report import executive_report, write_report
 from loglake.session import configure, scratch_dir
 from loglake.sinks import export, rewrite
 from loglake.sources.events import (
@@ -324,6 +324,12 @@ def _report(df: DataFrame) -> DataFrame:
     )
 
 
+def _write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    out = write_report(_report(events_as_logs(spark, sf_dir)), scratch_dir(spark, "report"))
+    return rewrite.read_ordered(spark, out)
+
+
 def registered_queries() -> dict[str, Query]:
     return {
         # aggregates
@@ -410,6 +416,7 @@ def registered_queries() -> dict[str, Query]:
         "export_rows_markdown": _export("markdown"),
         "export_stacks": _export_stacks,
         "executive_report": _on_logs(_report),
+        "write_report": _write_report,
         # streams
         "tail_filter": _tail_filter,
         "timeline_stream": _timeline_stream,

@@ -6,6 +6,7 @@ shortcuts of the operators.
 
 from __future__ import annotations
 
+from loglake.plans.report import SECTIONS
 from loglake.sources.events import EVENT_LOGGERS
 
 _LOGGER_CASES = " ".join(f"WHEN '{kind}' THEN '{cls}'" for kind, cls in EVENT_LOGGERS.items())
@@ -283,6 +284,19 @@ def _report() -> str:
       ['.', '░', '▒', '▓', '█'][intensity + 1] || CASE WHEN n > 0 THEN CAST(n AS VARCHAR) ELSE '' END FROM ({_HEAT})"""
 
 
+def _report_text() -> str:
+    """The report as Markdown, line by line: a heading, a table head and the rows of each section."""
+    heads = ", ".join(
+        f"({i}, '{name}', ['', '## {title}', '', '| {left} | {right} |', '|---|---|'])" for i, (name, title, left, right) in enumerate(SECTIONS)
+    )
+    cell = "replace(replace(coalesce({0}, ''), '|', '\\|'), chr(10), '<br>')"
+    return f"""SELECT row_number() OVER (ORDER BY zone, ord, k) AS position, value FROM (
+      SELECT -1 AS zone, 0 AS ord, 0 AS k, '# Executive Log Report' AS value
+      UNION ALL SELECT zone, -1, unnest([1, 2, 3, 4, 5]), unnest(head) FROM (VALUES {heads}) h(zone, section, head)
+      UNION ALL SELECT h.zone, r.ord, 0, '| ' || {cell.format("r.key")} || ' | ' || {cell.format("r.value")} || ' |'
+      FROM ({_report()}) r(section, ord, key, value) JOIN (VALUES {heads}) h(zone, section, head) ON h.section = r.section)"""
+
+
 def oracles() -> dict[str, str]:
     web = f"{_SECONDS} AS ts, {_WEB_LEVEL} AS level, {_WEB_SEVERITY} AS severity"
     entry = f"{_MILLIS} AS ts, level, logger, thread, message, stack_trace"
@@ -386,6 +400,7 @@ def oracles() -> dict[str, str]:
         "export_rows_markdown": _q(f"SELECT '| ' || line_number || ' | ' || second_text || ' | ' || level || ' | ' || logger || ' | ' || replace(message, '|', '\\|') || ' |' AS value FROM logs {_text('# Log Report', '', '**Fonte:** events  ', '', '| # | Timestamp | Nivel | Logger | Mensagem |', '|---|---|---|---|---|')} {_count_lines('**Entradas:** ', '')}"),
         "export_stacks": _q(_lines("'=== ' || second_text || ' ' || level || ' ===' || chr(10) || message || chr(10) || stack_trace || chr(10)", where="stack_trace IS NOT NULL")),
         "executive_report": _q(_report()),
+        "write_report": _q(_report_text()),
         "tail_filter": _q(f"SELECT value, level, replace(value, 'Exception', '«Exception»') AS shown FROM (SELECT value, CASE WHEN contains(u, 'FATAL') THEN 'FATAL' WHEN contains(u, 'ERROR') OR contains(u, 'SEVERE') THEN 'ERROR' WHEN contains(u, 'WARN') THEN 'WARN' END AS level FROM (SELECT value, upper(value) AS u FROM ({_lines(_WITH_STACK)}))) WHERE level IS NOT NULL AND contains(lower(value), 'order')"),
         "timeline_stream": _q("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS n FROM logs GROUP BY 1"),
         "flow_sessions_stream": _q("""SELECT thread, start_ts, end_ts, n_entries, has_error FROM (
