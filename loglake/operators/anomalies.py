@@ -34,6 +34,8 @@ ALERT = "ALERTA"
 _MINUTE_US = 60_000_000
 #: Minutes ordered by one task when gaps are looked for: a week.
 GAP_STRETCH = 7 * 24 * 60
+#: Seconds whose buckets are summed up together when spikes are looked for.
+SPIKE_STRETCH = 7 * 24 * 3600
 
 
 def _templates(df: DataFrame, min_severity: int, *columns: str | Column) -> DataFrame:
@@ -81,10 +83,8 @@ def error_spikes_of_rollup(
     counts = errors.groupBy(F.expr(f"slot * 60 div {step} * {step}").alias("at")).agg(
         F.sum("n").alias("n")
     )
-    errors_of_all, buckets = counts.agg(F.sum("n")).scalar(), counts.agg(F.count("*")).scalar()
-    stats = counts.select("at", "n", errors_of_all.alias("errors"), buckets.alias("buckets")).withColumn(
-        "baseline", F.expr("errors div buckets")
-    )
+    totals = {"errors": ("sum", "n"), "buckets": ("count", "n")}
+    stats = beside(counts, "at", SPIKE_STRETCH, totals=totals).withColumn("baseline", F.expr("errors div buckets"))
     enough = (F.col("errors") >= SPIKE_MIN_ERRORS) & (F.col("buckets") >= SPIKE_MIN_BUCKETS)
     high = (F.col("n") > F.col("baseline") * factor) & (F.col("n") > min_count)
     return (
@@ -171,11 +171,9 @@ def log_gaps_of_rollup(
             F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
         )
     )
-    whole = minutes.agg(
-        F.struct(F.sum("n").alias("entries"), F.floor((F.max("last_us") - F.min("first_us")) / _MINUTE_US).alias("minutes"))
-    ).scalar()
-    spaced = beside(minutes, "slot", GAP_STRETCH, before_us="last_us").select(
-        "before_us", "first_us", whole["entries"].alias("entries"), whole["minutes"].alias("minutes")
+    totals = {"entries": ("sum", "n"), "first": ("min", "first_us"), "last": ("max", "last_us")}
+    spaced = beside(minutes, "slot", GAP_STRETCH, totals=totals, before_us="last_us").select(
+        "before_us", "first_us", "entries", F.floor((F.col("last") - F.col("first")) / _MINUTE_US).alias("minutes")
     ).withColumn("gap_minutes", F.floor((F.col("first_us") - F.col("before_us")) / _MINUTE_US))
     threshold = F.col("minutes") / F.col("entries") * factor
     long = (F.col("gap_minutes") > GAP_MIN_MINUTES) & (F.col("gap_minutes") > threshold)

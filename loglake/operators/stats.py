@@ -122,11 +122,11 @@ def timeline_of_rollup(
         .groupBy((F.col("slot") * slot).alias("at"))
         .agg(F.sum("n").alias("n"))
     )
-    start = slots.agg(F.floor(F.min("at") / 3600) * 3600).scalar()
-    buckets = slots.groupBy((F.floor((F.col("at") - start) / step) * step + start).alias("bucket")).agg(F.sum("n").alias("n"))
-    peak = buckets.agg(F.max("n")).scalar()
-    filled = beside(buckets, "bucket", step * FILL_RUN, after=True, next="bucket").select(
-        "bucket", "n", (F.col("n") == peak).alias("is_peak"), F.coalesce("next", F.col("bucket") + step).alias("next")
+    first = beside(slots, "at", step * FILL_RUN, totals={"first": ("min", "at")})
+    anchored = first.withColumn("start", F.floor(F.col("first") / 3600) * 3600)
+    buckets = anchored.groupBy(F.expr(f"(at - start) div {step} * {step} + start").alias("bucket")).agg(F.sum("n").alias("n"))
+    filled = beside(buckets, "bucket", step * FILL_RUN, after=True, totals={"peak": ("max", "n")}, next="bucket").select(
+        "bucket", "n", (F.col("n") == F.col("peak")).alias("is_peak"), F.coalesce("next", F.col("bucket") + step).alias("next")
     )
     # Gaps are filled in runs of bounded length: one far-off time must not become one array.
     run = step * FILL_RUN

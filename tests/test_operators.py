@@ -376,7 +376,11 @@ def test_rows_beside(spark, width, after):
 
     keys = random.Random(width).sample(range(-500, 3000), 300)
     df = spark.createDataFrame([(k, f"v{k}") for k in keys], "at long, v string")
-    got = {r["at"]: (r.other, r.key) for r in beside(df, "at", width, after, other="v", key="at").collect()}
+    totals = {"n": ("count", "v"), "most": ("max", "at"), "least": ("min", "at"), "all": ("sum", "at")}
+    rows = beside(df, "at", width, after, totals, other="v", key="at").collect()
+    assert {(r.n, r.most, r.least, r["all"]) for r in rows} == {(300, max(keys), min(keys), sum(keys))}
+    assert {(r.n, r["all"]) for r in beside(df, "at", width, totals=totals).collect()} == {(300, sum(keys))}
+    got = {r["at"]: (r.other, r.key) for r in rows}
     keys.sort()
     pairs = zip(keys, keys[1:] + [None]) if after else zip(keys, [None] + keys[:-1])
     assert got == {k: (None if o is None else f"v{o}", o) for k, o in pairs}
