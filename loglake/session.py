@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +42,24 @@ def build_session(app_name: str = "loglake", master: str | None = None, **option
     return configure(builder.getOrCreate())
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written table, in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder driver and executors share: ``spark.checkpoint.dir``, else the warehouse.
 
-    ``spark.checkpoint.dir`` names that folder on a cluster; without it, the warehouse does.
-    The table is deleted when the session ends.
+    A warehouse on a machine's own disk is shared only where all run on one machine; on a cluster it is refused.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = os.path.join(shared, "loglake", f"{label}-{uuid.uuid4().hex}")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    local = urlparse(folder).scheme in ("", "file")
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"executors do not share {folder!r}: set spark.checkpoint.dir to a folder they do")
+    return folder.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path for a written table, in the folder all executors share; it is deleted when the session ends."""
+    path = os.path.join(shared_folder(spark), "loglake", f"{label}-{uuid.uuid4().hex}")
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(location)
     return path

@@ -61,3 +61,22 @@ def test_levels():
     assert [level_name(w) for w in ("warning", "severe", "Critical")] == ["WARN", "ERROR", "FATAL"]
     with pytest.raises(ValueError):
         level_name("loud")
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loglake.session import shared_folder
+
+    def session(master, **conf):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default=None: conf.get(key.replace(".", "_"), default)),
+            sparkContext=SimpleNamespace(master=master),
+        )
+
+    assert shared_folder(session("spark://x", spark_checkpoint_dir="hdfs:/c/")) == "hdfs:/c"
+    assert shared_folder(session("local[2]", spark_sql_warehouse_dir="file:/w")) == "file:/w"
+    assert shared_folder(session("yarn", spark_sql_warehouse_dir="s3a://w/x")) == "s3a://w/x"
+    for folder in ("file:/w", "/w"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session("yarn", spark_sql_warehouse_dir=folder))
