@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglake.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
@@ -18,12 +20,6 @@ def texts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce(documents["text"], F.lit("")).alias("text"))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (as in tests) the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return root.rstrip("/")
-
-
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -31,7 +27,7 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     session's file system is closed.
     """
     spark = df.sparkSession
-    jvm, path = spark._jvm, f"{shared_root(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    jvm, path = spark._jvm, f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
