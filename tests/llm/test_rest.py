@@ -1,5 +1,7 @@
 """Chat formatting, URL rules, toxicity and the pipeline."""
 
+import itertools
+import math
 import random
 
 import pytest
@@ -79,15 +81,44 @@ def test_fixed_rules_equal_brute_force(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
-def test_mined_rules_equal_counting(spark):
+def best_by_counting(rows, items, support, confidence):
+    """The verdict of the best rule over all subsets of a token set, rows counted one by one."""
+    found = []
+    for size in range(1, len(items) + 1):
+        for some in itertools.combinations(sorted(items), size):
+            labels = [label for held, label in rows if set(some) <= set(held)]
+            for kind in set(labels):
+                n = labels.count(kind)
+                if n >= math.ceil(support * len(rows)) and n / len(labels) >= confidence:
+                    found.append((n / len(labels), size, n / len(rows), kind))
+    return max(found)[3] if found else None
+
+
+@pytest.mark.parametrize("run", [urls.RUN_ROWS, 7])
+def test_mined_verdicts_equal_counting(spark, monkeypatch, run):
+    monkeypatch.setattr(urls, "RUN_ROWS", run)
     rng = random.Random(8)
-    rows = [(sorted(rng.sample(["a", "b", "c", "d"], rng.randint(1, 3))),) for _ in range(300)]
-    rows = [(items, "block" if "a" in items and "b" in items else "allow") for (items,) in rows]
-    rules = urls.mine_rules(spark.createDataFrame(rows, "items array<string>, label string"), 0.05, 0.8).collect()
-    assert any(sorted(r.antecedent) == ["a", "b"] and r.mined == "block" and r.confidence == 1.0 for r in rules)
-    for r in rules:
-        holds = [label for items, label in rows if set(r.antecedent) <= set(items)]
-        assert abs(holds.count(r.mined) / len(holds) - r.confidence) < 1e-9 and r.rarest in r.antecedent
+    # x and y always occur together, as do u, v and w; z is too rare.
+    sets = [sorted({*rng.sample(["a", "b", "c", "d"], rng.randint(0, 3)), *rng.choice([[], ["x", "y"], ["u", "v", "w"], ["z"] if rng.random() < 0.1 else []])}) for _ in range(300)]
+    rows = [(items, "block" if {"a", "b"} <= set(items) or ("x" in items and "c" not in items) or rng.random() < 0.1 else "allow") for items in sets]
+    known = spark.createDataFrame(rows, "items array<string>, label string").groupBy("items", "label").agg(F.count("*").alias("n"))
+    classes = urls.token_classes(known, 0.05)
+    named = {r.token: r["class"] for r in classes.collect()}
+    assert named["x"] == named["y"] == "x" and named["v"] == named["w"] == "u" and "z" not in named and named["a"] == "a"
+    rules = urls.mine_rules(known, classes, 0.05, 0.8)
+    asked = sorted({tuple(s) for s in sets} | {("u",), ("v", "w"), ("a", "y"), ("q",), ("a", "b", "x", "u", "v")})
+    got = {tuple(r["items"]): r.mined for r in urls.match_rules(spark.createDataFrame([(list(s),) for s in asked], "items array<string>"), classes, rules).collect()}
+    wanted = {s: best_by_counting(rows, s, 0.05, 0.8) for s in asked}
+    assert got == {s: kind for s, kind in wanted.items() if kind} and {"allow", "block"} <= set(got.values())
+
+
+def test_long_urls_that_many_pages_share(spark):
+    words = "/".join("".join(chr(97 + (i * 7 + j) % 26) for j in range(5)) for i in range(40))
+    rows = [(i, f"http://a.example.com/en/{words}") for i in range(120)] + [(1000 + i, f"http://b.org/{words}/{'xyz'[i % 3]}") for i in range(60)]
+    rows += [(2000 + i, f"http://www.example.com/en/{i}") for i in range(60)] + [(3000, None), (3001, "http://b.org/" + "long" * 50_000)]
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows) and all(got[i] == "block" for i in range(120)) and all(got[1000 + i] == "block" for i in range(60))
+    assert got[2000] == "allow" and got[3000] == urls.DEFAULT_VERDICT
 
 
 @pytest.fixture(scope="module")
