@@ -157,7 +157,7 @@ def log_gaps(
     df: DataFrame, factor: float = GAP_FACTOR, limit: int | None = FINDINGS_PER_DETECTOR
 ) -> DataFrame:
     """Silences longer than five minutes and ``factor`` times the average spacing."""
-    return log_gaps_of_rollup(minute_rollup(df), factor, limit)
+    return log_gaps_of_rollup(kept(minute_rollup(df), "minutes"), factor, limit)
 
 
 def log_gaps_of_rollup(

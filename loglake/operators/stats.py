@@ -16,6 +16,7 @@ from loglake.functions.expressions import error_signature, from_micros, micros
 from loglake.model import ERROR, level_of
 from loglake.operators.calendar import beside
 from loglake.operators.filters import filter_level_expression, first_rows
+from loglake.session import kept
 
 TOP_ERRORS_LIMIT = 10
 TOP_NAMES_LIMIT = 20
@@ -102,11 +103,11 @@ def timeline(df: DataFrame, interval: str | int = "1h", level: str | None = None
     """Entries per bucket from the hour of the first entry to the last one, gaps as zero.
 
     Buckets start on that hour, so their edges lie on multiples of gcd(interval, 1 hour):
-    entries are counted in such slots before the first time is known, in one pass.
+    entries are counted in such slots before the first time is known, in one pass; the counts are written, as they are small.
     """
     step = interval_seconds(interval)
     slot = math.gcd(step, 3600)
-    return timeline_of_rollup(time_rollup(df, slot), interval, level, slot)
+    return timeline_of_rollup(kept(time_rollup(df, slot), "slots"), interval, level, slot)
 
 
 def timeline_of_rollup(
