@@ -52,7 +52,9 @@ def _lookup(values: dict, key: Column) -> Column:
 def normalize_level(text: Column) -> Column:
     """Level named by a column of free text; unknown or missing text reads as INFO."""
     words = {**{name: name for name in LEVELS}, **LEVEL_ALIASES}
-    return F.coalesce(_lookup(words, F.upper(F.btrim(text))), F.lit(DEFAULT_LEVEL))
+    word = F.btrim(text)
+    # Most words are in capitals already; changing case is the dear part.
+    return F.coalesce(_lookup(words, word), _lookup(words, F.upper(word)), F.lit(DEFAULT_LEVEL))
 
 
 def severity_of(level: Column) -> Column:

@@ -19,9 +19,11 @@ from loglake.sinks import export, rewrite
 from loglake.sources.events import (
     CUSTOM_TEMPLATE,
     events_as_logs,
+    ordered_logs,
     render_lines,
     stream_events,
     write_text_log,
+    write_text_logs,
 )
 from loglake.sources.stored import load_entries, save_entries
 from loglake.sources.text import (
@@ -80,7 +82,8 @@ def _filter_range_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _as_text_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
     path = scratch_dir(spark, kind)
-    return write_text_log(render_lines(events_as_logs(spark, sf_dir), kind), path)
+    write_text_logs(ordered_logs(spark, sf_dir), {kind: path})
+    return path
 
 
 _PARSED = ["line", "ts", "level", "severity", "logger", "thread", "message", "stack_trace", "raw"]
@@ -157,8 +160,7 @@ def _parse_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All formats in one folder tree; each file is read in its own format."""
     configure(spark)
     root = scratch_dir(spark, "mixed")
-    for kind in TEXT_FORMATS:
-        write_text_log(render_lines(events_as_logs(spark, sf_dir), kind), f"{root}/{kind}")
+    write_text_logs(ordered_logs(spark, sf_dir), {kind: f"{root}/{kind}" for kind in TEXT_FORMATS})
     entries = read_glob(spark, f"{root}/**/*.txt")
     return entries.groupBy(_parent("source_file").alias("folder"), "level").agg(
         F.count("*").alias("n"), F.count("stack_trace").alias("stacks"), F.count("ts").alias("times")
@@ -172,8 +174,7 @@ def _parent(path: str):
 def _detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     root = scratch_dir(spark, "detect")
-    for kind in TEXT_FORMATS:
-        write_text_log(render_lines(events_as_logs(spark, sf_dir), kind), f"{root}/{kind}")
+    write_text_logs(ordered_logs(spark, sf_dir), {kind: f"{root}/{kind}" for kind in TEXT_FORMATS})
     found = file_formats(spark, root, recursiveFileLookup="true")
     sizes = read_lines(spark, root, recursiveFileLookup="true").groupBy("source_file").agg(
         F.count("*").alias("lines")

@@ -114,6 +114,24 @@ def render_lines(entries: DataFrame, format: str) -> DataFrame:
     return entries.select("source_file", "line_number", value.alias("value"))
 
 
+def ordered_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored events as a log, partitions and their rows in load order.
+
+    The events are dealt out before any field is derived from them, so sampling their range reads the table and no more.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_logs(events.repartitionByRange("event_id").sortWithinPartitions("event_id"))
+
+
+def write_text_logs(ordered: DataFrame, paths: dict[str, str]) -> None:
+    """The entries of :func:`ordered_logs` as ``.txt`` files in load order, a folder for each format.
+
+    They are rendered where they lie, so no text is shuffled or made for a sample. An entry never spans two files.
+    """
+    for kind, path in paths.items():
+        render_lines(ordered, kind).select("value").write.text(path)
+
+
 def write_text_log(rendered: DataFrame, path: str) -> str:
     """Rendered entries as ``.txt`` files in load order; an entry never spans two files."""
     (

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -15,6 +16,7 @@ from loglake.sources import (
     read_logs,
     with_line_numbers,
 )
+from loglake.sources.events import events_as_logs, ordered_logs, render_lines, write_text_logs
 from loglake.sources.text import blocks_are_few
 
 LOGBACK = "2031-11-17 21:43:08.907 [press-4] ERROR org.orchard.Harvest - crate 17 is short"
@@ -309,3 +311,21 @@ def test_text_takes_one_shuffle(spark, tmp_path):
     assert plan(parse_lines(lines, "logback", few_blocks=True)).count("Exchange hashpartitioning") == 6
     assert plan(parse_lines(lines, "logback", stacks=False, few_blocks=True)).count("Exchange hashpartitioning") == 2
     assert plan(parse_lines(lines, "nginx", few_blocks=True)).count("Exchange hashpartitioning") == 2
+
+
+def test_events_are_put_in_order_before_anything_is_derived_from_them(spark, tmp_path):
+    """Range sampling runs its input: below the exchange there is to be nothing but the table."""
+    ids = [(7 * i) % 500 for i in range(500)]
+    rows = [(i, datetime(2024, 1, 1, 0, i // 60, i % 60), i % 7, "error" if i % 4 == 0 else "view", 1.0, f'{{"k": {i}}}') for i in ids]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    ordered = ordered_logs(spark, str(tmp_path))
+    plan = ordered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("get_json_object") < plan.index("RepartitionByExpression")
+    paths = {kind: f"{tmp_path}/{kind}" for kind in ("logback", "json", "nginx")}
+    write_text_logs(ordered, paths)
+    for kind, path in paths.items():
+        expected = [r.value for r in render_lines(events_as_logs(spark, str(tmp_path)), kind).orderBy("line_number").collect()]
+        files = sorted(f for f in os.listdir(path) if f.endswith(".txt"))
+        written = "".join(open(f"{path}/{f}").read() for f in files)
+        assert written == "".join(f"{text}\n" for text in expected)
