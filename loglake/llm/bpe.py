@@ -15,6 +15,8 @@ from itertools import islice
 import numpy as np
 from tokenizers import Tokenizer
 
+from loglake.llm.shared import give_back
+
 #: Texts inside this range are split as they are; in others, the library says what each character is.
 _SIMPLE = re.compile("[^\x00-\u024f]")
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
@@ -269,3 +271,16 @@ class TextEncoder:
 def encoder(path: str) -> TextEncoder:
     """The encoder of a file, kept per Python worker."""
     return TextEncoder(path)
+
+
+def forget() -> None:
+    """Free the encoders this worker remembers; tasks that follow encoding, or encode nothing, need none."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        give_back()
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a file, without building its encoder."""
+    with open(path, encoding="utf-8") as f:
+        return max(json.load(f)["model"]["vocab"].values()) + 1

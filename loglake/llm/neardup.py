@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglake.llm.bpe import forget
 from loglake.llm.components import components
 from loglake.llm.decontaminate import _mix, _shingle_keys
-from loglake.llm.shared import stored, table, texts
+from loglake.llm.shared import stored, table, texts, tidy
 from loglake.llm.tokens import chunks
 
 SHINGLE_WORDS = 5
@@ -76,6 +77,7 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
     multipliers = _multipliers(PERMUTATIONS)
 
     def sign(batches):
+        forget()
         for batch in batches:
             for first, run in chunks(batch):
                 n, fp1, fp2, out = [], [], [], []
@@ -93,7 +95,7 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n", "fp1", "fp2", "bands"],
                 )
 
-    made = texts(documents).mapInArrow(sign, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>")
+    made = texts(documents).mapInArrow(tidy(sign), "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>")
     return stored(made, "signatures")
 
 
@@ -106,6 +108,7 @@ def confirm(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets are similar enough."""
 
     def check(batches):
+        forget()
         last, keys = None, None
         for batch in batches:
             a, b = batch.column("a"), batch.column("b")
@@ -124,7 +127,7 @@ def confirm(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
 
     right = bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     left = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(tidy(check), "a bigint, b bigint")
 
 
 def _small_buckets(unsettled: DataFrame, checked: DataFrame, bodies: DataFrame, k: int) -> DataFrame:

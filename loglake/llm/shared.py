@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,23 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return memory that this process has freed, but Arrow and the C library keep for later, to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries lack this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(task: Callable) -> Callable:
+    """A function for ``mapInArrow`` whose worker, idle or used by another task next, keeps none of what ``task`` has freed."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z in lower case; every other character stays."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

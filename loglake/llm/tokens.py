@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loglake.llm.bpe import encoder
-from loglake.llm.shared import stored, table, texts
+from loglake.llm.bpe import encoder, forget, vocabulary_size
+from loglake.llm.shared import stored, table, texts, tidy
 
 COUNT_LIMIT = 2048
 SEQUENCE_TOKENS = 1024
@@ -62,7 +62,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = COUNT_LIMIT) -> D
                 ids = batch.column("doc_id").slice(first, len(run))
                 yield pa.RecordBatch.from_arrays([ids, n_bytes, tokens, over], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return texts(documents).mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return texts(documents).mapInArrow(tidy(count), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +96,9 @@ def encoded(documents: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                     ["part", "before", "doc_id", "ids", "n"],
                 )
 
-    if encoder(path).bpe.size > 65536 or end_id > 65535:
+    if vocabulary_size(path) > 65536 or end_id > 65535:
         raise ValueError("ids of this vocabulary do not fit two bytes")
-    made = texts(documents).mapInArrow(encode, "part bigint, before bigint, doc_id bigint, ids binary, n bigint")
+    made = texts(documents).mapInArrow(tidy(encode), "part bigint, before bigint, doc_id bigint, ids binary, n bigint")
     return stored(made, "pack-ids", compression="zstd")
 
 
@@ -121,6 +121,8 @@ def pack(documents: DataFrame, path: str, window: int = SEQUENCE_TOKENS, end_id:
     )
 
     def cut(batches):
+        # All documents are encoded by now; the encoder takes more memory than all that follows.
+        forget()
         for batch in batches:
             rows = {k: [] for k in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
             size = 0
@@ -148,7 +150,7 @@ def pack(documents: DataFrame, path: str, window: int = SEQUENCE_TOKENS, end_id:
         )
 
     return placed.mapInArrow(
-        cut,
+        tidy(cut),
         "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint",
     )
 

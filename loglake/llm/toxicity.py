@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglake.llm.bpe import forget
 from loglake.llm.neardup import keep_one_of_each
-from loglake.llm.shared import stored, table, texts
+from loglake.llm.shared import stored, table, texts, tidy
 from loglake.llm.tokens import chunks
 
 #: Labelled documents used: those with the smallest hashed ids; and strings per class.
@@ -264,6 +265,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     """``(word, toxic, clean)``: texts of either label that hold a word; partial counts per task."""
 
     def count(batches):
+        forget()
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -283,7 +285,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
             ["word", "toxic", "clean"],
         )
 
-    counted = sample.select("toxic", "text").mapInArrow(count, "word string, toxic bigint, clean bigint")
+    counted = sample.select("toxic", "text").mapInArrow(tidy(count), "word string, toxic bigint, clean bigint")
     return stored(counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-words")
 
 
@@ -292,6 +294,7 @@ def _scored(frame: DataFrame, column: str, machine: Machine, schema: str, of) ->
     shared = frame.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches):
+        forget()
         known = shared.value
         for batch in batches:
             for first, run in chunks(batch, column):
@@ -300,7 +303,7 @@ def _scored(frame: DataFrame, column: str, machine: Machine, schema: str, of) ->
                     [*part.columns, pa.array(of(known, run), pa.float64())], [*part.schema.names, "margin"]
                 )
 
-    return frame.mapInArrow(score, schema)
+    return frame.mapInArrow(tidy(score), schema)
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Machine:
@@ -353,6 +356,7 @@ def score_toxicity(documents: DataFrame, machine: Machine) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches):
+        forget()
         known = shared.value
         for batch in batches:
             for first, run in chunks(batch):
@@ -362,7 +366,7 @@ def score_toxicity(documents: DataFrame, machine: Machine) -> DataFrame:
                     ["doc_id", "margin", "score"],
                 )
 
-    return source.mapInArrow(score, "doc_id bigint, margin double, score double")
+    return source.mapInArrow(tidy(score), "doc_id bigint, margin double, score double")
 
 
 def keep_mild(documents: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
@@ -371,6 +375,7 @@ def keep_mild(documents: DataFrame, machine: Machine, threshold: float = THRESHO
     at = documents.columns.index("text")
 
     def keep(batches):
+        forget()
         known = shared.value
         for batch in batches:
             for first, run in chunks(batch, at):
@@ -379,7 +384,7 @@ def keep_mild(documents: DataFrame, machine: Machine, threshold: float = THRESHO
 
     # Columns go by position, so their names cannot clash.
     numbered = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
-    return numbered.mapInArrow(keep, numbered.schema).toDF(*documents.columns)
+    return numbered.mapInArrow(tidy(keep), numbered.schema).toDF(*documents.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from loglake.llm import tokens
+from loglake.llm import bpe, decontaminate, neardup, tokens, toxicity
 from loglake.llm.bpe import RaggedBpe, TextEncoder
 
 PARTS = [
@@ -110,3 +110,32 @@ def test_sequences_are_padded(spark):
     rows = sorted(tokens.sequences(tokens.pack(docs, path, window=64), window=64).collect())
     sizes = [len(r["ids"]) // 4 for r in rows]
     assert sizes[:-1] == [64] * (len(rows) - 1) and sizes[-1] in (1, 2, 4, 8, 16, 32, 64) and sizes[-1] >= rows[-1]["length"]
+
+
+def test_tasks_that_do_not_encode_free_the_encoder(spark, monkeypatch):
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "one two three", "", 0), (2, "one two three", "", 0)], DOCS)
+    benchmark = spark.createDataFrame([("a", "four five")], "item_id string, text string")
+    tasks, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, task, *a, **b: tasks.append(task) or plain(self, task, *a, **b))
+    bpe.encoder.cache_clear()
+    assert tokens.pack(docs, path).count() == 2
+    assert bpe.encoder.cache_info().currsize == 0  # the driver builds none
+    machine = toxicity.fit([], [], [])
+    neardup.near_duplicates(docs, 2)
+    toxicity.keep_mild(docs, machine)
+    toxicity.score_toxicity(docs, machine)
+    decontaminate.drop_contaminated(docs, benchmark)
+    decontaminate.find_contamination(docs, benchmark)
+    encode, *others = tasks
+    assert len(others) >= 9
+    for task in others:
+        bpe.encoder(path)
+        list(task(iter([])))
+        assert bpe.encoder.cache_info().currsize == 0
+
+
+def test_size_of_a_vocabulary():
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = tokens.tokenizer_path(name)
+        assert bpe.vocabulary_size(path) == TextEncoder(path).bpe.size
