@@ -19,6 +19,8 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -216,15 +218,20 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
         .select("key", "size", (F.col("size") - F.col("most.c")).alias("out"), (-F.col("most.root")).alias("main"))
     )
     unsettled = stored(named.join(mixed, "key"), "unsettled")
-    found = _small_buckets(unsettled, checked, bodies, k).unionByName(_large_buckets(unsettled, bodies, k))
+    further = []
+    if not unsettled.isEmpty():
+        further += [_small_buckets(unsettled, checked, bodies, k), _large_buckets(unsettled, bodies, k)]
     # An id with several texts is one node: it links the classes of its texts.
     print_ = F.struct("fp1", "fp2")
     several = linked.groupBy("doc_id").agg(F.min(print_).alias("x"), F.max(print_).alias("y")).filter("x != y").select("doc_id")
-    of_ids = (
-        linked.join(several, "doc_id", "left_semi").join(classes, ["fp1", "fp2", "n"])
-        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b").distinct()
-    )
-    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found).unionByName(of_ids))
+    several = stored(several, "ids-of-several")
+    if not several.isEmpty():
+        of_ids = linked.join(several, "doc_id", "left_semi").join(classes, ["fp1", "fp2", "n"])
+        further.append(of_ids.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a != b").distinct())
+    # Without anything to link, no stage is planned for it.
+    if further:
+        edges = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        groups = components(reduce(DataFrame.unionByName, further, edges))
     roots = (
         classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select("fp1", "fp2", F.coalesce("root", "rep").alias("root"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loglake.llm.bpe import forget
 from loglake.llm.neardup import keep_one_of_each
-from loglake.llm.shared import stored, table, texts, tidy
+from loglake.llm.shared import give_back, stored, table, texts, tidy
 from loglake.llm.tokens import chunks
 
 #: Labelled documents used: those with the smallest hashed ids; and strings per class.
@@ -193,8 +193,7 @@ class Machine:
 
 
 def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights (offset last) of a linear machine, by Newton steps on the points inside the margin."""
-    z = np.c_[z, np.ones(len(z))]
+    """Weights of a linear machine, by Newton steps on the points inside the margin; the last column of ``z`` is one, for the offset."""
     w, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1])
     ridge[-1, -1] = 1e-3
     before = None
@@ -202,8 +201,11 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray
         active = y * (z @ w) < 1
         if before is not None and (active == before).all():
             break
-        a, c = z[active], cost[active]
-        new = np.linalg.solve(ridge + (a * c[:, None]).T @ a, (a * c[:, None]).T @ y[active])
+        # At first all points are inside; then none is copied.
+        a = z if active.all() else z[active]
+        weighted = a * cost[active][:, None]
+        new = np.linalg.solve(ridge + weighted.T @ a, weighted.T @ y[active])
+        del a, weighted
         w, before = (new if before is None else 0.5 * (w + new)), active
     return w
 
@@ -230,7 +232,10 @@ def fit(toxic: list[str], other: list[str], hard: list[str]) -> Machine:
     values, vectors = np.linalg.eigh(gram + 1e-3 * np.eye(len(gram)))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     codes = _matrix([*base, *rest])
-    z = (_against(codes, used, columns) / _norms(codes)[:, None]) @ whiten
+    # The driver holds this: each step's array goes before the next but one is made.
+    z = _against(codes, used, columns) / _norms(codes)[:, None]
+    z = z @ whiten
+    z = np.c_[z, np.ones(len(z))]
     y = np.r_[np.ones(len(base)), -np.ones(len(rest))]
     cost = np.where(y > 0, 10.0 * len(y) / len(base), 10.0 * len(y) / len(rest))
     w = _squared_hinge(z, y, cost)
@@ -336,6 +341,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENT
         machine.slope, machine.shift = _platt(
             np.array([r["margin"] for r in rows]), np.array([r["toxic"] == 1 for r in rows], float)
         )
+    give_back()
     return machine
 
 

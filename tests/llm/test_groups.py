@@ -5,8 +5,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from loglake.llm import components as components_module
 from loglake.llm import decontaminate, neardup, vectors
 from loglake.llm.components import components
+from loglake.llm.shared import stored
 
 DOCS = "doc_id long, text string, n long, items string"
 
@@ -125,3 +127,29 @@ def test_rows_are_dropped_not_ids(spark):
     kept = sorted((r.doc_id or -1, (r.text or "")[:6]) for r in got.collect())
     assert kept == [(-1, "w0 w1 "), (-1, "w0 w1 "), (3, "w0 w1 "), (5, "a text"), (8, "")]
     assert neardup.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_settled_links_take_no_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components_module, "stored", lambda df, label: made.append(label) or stored(df, label))
+    stars = [(1, i) for i in range(2, 40)] + [(50, 51), (52, 50)]
+    links = spark.createDataFrame(stars, "a long, b long")
+    assert {r.node: r.root for r in components(links).collect()} == smallest({v for e in stars for v in e}, stars)
+    assert len(made) == 1
+    made.clear()
+    chain = [(3, 2), (2, 1), (9, 8)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} and 2 <= len(made) <= 3
+
+
+def test_near_copies_that_pivots_link_take_one_search_for_components(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(neardup, "components", lambda edges: calls.append(1) or components(edges))
+    copies = [(i, "one two three four " * 3 + ("five" if i % 2 else "FIVE"), 0, "") for i in range(6)]
+    got = neardup.near_duplicates(spark.createDataFrame([*copies, (9, "other words here", 0, "")], DOCS), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 9: 9} and len(calls) == 1
+    # An id with two texts links their classes: that takes a second search.
+    calls.clear()
+    rows = [(1, "a b c", 0, ""), (5, "a b c", 0, ""), (5, "x y z", 0, ""), (7, "x y z", 0, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 2).collect()
+    assert {r.component_id for r in got} == {1} and len(got) == 4 and len(calls) == 2
